@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontaminate, sentencepiece_codec, token_counts
+from . import decontaminate, language_id, ring, sentencepiece_codec, token_counts, toxicity
 
 QUERIES = {
+    "op2_toxicity": toxicity.query,
     "op3_token_counts": token_counts.query,
+    "op6_ring_sharding": ring.query,
+    "op7_language_id": language_id.query,
     "op8_decontaminate": decontaminate.query,
     "op10_sentencepiece": sentencepiece_codec.query,
 }
