@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, hnsw, html_extract, language_id, ring, sentencepiece_codec, token_counts, toxicity
+from . import decontaminate, hnsw, html_extract, language_id, order_minhash, ring, sentencepiece_codec, token_counts, toxicity
 
 QUERIES = {
     "op1_html_extract": html_extract.query,
@@ -12,6 +12,7 @@ QUERIES = {
     "op6_ring_sharding": ring.query,
     "op7_language_id": language_id.query,
     "op8_decontaminate": decontaminate.query,
+    "op9_order_minhash": order_minhash.query,
     "op10_sentencepiece": sentencepiece_codec.query,
 }
 ORACLE_SQL = {"op8_decontaminate": decontaminate.SQL}
