@@ -83,14 +83,9 @@ def frequencies(docs: DataFrame, vocabulary: frozenset[bytes]) -> dict[bytes, in
     return {bytes(r["word"]): r["n"] for r in rows}
 
 
-def find(docs: DataFrame, benchmark: DataFrame, window: int = 10, index_bytes: int = INDEX_BYTES) -> DataFrame:
-    """doc_id, words, hit words, items with occurring windows and their digest, for every row of docs (doc_id, text).
-
-    benchmark: item_id, text. It is indexed whole if its texts take at most index_bytes, a size checked first; else in
-    that many blocks of bounded size, each held against all documents, and the blocks' findings are merged by document.
-    """
+def indexes(docs: DataFrame, benchmark: DataFrame, window: int, index_bytes: int) -> list:
+    """Broadcast indexes of the benchmark's blocks, one if its texts take at most index_bytes. Each is made when asked for."""
     sc = docs.sparkSession.sparkContext
-    docs = docs.select("doc_id", "text")
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").where("text is not null")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = -(-total // index_bytes) or 1
@@ -101,8 +96,19 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = 10, index_bytes: i
         vocabulary = frozenset(t for _, text in kept for t in words(text))
         return sc.broadcast(Index(kept, window, frequencies(docs, vocabulary) if vocabulary else {}))
 
-    if blocks == 1:
-        held = index(0)
+    return [lambda block=block: index(block) for block in range(blocks)]
+
+
+def find(docs: DataFrame, benchmark: DataFrame, window: int = 10, index_bytes: int = INDEX_BYTES) -> DataFrame:
+    """doc_id, words, hit words, items with occurring windows and their digest, for every row of docs (doc_id, text).
+
+    benchmark: item_id, text. It is indexed whole if its texts take at most index_bytes, a size checked first; else in
+    that many blocks of bounded size, each held against all documents, and the blocks' findings are merged by document.
+    """
+    docs = docs.select("doc_id", "text")
+    blocks = indexes(docs, benchmark, window, index_bytes)
+    if len(blocks) == 1:
+        held = blocks[0]()
 
         def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
@@ -114,8 +120,8 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = 10, index_bytes: i
 
         return docs.mapInPandas(judge, OUT)
 
-    def partial(block: int) -> DataFrame:
-        held = index(block)
+    def partial(index) -> DataFrame:
+        held = index()
 
         def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
@@ -129,8 +135,8 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = 10, index_bytes: i
 
         return docs.distinct().mapInPandas(judge, PARTIAL)
 
-    found = partial(0)
-    for block in range(1, blocks):
+    found = partial(blocks[0])
+    for block in blocks[1:]:
         found = found.unionByName(partial(block))
     found = found.groupBy("doc_id", "digest").agg(F.flatten(F.collect_list("starts")).alias("starts"), F.flatten(F.collect_list("ends")).alias("ends"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
     base = docs.withColumn("digest", F.sha2("text", 256)).alias("d")
@@ -147,10 +153,20 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = 10, index_bytes: i
     return joined.mapInPandas(merge, OUT)
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, max_share: float = 0.0, window: int = 10) -> DataFrame:
-    """Rows of docs, all columns, whose share of hit words is at most max_share; word-less texts stay."""
-    held = find(docs, benchmark, window).where(F.col("n_hit") > F.col("n_words") * max_share).select("doc_id").distinct()
-    return docs.join(held, "doc_id", "left_anti")
+def clean(docs: DataFrame, benchmark: DataFrame, window: int = 10, index_bytes: int = INDEX_BYTES) -> DataFrame:
+    """Rows of docs, all columns, in which no shingle occurs; word-less and null texts stay."""
+
+    def without(held):
+        @F.pandas_udf("boolean")
+        def free(texts: pd.Series) -> pd.Series:
+            return pd.Series([not held.value.matches(words(t))[0] for t in texts], dtype=bool)
+
+        return free("text")
+
+    out = docs
+    for index in indexes(docs, benchmark, window, index_bytes):
+        out = out.where(without(index()))
+    return out
 
 
 def query(spark, sf_dir) -> DataFrame:

@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .common import LETTER_BYTES, table
 from .pieces import Pieces
@@ -158,46 +158,57 @@ def sample(labelled: DataFrame, most: int = TRAIN_DOCS) -> list[tuple[str, str]]
     return [(r["text"], r["lang"]) for r in thin.withColumn("k", F.row_number().over(first)).where(F.col("k") <= most).select("text", "lang").collect()]
 
 
-def predict(docs: DataFrame, languages: list[str], probabilities: np.ndarray, pieces: list[str], keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The kept columns, lang_pred and score (posterior of that language under equal priors) for every row."""
-    held = docs.sparkSession.sparkContext.broadcast((languages, probabilities, pieces))
+class Judge:
+    """Texts -> (language, posterior under equal priors) of each; one per worker."""
+
+    def __init__(self, languages: list[str], probabilities: np.ndarray, pieces: list[str]):
+        self.names, self.model = languages, Unigrams(pieces, probabilities)
+        #: By a word's place: log probabilities, and whether it has a letter.
+        self.scores = np.zeros((MEMO + 8 * BLOCK, len(languages) + 1))
+        self.memo: dict[bytes, int] = {}
+
+    def place(self, block: list[bytes]) -> np.ndarray:
+        memo, scores = self.memo, self.scores
+        if new := list(set(block) - memo.keys()):
+            if len(memo) + len(new) > len(scores):  # starts afresh, so a worker's memory is bounded
+                memo.clear()
+                new = list(set(block))
+            texts = [w.decode("utf-8", "replace") for w in new]
+            at = len(memo)
+            scores[at : at + len(new), :-1] = self.model.forward(texts)
+            scores[at : at + len(new), -1] = [any(map(str.isalpha, t)) for t in texts]
+            memo.update(zip(new, range(at, at + len(new)), strict=True))
+        return np.fromiter(map(memo.__getitem__, block), np.int64, len(block))
+
+    def __call__(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
+        names, preds, best = self.names, [], []
+        for at in range(0, len(texts), 64):  # new words of many documents are summed at once
+            group = [letter_words(t) if t and names else [] for t in texts[at : at + 64]]
+            total = np.zeros((len(group), len(names) + 1))
+            row = np.repeat(np.arange(len(group)), list(map(len, group)))
+            flat = [w for ws in group for w in ws]
+            for k in range(0, len(flat), 8 * BLOCK):
+                np.add.at(total, row[k : k + 8 * BLOCK], self.scores[self.place(flat[k : k + 8 * BLOCK])])
+            top = np.argmax(total[:, :-1], axis=1) if names else [0] * len(group)
+            for t, j in zip(total, top, strict=True):
+                sure = t[-1] > 0
+                preds.append(names[j] if sure else "und")
+                best.append(float(1 / np.exp(np.minimum(t[:-1] - t[j], 0)).sum()) if sure else 0.0)
+        return preds, best
+
+
+def predict(docs: DataFrame, model: tuple, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The kept columns, lang_pred and score of every row's whole text. model: languages, probabilities, pieces."""
+    held = docs.sparkSession.sparkContext.broadcast(model)
     cols = docs.select(*keep, docs["text"].alias("__text"))
 
-    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names, p, known = held.value
-        model = Unigrams(known, p)
-        scores = np.zeros((MEMO + 8 * BLOCK, len(names) + 1))  # by a word's place: log probabilities, and whether it has a letter
-        memo: dict[bytes, int] = {}
-
-        def place(block: list[bytes]) -> np.ndarray:
-            if new := list(set(block) - memo.keys()):
-                if len(memo) + len(new) > len(scores):  # starts afresh, so a worker's memory is bounded
-                    memo.clear()
-                    new = list(set(block))
-                texts = [w.decode("utf-8", "replace") for w in new]
-                at = len(memo)
-                scores[at : at + len(new), :-1] = model.forward(texts)
-                scores[at : at + len(new), -1] = [any(map(str.isalpha, t)) for t in texts]
-                memo.update(zip(new, range(at, at + len(new)), strict=True))
-            return np.fromiter(map(memo.__getitem__, block), np.int64, len(block))
-
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        judge = Judge(*held.value)
         for b in batches:
-            preds, best = [], []
-            for at in range(0, len(b), 64):  # new words of many documents are summed at once
-                group = [letter_words(t) if t and names else [] for t in b["__text"].iloc[at : at + 64]]
-                total = np.zeros((len(group), len(names) + 1))
-                row = np.repeat(np.arange(len(group)), list(map(len, group)))
-                flat = [w for ws in group for w in ws]
-                for k in range(0, len(flat), 8 * BLOCK):
-                    np.add.at(total, row[k : k + 8 * BLOCK], scores[place(flat[k : k + 8 * BLOCK])])
-                top = np.argmax(total[:, :-1], axis=1) if names else None
-                for t, j in zip(total, top if names else [0] * len(group), strict=True):
-                    sure = t[-1] > 0
-                    preds.append(names[j] if sure else "und")
-                    best.append(float(1 / np.exp(np.minimum(t[:-1] - t[j], 0)).sum()) if sure else 0.0)
-            yield b[list(keep)].assign(lang_pred=preds, score=best)
-
-    return cols.mapInPandas(judge, "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in cols.schema[:-1]) + "lang_pred string, score double")
+            preds, scores = judge(b["__text"].tolist())
+            yield b[list(keep)].assign(lang_pred=preds, score=scores)
+
+    return cols.mapInPandas(run, "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in cols.schema[:-1]) + "lang_pred string, score double")
 
 
 def vocabulary(model: str = MODEL) -> list[str]:
@@ -207,15 +218,30 @@ def vocabulary(model: str = MODEL) -> list[str]:
     return sorted({p.replace(MARK, "") for p, _, _ in Pieces.load(model).pieces if p.replace(MARK, "") and p == p.lower()})
 
 
-def fit_predict(docs: DataFrame, fold: int = 2, keep: tuple[str, ...] = ("doc_id",), model: str = MODEL) -> DataFrame:
-    """Trains on documents outside the held-out fold (crc32 of doc_id as text, modulo 4) and judges all of them."""
-    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == fold
+def held_out() -> Column:
+    """Rows of the fold that is never learnt from: crc32 of doc_id as text, modulo 4, is 2."""
+    return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
+
+
+def fit(docs: DataFrame, model: str = MODEL) -> tuple:
+    """Languages, probabilities and pieces, learnt from documents outside the held-out fold. docs: doc_id, text, lang."""
     pieces = vocabulary(model)
-    languages, p = train(sample(docs.where(~F.coalesce(held_out, F.lit(False))).select("doc_id", "text", "lang")), pieces)
-    return predict(docs, languages, p, pieces, keep)
+    return (*train(sample(docs.where(~held_out()).select("doc_id", "text", "lang")), pieces), pieces)
+
+
+def known(docs: DataFrame) -> DataFrame:
+    """Rows of docs, all columns, whose language can be told; ``und`` goes."""
+    held = docs.sparkSession.sparkContext.broadcast(fit(docs))
+
+    @F.pandas_udf("boolean")
+    def told(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        judge = Judge(*held.value)
+        for texts in batches:
+            yield pd.Series([p != "und" for p in judge(texts.tolist())[0]], dtype=bool)
+
+    return docs.where(told("text"))
 
 
 def query(spark, sf_dir) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
-    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2
-    return fit_predict(docs).select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "lang_pred", "score")
+    return predict(docs, fit(docs)).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontaminate, hnsw, html_extract, language_id, order_minhash, ring, sentencepiece_codec, token_counts, toxicity
+from . import decontaminate, hnsw, html_extract, language_id, order_minhash, ring, sentencepiece_codec, suffix_dedup, token_counts, toxicity
 
 QUERIES = {
     "op1_html_extract": html_extract.query,
     "op2_toxicity": toxicity.query,
     "op3_token_counts": token_counts.query,
+    "op4_suffix_dedup": suffix_dedup.query,
     "op5_hnsw": hnsw.query,
     "op6_ring_sharding": ring.query,
     "op7_language_id": language_id.query,
