@@ -96,73 +96,79 @@ class Streaming:
 
     Candidates reach back at most the longest piece, so only the last ``longest`` ends can still be extended. Whenever
     the back paths of all of them meet in one boundary, everything before it is final: its ids are given out and the
-    nodes dropped.
+    nodes dropped. The automaton keeps its state between pushes.
     """
 
-    def __init__(self, pieces: Pieces, known: tuple[dict, dict] | None = None):
-        self.p = pieces
-        self.ids, self.lengths = known or self.index(pieces)
-        self.tail = ""  # the last ``longest`` characters
-        self.end = 0
-        self.nodes: dict[int, tuple[float, int, tuple[int, ...]]] = {0: (0.0, -1, ())}  # end -> score, start, ids
-        self.held = 0  # the largest number of nodes so far
+    STEP = 32
 
-    @staticmethod
-    def index(pieces: Pieces) -> tuple[dict, dict]:
-        """Score and ids of each piece; by a piece's last two characters, the lengths that pieces with them have, longest first."""
-        lengths: dict[str, set[int]] = {}
-        for p, _, _ in pieces.pieces:
-            lengths.setdefault(p[-2:], set()).add(len(p))
-        return {p: (s, (i,)) for p, s, i in pieces.pieces}, {k: tuple(sorted(v, reverse=True)) for k, v in lengths.items()}
+    def __init__(self, pieces: Pieces, automaton):
+        self.p, self.matches = pieces, automaton.iter("")
+        self.base = self.end = 0  # places in the stream of the first and last node
+        self.score, self.start, self.ids = [0.0], [-1], [()]  # by place - base
+        self.held = 0  # the largest number of nodes so far
 
     def push(self, chars: str) -> list[int]:
         out: list[int] = []
-        longest, ids, nodes, lengths, singles = self.p.longest, self.ids, self.nodes, self.lengths, self.p.singles
-        for c in chars:
-            self.tail = tail = (self.tail + c)[-longest:]
-            self.end = e = self.end + 1
-            best = None
-            for k in lengths.get(tail[-2:], ()):  # longest first: equal scores keep the earlier start
-                if (found := ids.get(tail[-k:])) and (node := nodes.get(e - k)) and k <= len(tail):
-                    x = node[0] + found[0]
-                    if best is None or x > best[0]:
-                        best = (x, e - k, found[1])
-            if len(tail) > 1 and (found := ids.get(c)):
-                x = nodes[e - 1][0] + found[0]
-                if best is None or x > best[0]:
-                    best = (x, e - 1, found[1])
-            if c not in singles:
-                x = nodes[e - 1][0] + self.p.unknown
-                if best is None or x > best[0]:
-                    best = (x, e - 1, tuple(self.p.byte_ids[b] for b in c.encode("utf-8", "surrogatepass")))
-            nodes[e] = best
-            if len(nodes) > 2 * longest:
-                self.held = max(self.held, len(nodes))
-                out += self.commit()
-                nodes = self.nodes
+        for at in range(0, len(chars), self.STEP):
+            self._feed(chars[at : at + self.STEP])
+            if len(self.score) > 2 * self.p.longest:
+                self.held = max(self.held, len(self.score))
+                out += self._commit()
         return out
 
-    def commit(self) -> list[int]:
+    def _feed(self, chars: str) -> None:
+        base, score, start, ids, singles, unknown = self.base, self.score, self.start, self.ids, self.p.singles, self.p.unknown
+        begin = done = self.end - base
+        n = len(chars)
+        score += [0.0] * n
+        start += [-1] * n
+        ids += [()] * n
+        self.matches.set(chars)
+        for last, (k, s, i) in self.matches:
+            e = last + 1 - base
+            while done < e - 1:  # a character's own edge comes last, as its start is the last
+                done += 1
+                c = chars[done - begin - 1]
+                if c not in singles and (start[done] < 0 or score[done - 1] + unknown > score[done]):
+                    score[done], start[done], ids[done] = score[done - 1] + unknown, done - 1, self._bytes(c)
+            a = e - k
+            x = score[a] + s
+            if start[e] < 0 or x > score[e] or x == score[e] and a < start[e]:
+                score[e], start[e], ids[e] = x, a, (i,)
+        while done < begin + n:
+            done += 1
+            c = chars[done - begin - 1]
+            if c not in singles and (start[done] < 0 or score[done - 1] + unknown > score[done]):
+                score[done], start[done], ids[done] = score[done - 1] + unknown, done - 1, self._bytes(c)
+        self.end += n
+
+    def _bytes(self, c: str) -> tuple[int, ...]:
+        return tuple([self.p.byte_ids[b] for b in c.encode("utf-8", "surrogatepass")])
+
+    def _commit(self) -> list[int]:
         """Ids up to the boundary in which all surviving back paths meet."""
-        live = {e for e in range(max(self.end - self.p.longest + 1, 0), self.end + 1) if e in self.nodes}
-        base = min(self.nodes)
+        last = len(self.score) - 1
+        live = set(range(max(last - self.p.longest + 1, 0), last + 1))
         while len(live) > 1:
             top = max(live)
             live.remove(top)
-            live.add(max(self.nodes[top][1], base))
+            live.add(max(self.start[top], 0))
         return self._give(live.pop())
 
     def finish(self) -> list[int]:
-        return self._give(self.end)
+        return self._give(len(self.score) - 1)
 
     def _give(self, boundary: int) -> list[int]:
-        path, e, base = [], boundary, min(self.nodes)
-        while e > base:
-            path.append(self.nodes[e][2])
-            e = self.nodes[e][1]
-        score = self.nodes[boundary][0]
-        self.nodes = {e: (x - score, a, ids) for e, (x, a, ids) in self.nodes.items() if e >= boundary}
-        self.nodes[boundary] = (0.0, -1, ())
+        path, e = [], boundary
+        while e > 0:
+            path.append(self.ids[e])
+            e = self.start[e]
+        if boundary:
+            less = self.score[boundary]
+            self.base += boundary
+            self.score = [x - less for x in self.score[boundary:]]
+            self.start = [-1] + [a - boundary for a in self.start[boundary + 1 :]]  # a start before the boundary is on no live path
+            self.ids = self.ids[boundary:]
         return [i for ids in reversed(path) for i in ids]
 
 

@@ -25,10 +25,10 @@ from .token_counts import MODEL
 
 class Codec:
     def __init__(self, pieces: Pieces):
-        known = Streaming.index(pieces)
+        automaton = pieces.automaton()
 
         def encode(chunk: str) -> tuple[int, ...]:
-            stream = Streaming(pieces, known)
+            stream = Streaming(pieces, automaton)
             return tuple(stream.push(chunk) + stream.finish())
 
         self.p = pieces
