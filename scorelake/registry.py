@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from .plans import base, ratings, sets, texts, timelines  # noqa: F401  (they register their queries)
+
+QUERIES = base.QUERIES
+ORACLE_SQL = base.ORACLE_SQL
