@@ -20,7 +20,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from .common import table, words
+from .common import bound_batches, table, words
 
 #: Bytes of item texts that one broadcast index may hold; larger benchmarks are joined block by block.
 INDEX_BYTES = 16 << 20
@@ -85,6 +85,7 @@ def frequencies(docs: DataFrame, vocabulary: frozenset[bytes]) -> dict[bytes, in
 
 def indexes(docs: DataFrame, benchmark: DataFrame, window: int, index_bytes: int) -> list:
     """Broadcast indexes of the benchmark's blocks, one if its texts take at most index_bytes. Each is made when asked for."""
+    bound_batches(docs.sparkSession)
     sc = docs.sparkSession.sparkContext
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").where("text is not null")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0

@@ -21,7 +21,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import LETTER_BYTES, table
+from .common import LETTER_BYTES, bound_batches, table
 from .pieces import Pieces
 from .token_counts import MODEL
 
@@ -231,6 +231,7 @@ def fit(docs: DataFrame, model: str = MODEL) -> tuple:
 
 def known(docs: DataFrame) -> DataFrame:
     """Rows of docs, all columns, whose language can be told; ``und`` goes."""
+    bound_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(fit(docs))
 
     @F.pandas_udf("boolean")

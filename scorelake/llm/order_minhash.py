@@ -26,7 +26,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import table, words, written
+from .common import bound_batches, table, words, written
 from .components import components
 from .pieces import Memo
 
@@ -90,16 +90,42 @@ def sketch(shingles: np.ndarray, bands: int = BANDS, least: int = LEAST) -> list
 
 
 def aligned(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> bool:
-    """Is the best alignment long enough? Furthest-reaching paths over the diagonals of the band."""
+    """Is the best alignment long enough? Only the band of diagonals that the similarity allows is looked at."""
     n, m = len(a), len(b)
     if not n or not m:
         return False
     most = int((n + m) * (1 - similarity) / (1 + similarity) + 1e-9)  # unmatched shingles
     if abs(n - m) > most:
         return False
-    x, y = np.sort(labelled(a)), np.sort(labelled(b))
-    if n + m - 2 * len(np.intersect1d(x, y, assume_unique=True)) > most:
+    x, nx = np.unique(a, return_counts=True)
+    y, ny = np.unique(b, return_counts=True)
+    _, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
+    if n + m - 2 * int(np.minimum(nx[i], ny[j]).sum()) > most:
         return False
+    if int((nx[i] * ny[j]).sum()) <= 16 * (n + m):
+        return n + m - 2 * _by_matches(a.tolist(), b.tolist(), most) <= most
+    return _by_diagonals(a, b, most)
+
+
+def _by_matches(a: list[int], b: list[int], band: int) -> int:
+    """Longest alignment inside the band, as a longest increasing run of matches; for sequences with few repeats."""
+    places: dict[int, list[int]] = {}
+    for j, v in enumerate(b):
+        places.setdefault(v, []).append(j)
+    tails: list[int] = []
+    for i, v in enumerate(a):
+        for j in reversed(places.get(v, ())):
+            if -band <= i - j <= band:
+                if not tails or j > tails[-1]:
+                    tails.append(j)
+                else:
+                    tails[bisect_left(tails, j)] = j
+    return len(tails)
+
+
+def _by_diagonals(a: np.ndarray, b: np.ndarray, most: int) -> bool:
+    """Do at most ``most`` shingles stay unmatched? Furthest-reaching paths over the diagonals of the band."""
+    n, m = len(a), len(b)
     breaks: dict[int, list[int]] = {}
 
     def run(k: int, i: int) -> int:
@@ -115,9 +141,8 @@ def aligned(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> boo
         new = {}
         for k in range(-d, d + 1, 2):
             if -m <= k <= n:
-                down, right = reach.get(k + 1, -1), reach.get(k - 1, -2) + 1
-                i = max(down, right)
-                if k < 0 and i < 0 or i > n or i - k > m or i < max(k, 0):
+                i = max(reach.get(k + 1, -1), reach.get(k - 1, -2) + 1)
+                if i < max(k, 0) or i > n or i - k > m:
                     continue
                 i = run(k, i)
                 if i == n and i - k == m:
@@ -129,6 +154,7 @@ def aligned(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> boo
 
 def nodes_of(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text) with the node of each text; null for a null text."""
+    bound_batches(docs.sparkSession)
     return docs.select("doc_id", "text", F.unhex(F.md5("text")).alias("node"))
 
 

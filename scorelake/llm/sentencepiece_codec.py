@@ -18,7 +18,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import table
+from .common import bound_batches, table
 from .pieces import MARK, Memo, Pieces, Streaming, chunks
 from .token_counts import MODEL
 
@@ -76,6 +76,7 @@ def _lists(values: list[list[int]]) -> pa.Array:
 
 def encode(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), model: str = MODEL, check: bool = False) -> DataFrame:
     """The kept columns, ids and n_ids; with check also decoded_sha256 and lossless, from decoding the ids again."""
+    bound_batches(df.sparkSession)
     held = df.sparkSession.sparkContext.broadcast(Pieces.load(model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

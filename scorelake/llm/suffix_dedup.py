@@ -31,13 +31,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from . import suffix_merge
-from .common import table
+from .common import bound_batches, table
 
 LENGTH = 200
 SPAN = 128
 #: Bytes of text whose candidates are merged in one task.
-PART_BYTES = 12 << 20
-_PIECE = 1 << 20
+PART_BYTES = 8 << 20
+_PIECE = 1 << 19
 _MASK = np.uint64((1 << 21) - 1)
 _ODD = np.random.default_rng(4).integers(1, 1 << 62, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -128,9 +128,8 @@ def candidates(docs: DataFrame, parts: int, length: int, span: int) -> DataFrame
         for b in batches:
             for at in range(0, len(b), 2000):
                 group = b.iloc[at : at + 2000]
-                texts = [_encoded(t) for t in group["text"]]
                 nodes = group["node"].tolist()
-                owner, place, fp = anchors(texts, length, span)
+                owner, place, fp = anchors([_encoded(t) for t in group["text"]], length, span)
                 if not len(owner):
                     continue
                 _, first, inverse, n = np.unique(fp, return_index=True, return_inverse=True, return_counts=True)
@@ -205,7 +204,7 @@ def stretches(found: DataFrame, parts: int, length: int, span: int) -> DataFrame
                     entries[p].setdefault((data[a : a + length], data[max(0, a - span) : a][::-1]), []).extend((len(nodes), a))
                 nodes.append(node)
                 held += len(at)
-                if held > 100_000:
+                if held > 50_000:
                     yield given()
         if held:
             yield given()
@@ -332,6 +331,7 @@ def remove(docs: DataFrame, length: int = LENGTH, span: int = SPAN, part_bytes:
     Stretches are byte ranges: a character of which a byte goes, goes whole. Null texts stay null.
     """
     keyed = docs.withColumn("__node", F.unhex(F.md5("text")))
+    bound_batches(docs.sparkSession)
     plain = docs.select(F.lit(None).cast("long").alias("doc_id"), "text", F.unhex(F.md5("text")).alias("node"))
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(1, -(-total // part_bytes))
