@@ -96,13 +96,14 @@ class Streaming:
 
     Candidates reach back at most the longest piece, so only the last ``longest`` ends can still be extended. Whenever
     the back paths of all of them meet in one boundary, everything before it is final: its ids are given out and the
-    nodes dropped. The automaton keeps its state between pushes.
+    nodes dropped.
     """
 
     STEP = 32
 
     def __init__(self, pieces: Pieces, automaton):
-        self.p, self.matches = pieces, automaton.iter("")
+        self.p, self.automaton = pieces, automaton
+        self.tail = ""  # the characters that a piece which ends in the next ones can begin with
         self.base = self.end = 0  # places in the stream of the first and last node
         self.score, self.start, self.ids = [0.0], [-1], [()]  # by place - base
         self.held = 0  # the largest number of nodes so far
@@ -123,9 +124,13 @@ class Streaming:
         score += [0.0] * n
         start += [-1] * n
         ids += [()] * n
-        self.matches.set(chars)
-        for last, (k, s, i) in self.matches:
-            e = last + 1 - base
+        shift = begin - len(self.tail) + 1
+        window = self.tail + chars
+        self.tail = window[1 - self.p.longest :] if self.p.longest > 1 else ""
+        for last, (k, s, i) in self.automaton.iter(window):
+            e = last + shift
+            if e <= begin:
+                continue  # ends in the tail: known already
             while done < e - 1:  # a character's own edge comes last, as its start is the last
                 done += 1
                 c = chars[done - begin - 1]

@@ -102,7 +102,7 @@ def fit(rows: list[tuple[str | None, float]], least: int = 3, l2: float = 0.1, s
     sign = np.concatenate([v for m, p in changes for v in (np.full(len(m), -1.0), np.full(len(p), 1.0))]) if changes else np.zeros(0)
     w, b, prior, ahead = np.zeros(d), math.log((base + 1e-3) / (1 - base + 1e-3)), 0.0, np.zeros(d)
     per_row = np.bincount(owner, minlength=n) if len(idx) else np.zeros(n)
-    step = 1 / (0.25 * (1 + float((per_row**2).mean()) ** 0.5) + l2 / n + (4 * swap if changes else 0))
+    step = 1 / (0.25 * (1 + float((per_row**2).mean()) ** 0.5) + l2 / n + 2 * swap * max((len(m) + len(p) for m, p in changes), default=0))
     t, last = 1.0, w
     for _ in range(rounds):
         z = b + np.bincount(owner, ahead[idx], n) if len(idx) else np.full(n, b)
