@@ -6,10 +6,10 @@ text order; documents with an equal band are candidates. Two documents are linke
 and m are their numbers of shingles and L is the length of the best alignment without crossings. That allows at most
 (n + m) / 9 unmatched shingles, which bounds the band of diagonals that the alignment visits.
 
-Equal texts are one node. In each bucket all nodes are held against the smallest node; classes are then formed, and
-nodes that are still apart from their bucket's smallest, where two or more of them share a bucket, are compared through
-an exact prefix filter within the bucket: two sets of this similarity share one of their rarest fifth of shingles. So no
-candidate pair of different classes goes unverified, and no bucket is spelled out into all pairs.
+Equal texts are one node. In ROUNDS rounds, each bucket's nodes are held against one of them, if it is of another class,
+and classes are formed anew. Nodes that are then outside the largest class of a bucket are compared with all nodes of
+other classes through an exact prefix filter: two sets of this similarity share one of their rarest fifth of shingles.
+So no candidate pair of different classes goes unverified, and no bucket is spelled out into all pairs.
 
 Defined cases: a null text is alone in its class; texts without words are copies only of equal texts; texts of any length
 are compared whole; rows that repeat a doc_id fall into one class if their texts do; rows without a doc_id get the
@@ -34,6 +34,7 @@ BANDS = 16
 LEAST = 3
 WORDS = 5
 SIMILARITY = 0.8
+ROUNDS = 2
 _ODD = np.random.default_rng(20).integers(1, 1 << 62, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -194,8 +195,12 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return pairs.join(two, "b").join(one, "a").select("a", "x", "b", "y").mapInPandas(run, "a binary, b binary")
 
 
-def rest(apart: DataFrame, texts: DataFrame) -> DataFrame:
-    """Candidate pairs among nodes that share a bucket (key, node, n): a prefix filter over shingles, rarest first."""
+def rest(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """Candidate pairs by a prefix filter over shingles, rarest first. members: node, n, class, apart.
+
+    Pairs are of a node that is apart and one of another class, so nodes of a large class are never paired with each
+    other.
+    """
 
     def tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingle = Shingler()
@@ -204,39 +209,44 @@ def rest(apart: DataFrame, texts: DataFrame) -> DataFrame:
                 x = labelled(shingle(text)).view(np.int64)
                 yield pd.DataFrame({"node": [node] * len(x), "token": x})
 
-    own = written(apart.select("node").distinct().join(texts, "node").select("node", "text").mapInPandas(tokens, "node binary, token long"))
+    own = written(members.select("node").join(texts, "node").select("node", "text").mapInPandas(tokens, "node binary, token long"))
     count = own.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
     # Of n shingles, the first n - ceil(0.8 n) + 1 by rarity; those of one node alone match nothing but take their places.
     size = own.groupBy("node").agg(F.count("*").alias("n"))
     lists = own.join(count, "token").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("shared"))
     reach = (F.col("n") - F.ceil(F.col("n") * SIMILARITY - 1e-9) + 1) - (F.col("n") - F.size("shared"))
     prefix = lists.join(size, "node").where(reach > 0).select("node", F.explode(F.slice("shared", F.lit(1), reach.cast("int"))["token"]).alias("token"))
-    held = written(apart.join(prefix, "node").select("key", "token", "node", "n"))
-    other = held.select("key", "token", F.col("node").alias("b"), F.col("n").alias("m"))
+    held = written(members.join(prefix, "node").select("token", "node", "n", "class", "apart"))
+    other = held.select("token", F.col("node").alias("with"), F.col("n").alias("m"), F.col("class").alias("of"))
     close = (F.col("n") >= F.col("m") * SIMILARITY) & (F.col("m") >= F.col("n") * SIMILARITY)
-    return held.join(other, ["key", "token"]).where((F.col("node") < F.col("b")) & close).select(F.col("node").alias("a"), "b").distinct()
+    found = held.where("apart").join(other, "token").where((F.col("class") != F.col("of")) & close)
+    return found.select(F.least("node", "with").alias("a"), F.greatest("node", "with").alias("b")).distinct()
 
 
 def links(docs: DataFrame) -> DataFrame:
     """Similar pairs (a, b) of nodes that join all classes; docs: doc_id, text, node."""
     sketched = written(sketches(docs.select("node", "text")))
     member = sketched.select("node", "n", F.explode("keys").alias("key"))
-    lead = member.groupBy("key").agg(F.count("*").alias("size"), F.min(F.struct("node", "n")).alias("lead")).where("size > 1")
-    bucket = written(member.join(lead, "key").select("key", "size", "node", "n", F.col("lead.node").alias("lead"), F.col("lead.n").alias("lead_n")))
+    shared = member.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").select("key")
+    bucket = written(member.join(shared, "key"))
     texts = written(docs.select("node", "text").join(bucket.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]))
-    close = (F.col("n") >= F.col("lead_n") * SIMILARITY) & (F.col("lead_n") >= F.col("n") * SIMILARITY)
-    found = written(verified(bucket.where((F.col("node") != F.col("lead")) & close).select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct(), texts))
-    label = components(found)
-    of_node = label.select("node", "label")
-    of_lead = label.select(F.col("node").alias("lead"), F.col("label").alias("lead_label"))
-    joined = bucket.where("size > 2").join(of_node, "node", "left").join(of_lead, "lead", "left")
-    same = F.coalesce("label", "node") == F.coalesce("lead_label", "lead")
-    apart = joined.where(~same).select("key", "node", "n")
-    many = apart.groupBy("key").agg(F.count("*").alias("k")).where("k > 1").select("key")
-    apart = written(apart.join(many, "key", "left_semi"))
-    if apart.isEmpty():
+    state, found = bucket.withColumn("class", F.col("node")), None
+    for k in range(ROUNDS):
+        order = F.xxhash64("node", F.lit(k))
+        lead = state.groupBy("key").agg(F.min(F.struct(order.alias("h"), "node", "n", "class")).alias("lead"))
+        close = (F.col("n") >= F.col("lead.n") * SIMILARITY) & (F.col("lead.n") >= F.col("n") * SIMILARITY)
+        pairs = state.join(lead, "key").where((F.col("class") != F.col("lead.class")) & close).select(F.col("lead.node").alias("a"), F.col("node").alias("b")).distinct()
+        new = written(verified(pairs, texts))
+        found = new if found is None else found.unionByName(new)
+        label = components(found)
+        state = written(bucket.join(label, "node", "left").select("key", "node", "n", F.coalesce("label", "node").alias("class")))
+    count = state.groupBy("key", "class").agg(F.count("*").alias("size"))
+    main = count.groupBy("key").agg(F.max(F.struct("size", "class")).alias("m"), F.count("*").alias("classes")).where("classes > 1").select("key", F.col("m.class").alias("main"))
+    apart = state.join(main, "key").groupBy("node").agg(F.first("n").alias("n"), F.first("class").alias("class"), F.max(F.col("class") != F.col("main")).alias("apart"))
+    members = written(apart)
+    if members.where("apart").isEmpty():
         return found
-    return found.unionByName(verified(rest(apart, texts), texts))
+    return found.unionByName(verified(rest(members, texts), texts))
 
 
 def classes(docs: DataFrame) -> DataFrame:
