@@ -108,7 +108,7 @@ def thinking(c: Column, close: str = "</think>") -> Column:
 
 def fenced(c: Column, language: str = "json") -> Column:
     """What a fenced code block of a language holds, else the text itself."""
-    inner = F.regexp_extract(c, f"(?s)```{language}\\s*(.*?)```", 1)
+    inner = F.regexp_extract(c, rf"(?s)```{language}\s*(.*?)\s*```", 1)
     return F.when(inner != "", F.trim(inner)).otherwise(c)
 
 
