@@ -86,14 +86,17 @@ def fit(rows: list[tuple[str | None, float]], least: int = 3, l2: float = 0.1, s
                 new = of(seen - {term} | {other})
                 swaps.append((np.setdiff1d(old, new), np.setdiff1d(new, old)))
     every, owner = np.concatenate(sets), np.repeat(np.arange(len(rows), dtype=np.int32), [len(x) for x in sets])
+    del sets
     df = np.bincount(every, minlength=len(names))
-    toxic = np.bincount(every[y[owner] >= 0.5], minlength=len(names))
+    toxic = np.bincount(every[(y >= 0.5)[owner]], minlength=len(names))
     base = y.mean()
     chosen = np.flatnonzero((df >= least) & (toxic > 1.5 * base * df) & (toxic >= 2))
-    place = np.full(len(names), -1)
-    place[chosen] = np.arange(len(chosen))
-    known = place[every] >= 0
-    idx, owner, n, d = place[every[known]], owner[known], len(rows), len(chosen)
+    place = np.full(len(names), -1, np.int32)
+    place[chosen] = np.arange(len(chosen), dtype=np.int32)
+    every = place[every]
+    known = every >= 0
+    idx, owner, n, d = every[known], owner[known], len(rows), len(chosen)
+    del every, known
     words_by_id = list(names)
     at = {words_by_id[k]: j for j, k in enumerate(chosen)}
     changes = [(m, p) for m, p in ((place[m][place[m] >= 0], place[p][place[p] >= 0]) for m, p in swaps) if len(m) or len(p)]
