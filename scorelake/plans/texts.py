@@ -34,7 +34,7 @@ _T = "n AS (SELECT *, lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS nr
 x AS (SELECT item_id, doc_id, CASE WHEN greatest(length(t), length(p)) = 0 THEN 0.0 ELSE levenshtein(rtrim(t), rtrim(p))::DOUBLE / greatest(length(t), length(p)) END AS dist FROM b, d),
 k AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY dist, doc_id) AS k FROM x) SELECT item_id, doc_id, round(dist, 6) AS dist FROM k WHERE k = 1""")
 def anls_best(spark, sf):
-    """For each benchmark item, the document whose opening is nearest by edit distance; items are a small, checked side."""
+    """For each benchmark item, the document whose opening is nearest by edit distance: a stated query set against all rows."""
     head = lambda c: F.substring(F.array_join(text.words(F.lower(_ascii(c))), " "), 1, 80)
     b = t(spark, sf, "benchmark").select("item_id", head(F.col("text")).alias("t"))
     d = t(spark, sf, "documents").select("doc_id", head(F.col("text")).alias("p"))
