@@ -147,9 +147,19 @@ def candidates(docs: DataFrame, parts: int, length: int, span: int) -> DataFrame
                 yield pd.DataFrame(rows, columns=["bucket", "entries"])
 
     def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = [pickle.loads(x) for b in batches for x in b["entries"]]
-        if not held:
-            return
+        """Bucket by bucket, as they stand in order, so that a task holds one bucket's entries."""
+        at, held = None, []
+        for b in batches:
+            for bucket, entries in zip(b["bucket"], b["entries"], strict=True):
+                if bucket != at and held:
+                    yield recurring(held)
+                    held = []
+                at = bucket
+                held.append(pickle.loads(entries))
+        if held:
+            yield recurring(held)
+
+    def recurring(held: list) -> pd.DataFrame:
         fp, kind, place = (np.concatenate([h[k] for h in held]) for k in (0, 1, 3))
         offset = np.cumsum([0] + [len(h[4]) for h in held])
         node = np.concatenate([h[2].astype(np.int64) + o for h, o in zip(held, offset, strict=False)])
@@ -160,9 +170,9 @@ def candidates(docs: DataFrame, parts: int, length: int, span: int) -> DataFrame
         keep = ~asked
         keep[asked] = seen[inverse] > 1
         names, places = _by_node(node[keep], nodes, place[keep][:, None].astype(np.int64))
-        yield pd.DataFrame({"node": names, "places": places})
+        return pd.DataFrame({"node": names, "places": places})
 
-    rows = docs.where("node is not null").mapInPandas(emit, "bucket int, entries binary").repartition("bucket").mapInPandas(decide, "node binary, places binary")
+    rows = docs.where("node is not null").mapInPandas(emit, "bucket int, entries binary").repartition("bucket").sortWithinPartitions("bucket").mapInPandas(decide, "node binary, places binary")
     return rows.groupBy("node").agg(F.collect_list("places").alias("places"))
 
 
