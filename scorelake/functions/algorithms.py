@@ -15,6 +15,7 @@ from collections import Counter
 from collections.abc import Callable, Sequence
 from html.parser import HTMLParser
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
@@ -43,6 +44,77 @@ def vectorised(f: Callable, returns: str):
 
 # Sequences and strings
 
+#: Pairs whose distances are summed at once, and bytes of their patterns' bit vectors.
+LANES, TABLE = 8192, 1 << 26
+
+
+def edit_distances(patterns: Sequence[str], texts: Sequence[str], p, q) -> np.ndarray:
+    """Levenshtein distance of each pair (patterns[p[k]], texts[q[k]]), whole and exact.
+
+    Myers' bit vectors in Hyyrö's form for blocks: a step takes one character of every pair's text against 64 of its
+    pattern's, so texts of any length have a bounded number of operations per 64 cells.
+    """
+    p, q = np.asarray(p, np.int64), np.asarray(q, np.int64)
+    out, sizes, blocks = np.zeros(len(p), np.int64), np.array([len(x) for x in texts], np.int64), np.array([-(-len(x) // 64) for x in patterns], np.int64)
+    for b in np.unique(blocks[p]):
+        lanes = np.flatnonzero(blocks[p] == b)
+        if not b:
+            out[lanes] = sizes[q[lanes]]
+            continue
+        lanes = lanes[np.argsort(p[lanes], kind="stable")]
+        while len(lanes):
+            part, known = lanes[:LANES], set()
+            for k, i in enumerate(np.unique(p[part])):  # as many patterns as the table has room for, one at least
+                known |= set(patterns[i])
+                if k and (k + 1) * (len(known) + 1) * int(b) * 8 > TABLE:
+                    part = part[p[part] < i]
+                    break
+            lanes = lanes[len(part) :]
+            out[part] = _block_distances(patterns, texts, p[part], q[part], int(b))
+    return out
+
+
+def _block_distances(patterns: Sequence[str], texts: Sequence[str], p: np.ndarray, q: np.ndarray, blocks: int) -> np.ndarray:
+    """The same for patterns of one number of blocks."""
+    code = lambda s: np.frombuffer(s.encode("utf-32-le", "surrogatepass"), np.uint32)
+    used, own = np.unique(p, return_inverse=True)
+    held, place = np.unique(q, return_inverse=True)
+    keys = [code(patterns[i]) for i in used]
+    letters = np.unique(np.concatenate(keys))
+    wide = len(letters) + 1  # the last letter is one of no pattern
+    table = np.zeros((blocks, len(used) * wide), np.uint64)
+    for r, x in enumerate(keys):
+        at = np.arange(len(x))
+        np.bitwise_or.at(table, (at >> 6, r * wide + np.searchsorted(letters, x)), np.uint64(1) << (at & 63).astype(np.uint64))
+    chars = [code(texts[i]) for i in held]
+    sizes = np.array([len(x) for x in chars], np.int64)
+    flat = np.concatenate(chars)
+    found = np.minimum(np.searchsorted(letters, flat), len(letters) - 1)
+    flat = np.where(letters[found] == flat, found, len(letters))
+    order = np.argsort(-sizes[place], kind="stable")
+    n, first, row = sizes[place][order], (np.cumsum(sizes) - sizes)[place][order], own[order] * wide
+    m = np.array([len(x) for x in keys], np.int64)[own][order]
+    top, one = ((m - 1) & 63).astype(np.uint64), np.uint64(1)
+    pv, mv = np.full((blocks, len(n)), ~np.uint64(0)), np.zeros((blocks, len(n)), np.uint64)
+    active, score = np.searchsorted(-n, -np.arange(int(n[0]) if len(n) else 0), "left"), m.copy()
+    for j, k in enumerate(active.tolist()):
+        rows, up, down = row[:k] + flat[first[:k] + j], np.ones(k, np.uint64), np.zeros(k, np.uint64)
+        for b in range(blocks):
+            e, v, w = table[b][rows], pv[b, :k], mv[b, :k]
+            x = e | w
+            e |= down
+            h = (((e & v) + v) ^ v) | e
+            plus, minus = w | ~(h | v), v & h
+            if b == blocks - 1:
+                score[:k] += ((plus >> top[:k]) & one).astype(np.int64) - ((minus >> top[:k]) & one).astype(np.int64)
+            up, plus = plus >> np.uint64(63), (plus << one) | up
+            down, minus = minus >> np.uint64(63), (minus << one) | down
+            pv[b, :k], mv[b, :k] = minus | ~(x | plus), plus & x
+    out = np.empty(len(n), np.int64)
+    out[order] = score
+    return out
+
+
 
 def damerau_levenshtein(a: Sequence, b: Sequence) -> int:
     """Edits, with exchange of neighbours, between two sequences (unrestricted)."""

@@ -7,6 +7,9 @@ from collections.abc import Sequence
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql.types import LongType, StructField, StructType
+
+from ..functions import algorithms
 
 
 def points_in_intervals(points: DataFrame, intervals: DataFrame, at: str, start: str, end: str, keys: Sequence[str] = (), width: float = 60.0, closed: bool = False) -> DataFrame:
@@ -132,6 +135,60 @@ def match_lines(df: DataFrame) -> DataFrame:
     return df.select("page", "targets", "preds").mapInPandas(run, "page long, target string, pred string, edit double")
 
 
+#: Pairs of a text and an item that are bounded at once.
+PAIRS = 2_000_000
+
+
+def nearest_texts(texts: DataFrame, items: DataFrame) -> DataFrame:
+    """item_id, doc_id and dist of the nearest text for each item. texts: doc_id, text; items: item_id, text.
+
+    The distance is the edit distance of the lower-cased, space-collapsed texts over the longer length of the texts as
+    they are. It is at least the difference of the collapsed lengths over that length, so pairs go by this bound, nearest first,
+    until the bound is beyond the item's best: no pair is dropped that could win or tie.
+    """
+    key = "item_id"
+    held = [(r[key], r["text"]) for r in items.distinct().collect()]
+    plain = lambda x: " ".join(x.lower().split())
+    raw = [x for _, x in held if x is not None]
+    known = texts.sparkSession.sparkContext.broadcast(([plain(x) for x in raw], [len(x.upper()) for x in raw]))
+
+    def run(batches):
+        patterns, longer = known.value
+        m, wide = np.array([len(x) for x in patterns], np.int64), np.array(longer, np.int64)
+        best, who = np.full(len(m), np.inf), [None] * len(m)
+        rows = max(1, PAIRS // max(len(m), 1))
+        for b in batches:
+            b = b[b["text"].notna() & b["doc_id"].notna()]
+            for at in range(0, len(b) if len(m) else 0, rows):
+                ids, whole = b["doc_id"].tolist()[at : at + rows], b["text"].tolist()[at : at + rows]
+                docs = [plain(x) for x in whole]
+                n, far = np.array([len(x) for x in docs], np.int64), np.array([len(x.upper()) for x in whole], np.int64)
+                longest = np.maximum(np.maximum(far[:, None], wide[None, :]), 1)
+                least = np.abs(n[:, None] - m[None, :]) / longest
+                near = np.flatnonzero(least <= best[None, :])
+                near = near[np.argsort(least.ravel()[near], kind="stable")]
+                size = algorithms.LANES
+                while len(near):
+                    part, near = near[:size], near[size:]
+                    q, p = np.divmod(part, len(m))
+                    keep = least[q, p] <= best[p]
+                    q, p = q[keep], p[keep]
+                    dist = algorithms.edit_distances(patterns, docs, p, q) / longest[q, p]
+                    for d, i, k in zip(dist.tolist(), q.tolist(), p.tolist(), strict=True):
+                        if d < best[k] or d == best[k] and ids[i] < who[k]:
+                            best[k], who[k] = d, ids[i]
+        found = [k for k in range(len(m)) if who[k] is not None]
+        yield pd.DataFrame({"k": found, "doc_id": [who[k] for k in found], "dist": best[found]})
+
+    kind, name = texts.schema["doc_id"].dataType.simpleString(), items.schema[key].dataType
+    near = texts.select("doc_id", "text").mapInPandas(run, f"k long, doc_id {kind}, dist double").groupBy("k").agg(F.min(F.struct("dist", "doc_id")).alias("m"))
+    place = iter(range(len(raw)))
+    numbered = [(next(place) if x is not None else None, i) for i, x in held]
+    own = texts.sparkSession.createDataFrame(numbered, StructType([StructField("k", LongType()), StructField(key, name)]))
+    each = own.join(near, "k", "left").groupBy(key).agg(F.min("m").alias("m"))
+    return each.select(key, "m.doc_id", F.round("m.dist", 6).alias("dist"))
+
+
 def greedy_matches(scores: np.ndarray) -> list[tuple[int, int, float]]:
     """Takes the largest score, drops its row and column, and so on while scores are above 0."""
     s, out = scores.astype(float).copy(), []

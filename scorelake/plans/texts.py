@@ -11,14 +11,10 @@ from .base import query, t
 _W = lambda c: f"list_filter(regexp_split_to_array(lower({c}), '\\s+'), lambda x: x <> '')"
 
 
-#: DuckDB's levenshtein counts bytes, so both sides compare ASCII text only.
+#: DuckDB's levenshtein counts bytes, so the SQL compares ASCII text only; the query takes whole texts.
 _ASCII = r"regexp_replace(text, '[^\x00-\x7F]', '', 'g')"
 
 
-def _ascii(c):
-    return F.regexp_replace(c, r"[^\x00-\x7F]", "")
-
-
 def _turns(spark, sf):
     """Pairs of a user turn and the assistant's next one."""
     c = t(spark, sf, "conversations")
@@ -34,12 +30,9 @@ _T = "n AS (SELECT *, lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS nr
 x AS (SELECT item_id, doc_id, CASE WHEN greatest(length(t), length(p)) = 0 THEN 0.0 ELSE levenshtein(rtrim(t), rtrim(p))::DOUBLE / greatest(length(t), length(p)) END AS dist FROM b, d),
 k AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY dist, doc_id) AS k FROM x) SELECT item_id, doc_id, round(dist, 6) AS dist FROM k WHERE k = 1""")
 def anls_best(spark, sf):
-    """For each benchmark item, the document whose opening is nearest by edit distance: a stated query set against all rows."""
-    head = lambda c: F.substring(F.array_join(text.words(F.lower(_ascii(c))), " "), 1, 80)
-    b = t(spark, sf, "benchmark").select("item_id", head(F.col("text")).alias("t"))
-    d = t(spark, sf, "documents").select("doc_id", head(F.col("text")).alias("p"))
-    x = d.crossJoin(b).select("item_id", "doc_id", similarity.anls_distance(F.col("p"), F.col("t")).alias("dist"))
-    return x.groupBy("item_id").agg(F.min(F.struct("dist", "doc_id")).alias("m")).select("item_id", "m.doc_id", F.round("m.dist", 6).alias("dist"))
+    """For each benchmark item, the document nearest by edit distance of the whole texts, the smallest doc_id among equals:
+    a stated query set, held by every worker, against all rows. A null document is near to nothing; a null item has no document."""
+    return joins.nearest_texts(t(spark, sf, "documents").select("doc_id", "text"), t(spark, sf, "benchmark").select("item_id", "text"))
 
 
 @query("""WITH a AS (SELECT conv_id, list(length(text) % 3 ORDER BY turn) AS t, min(length(text) % 3) AS p FROM conversations GROUP BY conv_id),
