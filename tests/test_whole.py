@@ -38,3 +38,10 @@ def test_anls_best_compares_whole_texts(spark, tmp_path):
     got = {r["item_id"]: (r["dist"], r["doc_id"]) for r in registry.QUERIES["anls_best"](spark, sf).collect()}
     assert got == {k: (round(d, 6), i) for k, (d, i) in want.items()}
     assert got[0][1] == 2 and got[1][1] == 1
+
+
+def test_sequence_metrics_take_every_word(spark, tmp_path):
+    pairs = [("a b c d e f g", "a b c d e f x"), ("a b c d e f", "a b c d e f g h"), ("a b c d e f g h", "a b c d e f g h"), ("a", "b")]
+    turns = [{"conv_id": k, "turn": i, "role": ("user", "assistant")[i], "text": x} for k, p in enumerate(pairs) for i, x in enumerate(p)]
+    got = {r["conv_id"]: (r["equality"], r["accuracy"], r["prefix_ratio"]) for r in registry.QUERIES["sequence_metrics"](spark, saved(tmp_path, conversations=turns)).collect()}
+    assert got == {0: (0.0, round(6 / 7, 6), round(6 / 7, 6)), 1: (0.0, 0.0, 1.0), 2: (1.0, 1.0, 1.0), 3: (0.0, 0.0, 0.0)}
