@@ -114,31 +114,49 @@ def levenshtein(a: Sequence, b: Sequence) -> int:
     return last[-1]
 
 
+#: Pairs of texts that are held at once.
+PAIRS = 2_000_000
+
+
 def match_lines(df: DataFrame) -> DataFrame:
     """df: page, targets, preds (arrays of text). Pairs of least total edit distance over the longer length; targets
     without a partner have edit 1; all predictions without one make one row, joined, with edit 1."""
 
+    def scored(pages):
+        """Rows of pages, whose distances are taken at once."""
+        lines = list(dict.fromkeys(x for _, t, p in pages for x in (*t, *p)))
+        at = {x: k for k, x in enumerate(lines)}
+        own = [(np.array([at[x] for x in t], int), np.array([at[y] for y in p], int)) for _, t, p in pages]
+        dist = algorithms.edit_distances(lines, lines, np.concatenate([np.repeat(x, len(y)) for x, y in own]), np.concatenate([np.tile(y, len(x)) for x, y in own]))
+        begin, out = 0, []
+        for page, t, p in pages:
+            longer = np.maximum(np.array(list(map(len, t)), int)[:, None], np.array([max(len(y), 1) for y in p], int)[None, :])
+            cost = dist[begin : begin + len(t) * len(p)].reshape(len(t), len(p)) / longer
+            begin += len(t) * len(p)
+            pairs = assignment(cost) if t and p else []
+            out += [(page, t[i], p[j], float(cost[i, j])) for i, j in pairs]
+            got, used = {i for i, _ in pairs}, {j for _, j in pairs}
+            out += [(page, t[i], "", 1.0) for i in range(len(t)) if i not in got]
+            if rest := [p[j] for j in range(len(p)) if j not in used]:
+                out.append((page, "", "".join(rest), 1.0))
+        return pd.DataFrame(out, columns=["page", "target", "pred", "edit"])
+
     def run(batches):
         for b in batches:
-            out = []
+            pages, n = [], 0
             for page, targets, preds in zip(b["page"], b["targets"], b["preds"], strict=True):
                 t, p = list(targets if targets is not None else []), list(preds if preds is not None else [])
-                dist = lambda x, y: levenshtein(x, y) / max(len(x), len(y), 1)
-                pairs = assignment(np.array([[dist(x, y) for y in p] for x in t])) if t and p else []
-                out += [(page, t[i], p[j], dist(t[i], p[j])) for i, j in pairs]
-                got, used = {i for i, _ in pairs}, {j for _, j in pairs}
-                out += [(page, t[i], "", 1.0) for i in range(len(t)) if i not in got]
-                if rest := [p[j] for j in range(len(p)) if j not in used]:
-                    out.append((page, "", "".join(rest), 1.0))
-            yield pd.DataFrame(out, columns=["page", "target", "pred", "edit"])
+                if pages and n + len(t) * len(p) > PAIRS:
+                    yield scored(pages)
+                    pages, n = [], 0
+                pages.append((page, t, p))
+                n += len(t) * len(p)
+            if pages:
+                yield scored(pages)
 
     return df.select("page", "targets", "preds").mapInPandas(run, "page long, target string, pred string, edit double")
 
 
-#: Pairs of a text and an item that are bounded at once.
-PAIRS = 2_000_000
-
-
 def nearest_texts(texts: DataFrame, items: DataFrame) -> DataFrame:
     """item_id, doc_id and dist of the nearest text for each item. texts: doc_id, text; items: item_id, text.
 

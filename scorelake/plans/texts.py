@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Window, functions as F
 
-from ..functions import similarity, text
+from ..functions import algorithms, similarity, text
 from ..operators import joins, ordered, report
 from .base import query, t
 
@@ -86,22 +86,26 @@ def bag_f1(spark, sf):
     return _turns(spark, sf).select("conv_id", "turn", F.round(similarity.bag_f1(w("pred"), w("target")), 6).alias("f1"))
 
 
+#: A paragraph: any attributes, and line ends, up to its end tag.
+_P = r"""(?is)<p(?:\s(?:[^>"']|"[^"]*"|'[^']*')*+)?>(.*?)</p\s*>"""
+
+
 @query(r"""WITH p AS (SELECT page_id, [trim(regexp_replace(x, '<[^>]*>|[^\x00-\x7F]', '', 'g')) FOR x IN regexp_extract_all(html, '<p>([^\n]*?)</p>', 1)] AS l FROM pages), i AS (SELECT page_id, l, unnest(range(1, len(l) + 1)) AS i FROM p), e AS (SELECT page_id, l[i] AS x, coalesce(l[i + 1], '') AS nxt FROM i),
 s AS (SELECT page_id, levenshtein(substr(x, 1, 60), substr(nxt, 1, 60)) AS d, greatest(length(substr(x, 1, 60)), length(substr(nxt, 1, 60))) AS m FROM e), g AS (SELECT page_id, sum(d)::DOUBLE / nullif(sum(m), 0) AS r, count(*) AS n FROM s GROUP BY page_id)
 SELECT page_id % 4 AS attribute, count(*) AS pages, round(avg(r), 6) AS edit FROM g GROUP BY ALL""")
 def page_attribute_edit(spark, sf):
-    """Edit distance of consecutive paragraphs: sums over a page, means over pages of an attribute."""
-    l = F.transform(F.regexp_extract_all("html", F.lit(r"<p>([^\n]*?)</p>"), 1), lambda x: F.trim(F.regexp_replace(x, r"<[^>]*>|[^\x00-\x7F]", "")))
+    """Edit distance of consecutive paragraphs, whole: sums over a page, means over pages of an attribute."""
+    l = F.transform(F.regexp_extract_all("html", F.lit(_P), 1), lambda x: F.trim(F.regexp_replace(x, "<[^>]*>", "")))
     p = t(spark, sf, "pages").select("page_id", l.alias("l"))
-    e = p.select("page_id", F.posexplode("l").alias("i", "x"), "l").select("page_id", F.substring("x", 1, 60).alias("x"), F.substring(F.coalesce(F.get("l", F.col("i") + 1), F.lit("")), 1, 60).alias("y"))
-    g = e.groupBy("page_id").agg(F.try_divide(F.sum(F.levenshtein("x", "y")).cast("double"), F.sum(F.greatest(F.length("x"), F.length("y")))).alias("r"))
+    e = p.select("page_id", F.posexplode("l").alias("i", "x"), "l").select("page_id", "x", F.coalesce(F.get("l", F.col("i") + 1), F.lit("")).alias("y"))
+    g = e.withColumn("d", algorithms.edit_distance("x", "y")).groupBy("page_id").agg(F.try_divide(F.sum("d").cast("double"), F.sum(F.greatest(F.length("x"), F.length("y")))).alias("r"))
     return g.groupBy((F.col("page_id") % 4).alias("attribute")).agg(F.count(F.lit(1)).alias("pages"), F.round(F.avg("r"), 6).alias("edit"))
 
 
 @query()
 def line_assignment(spark, sf):
-    """Lines of each page against the next page's, matched for least edit distance."""
-    lines = F.transform(F.slice(F.regexp_extract_all("html", F.lit(r"<a href=\"[^\"]*\">([^<]*)</a>"), 1), 1, 12), lambda x: F.substring(x, 1, 60))
+    """All lines of each page against the next page's, matched for least edit distance."""
+    lines = F.regexp_extract_all("html", F.lit(r"<a href=\"[^\"]*\">([^<]*)</a>"), 1)
     p = t(spark, sf, "pages").select(F.col("page_id").alias("page"), lines.alias("targets"))
     nxt = p.select((F.col("page") - 1).alias("page"), F.col("targets").alias("preds"))
     return joins.match_lines(p.join(nxt, "page"))

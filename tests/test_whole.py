@@ -18,8 +18,8 @@ def saved(path, **tables):
 def test_edit_distances_equal_brute_force():
     rng = random.Random(3)
     make = lambda n, letters: "".join(rng.choice(letters) for _ in range(n))
-    patterns = ["", "a", *(make(n, "abñ") for n in (3, 63, 64, 65, 128, 129, 200)), make(90, "語日本a")]
-    texts = ["", "b", *(make(n, "abcñ") for n in (5, 64, 100, 180)), make(70, "語日x"), patterns[-2] + "tail"]
+    patterns = ["", "a", *(make(n, "abñ") for n in (3, 63, 64, 65, 128, 129, 200)), make(90, "語日本a"), make(1500, "abc")]
+    texts = ["", "b", *(make(n, "abcñ") for n in (5, 64, 100, 180)), make(70, "語日x"), make(40, "ab") + patterns[-1][:1400]]
     p, q = map(list, zip(*[(i, j) for i in range(len(patterns)) for j in range(len(texts))], strict=True))
     want = [joins.levenshtein(patterns[i], texts[j]) for i, j in zip(p, q, strict=True)]
     assert algorithms.edit_distances(patterns, texts, p, q).tolist() == want
@@ -45,3 +45,28 @@ def test_sequence_metrics_take_every_word(spark, tmp_path):
     turns = [{"conv_id": k, "turn": i, "role": ("user", "assistant")[i], "text": x} for k, p in enumerate(pairs) for i, x in enumerate(p)]
     got = {r["conv_id"]: (r["equality"], r["accuracy"], r["prefix_ratio"]) for r in registry.QUERIES["sequence_metrics"](spark, saved(tmp_path, conversations=turns)).collect()}
     assert got == {0: (0.0, round(6 / 7, 6), round(6 / 7, 6)), 1: (0.0, 0.0, 1.0), 2: (1.0, 1.0, 1.0), 3: (0.0, 0.0, 0.0)}
+
+
+def test_page_attribute_edit_takes_whole_paragraphs(spark, tmp_path):
+    a, b = "x" * 70 + "abcñ", "x" * 70 + "dé"
+    html = [f"<p>{a}</p><p>{b}</p>", f'<p class="a>b">one\n{a}</p\n><P id=k>two <b>{b}</b></P><pre>no</pre>', "<p>a\nb</p>"]
+    lines = [[a, b], ["one\n" + a, "two " + b], ["a\nb"]]
+    sf = saved(tmp_path, pages={"page_id": range(3), "html": html})
+    want = {}
+    for k, l in enumerate(lines):
+        pairs = list(zip(l, [*l[1:], ""], strict=True))
+        want[k] = (1, round(sum(joins.levenshtein(x, y) for x, y in pairs) / sum(max(len(x), len(y)) for x, y in pairs), 6))
+    assert {r["attribute"]: (r["pages"], r["edit"]) for r in registry.QUERIES["page_attribute_edit"](spark, sf).collect()} == want
+
+
+def test_line_assignment_takes_all_lines(spark, tmp_path):
+    rng = random.Random(7)
+    names = ["".join(rng.choice("abcñ") for _ in range(rng.randint(1, 90))) for _ in range(15)]
+    long = "x" * 60
+    pages = [[*names, long + "a"], [*names[::-1], long + "b"], names[:14]]
+    html = ["".join(f'<a href="/{i}">{x}</a>' for i, x in enumerate(p)) for p in pages]
+    got = registry.QUERIES["line_assignment"](spark, saved(tmp_path, pages={"page_id": range(3), "html": html})).collect()
+    first = sorted((r["target"], r["pred"], r["edit"]) for r in got if r["page"] == 0)
+    assert first == sorted([(x, x, 0.0) for x in names] + [(long + "a", long + "b", 1 / 61)])
+    second = [r for r in got if r["page"] == 1]
+    assert len(second) == 16 and sum(r["pred"] == "" and r["edit"] == 1.0 for r in second) == 2
