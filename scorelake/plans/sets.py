@@ -49,11 +49,12 @@ def cosine_pairs(spark, sf):
 
 @query()
 def frechet_by_label(spark, sf):
-    """Fréchet distance of each label's vectors to those of the smallest label; only moments (dimensions squared) reach the driver."""
-    e = t(spark, sf, "embeddings").select("label", F.slice("embedding", 1, 8).alias("v"))
+    """Fréchet distance of each label's vectors to those of the smallest label, over all components; only moments (dimensions squared) reach the driver."""
+    found = stats.moments(t(spark, sf, "embeddings"), "embedding", ["label"]).collect()  # labels * dimensions squared rows
+    size = max((r["i"] for r in found), default=-1) + 1
     held: dict = {}
-    for r in stats.moments(e, "v", ["label"]).collect():  # labels * 64 rows
-        mean, cov = held.setdefault(r["label"], (np.zeros(8), np.zeros((8, 8))))
+    for r in found:
+        mean, cov = held.setdefault(r["label"], (np.zeros(size), np.zeros((size, size))))
         mean[r["i"]], cov[r["i"], r["j"]] = r["mean"], r["cov"]
     first = held[min(held)] if held else None
     return spark.createDataFrame([(int(k), round(stats.frechet(*first, *v), 6)) for k, v in sorted(held.items())], "label int, distance double")

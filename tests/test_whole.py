@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pandas as pd
 
 from scorelake import registry
@@ -70,3 +71,13 @@ def test_line_assignment_takes_all_lines(spark, tmp_path):
     assert first == sorted([(x, x, 0.0) for x in names] + [(long + "a", long + "b", 1 / 61)])
     second = [r for r in got if r["page"] == 1]
     assert len(second) == 16 and sum(r["pred"] == "" and r["edit"] == 1.0 for r in second) == 2
+
+
+def test_frechet_takes_every_component(spark, tmp_path):
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(60, 11))
+    x[30:, :8] = x[:30, :8]
+    x[30:, 8:] = x[:30, 8:] + [0, 0, 3]  # only the mean of the eleventh differs
+    sf = saved(tmp_path, embeddings={"label": [0] * 30 + [1] * 30, "embedding": x.tolist()})
+    got = {r["label"]: r["distance"] for r in registry.QUERIES["frechet_by_label"](spark, sf).collect()}
+    assert abs(got[0]) < 1e-5 and abs(got[1] - 9) < 1e-5
