@@ -5,45 +5,91 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
-def _draw(*parts: Column, n: Column) -> Column:
-    """A deterministic draw from 0..n-1: a linear congruence of the parts, the same in any SQL engine."""
-    total = F.lit(12345).cast("long")
-    for p in parts:
-        total = F.pmod(total * 1103515245 + p.cast("long") * 12820163 + 12345, F.lit(2147483647))
-    return F.pmod(F.floor(total / 65536) * 31 + total, n)
+PRIME = 2147483647
+#: Parts that the replicates are cut into, each a task's work on one stratum.
+PARTS = 16
+
+
+def _scalar(total: int, part: int) -> int:
+    """A deterministic draw, the same in any SQL engine, is a linear congruence of its parts: the state after one more."""
+    return (total * 1103515245 + part * 12820163 + 12345) % PRIME
+
+
+def _spread(parts: np.ndarray) -> np.ndarray:
+    """What the last parts of draws add to the state: (state * 1103515245 + this) % PRIME."""
+    return (parts.astype(np.int64) % PRIME * 12820163 + 12345) % PRIME
+
+
+def _mix(total: np.ndarray) -> np.ndarray:
+    """The state as a draw, before its modulus."""
+    return (total >> 16) * 31 + total
+
+
+def _mean(v: np.ndarray) -> float:
+    """Mean of what is not null."""
+    s = v.sum()
+    if s == s:
+        return s / len(v) if len(v) else np.nan
+    held = v[~np.isnan(v)]
+    return held.sum() / len(held) if len(held) else np.nan
+
+
+def _replicated(df: DataFrame, stratum: str, order: str, columns: dict[str, Column], replicates: int, f, name: str) -> DataFrame:
+    """replicate and a value (null for NaN) by f(rows of a stratum in order, replicates) for each stratum and part of the replicates."""
+    size = -(-replicates // PARTS)
+    parts = F.explode(F.sequence(F.lit(0), F.lit((replicates - 1) // size))).alias("__part")
+    rows = df.where(F.col(stratum).isNotNull()).select(F.col(stratum).alias("__stratum"), F.col(order).cast("long").alias("__order"), *[c.alias(k) for k, c in columns.items()], parts)
+
+    def run(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
+        at = range(key[1] * size, min((key[1] + 1) * size, replicates))
+        return pd.DataFrame({"replicate": list(at), name: f(g.sort_values("__order", kind="stable"), at)})
+
+    found = rows.groupBy("__stratum", "__part").applyInPandas(run, f"replicate int, {name} double")
+    return found.withColumn(name, F.nanvl(name, F.lit(None)))
 
 
 def bootstrap(df: DataFrame, stratum: str, order: str, value: str, replicates: int = 1000) -> DataFrame:
     """Mean over strata of the means of each replicate's draws (as many as a stratum has rows, with replacement), then
     the 2.5 and 97.5 percentiles over replicates.
 
-    A replicate needs a stratum's values by place, so each stratum is numbered once and draws join on (stratum, place):
-    rows * replicates draws are made and summed map-side, none are collected.
+    A replicate needs a stratum's values by place: each part of the replicates takes every stratum's values once as
+    arrays, and gives one mean per replicate and stratum; no draw becomes a row.
     """
-    w = Window.partitionBy(stratum).orderBy(order)
-    rows = df.withColumn("place", F.row_number().over(w) - 1)
-    size = rows.groupBy(stratum).agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("seed"))
-    slots = rows.select(stratum, F.col("place").alias("slot")).join(size, stratum).withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    drawn = slots.select(stratum, "replicate", _draw(F.col("seed"), F.col("replicate"), F.col("slot"), n=F.col("n")).alias("place"))
-    means = drawn.join(rows.select(stratum, F.col("place").cast("long").alias("place"), value), [stratum, "place"]).groupBy("replicate", stratum).agg(F.avg(value).alias("m"))
-    each = means.groupBy("replicate").agg(F.avg("m").alias("mean"))
+
+    def means(g: pd.DataFrame, at: range) -> list[float]:
+        v, slot = g["v"].to_numpy(np.float64), _spread(np.arange(len(g)))
+        start = _scalar(12345, int(g["__order"].iloc[0]))
+        return [_mean(v[_mix((_scalar(start, k) * 1103515245 + slot) % PRIME) % len(v)]) for k in at]
+
+    each = _replicated(df, stratum, order, {"v": F.col(value).cast("double")}, replicates, means, "m").groupBy("replicate").agg(F.avg("m").alias("mean"))
     return each.agg(F.round(F.avg("mean"), 6).alias("mean"), F.round(F.percentile("mean", F.lit(0.025)), 6).alias("low"), F.round(F.percentile("mean", F.lit(0.975)), 6).alias("high"))
 
 
-def permutation(df: DataFrame, stratum: str, order: str, group: str, value: str, replicates: int = 1000) -> DataFrame:
+def permutation(df: DataFrame, stratum: str, order: str, group: str, value: str, replicates: int = 10000) -> DataFrame:
     """p-value of the difference of means of two groups (group is boolean): the share of within-stratum relabellings
-    whose absolute difference of mean-of-strata is at least the observed one."""
+    whose absolute difference of mean-of-strata is at least the observed one.
+
+    A relabelling gives the first group's name to the rows with the least draws, as many as it has. Each part of the
+    replicates takes every stratum's values once as arrays, and gives one difference per replicate and stratum."""
     n_a = df.groupBy(stratum).agg(F.count_if(F.col(group)).alias("n_a"), F.count(F.lit(1)).alias("n")).where("n_a > 0 and n_a < n")
     base = df.join(n_a, stratum)
-    gap = lambda d, keys: d.groupBy(*keys, stratum).agg((F.avg(F.when(F.col("a"), F.col(value))) - F.avg(F.when(~F.col("a"), F.col(value)))).alias("g")).groupBy(*keys).agg(F.round(F.avg("g"), 9).alias("d"))
-    seen = gap(base.withColumn("a", F.col(group)), []).select(F.col("d").alias("observed"))
-    each = base.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    h = _draw(F.col("replicate"), F.col(order), n=F.lit(2147483647))
-    w = Window.partitionBy("replicate", stratum).orderBy(h, order)
-    shuffled = gap(each.withColumn("a", F.row_number().over(w) <= F.col("n_a")), ["replicate"])
+    seen = base.groupBy(stratum).agg((F.avg(F.when(F.col(group), F.col(value))) - F.avg(F.when(~F.col(group), F.col(value)))).alias("g")).agg(F.round(F.avg("g"), 9).alias("observed"))
+
+    def gaps(g: pd.DataFrame, at: range) -> list[float]:
+        v, last, n = g["v"].to_numpy(np.float64), _spread(g["__order"].to_numpy()), int(g["n_a"].iloc[0])
+        place, out = np.arange(len(v)), []
+        for k in at:
+            draw = _mix((_scalar(12345, k) * 1103515245 + last) % PRIME) % PRIME
+            order = np.argpartition(draw << 32 | place, n - 1)
+            out.append(_mean(v[order[:n]]) - _mean(v[order[n:]]))
+        return out
+
+    each = _replicated(base, stratum, order, {"v": F.col(value).cast("double"), "n_a": F.col("n_a")}, replicates, gaps, "g")
+    shuffled = each.groupBy("replicate").agg(F.round(F.avg("g"), 9).alias("d"))
     return shuffled.crossJoin(seen).agg(F.max("observed").alias("observed"), F.round(F.avg((F.abs("d") >= F.abs("observed")).cast("double")), 6).alias("p"))
 
 

@@ -24,7 +24,7 @@ m AS (SELECT replicate, d.lang, avg(hit) AS m FROM d JOIN p ON d.lang = p.lang A
 SELECT round(avg(mean), 6) AS mean, round(quantile_cont(mean, 0.025), 6) AS low, round(quantile_cont(mean, 0.975), 6) AS high FROM e""")
 def bootstrap_ci(spark, sf):
     r = rated(spark, sf).withColumn("hit", (F.col("truth") == F.col("pred")).cast("int"))
-    return stats.bootstrap(r, "lang", "doc_id", "hit", 50)
+    return stats.bootstrap(r, "lang", "doc_id", "hit", 1000)
 
 
 @query(f"""WITH {R}, x AS (SELECT lang, doc_id, hit, doc_id % 2 = 0 AS a FROM r), z AS (SELECT lang, count(*) FILTER (a) AS na, count(*) AS n FROM x GROUP BY lang HAVING count(*) FILTER (a) BETWEEN 1 AND count(*) - 1), b AS (SELECT x.*, na FROM x JOIN z USING (lang)),
@@ -34,7 +34,7 @@ p AS (SELECT replicate, round(avg(g), 9) AS d FROM (SELECT replicate, lang, avg(
 SELECT max(o.d) AS observed, round(avg((abs(p.d) >= abs(o.d))::INT), 6) AS p FROM p, o""")
 def permutation_test(spark, sf):
     r = rated(spark, sf).withColumns({"hit": (F.col("truth") == F.col("pred")).cast("int"), "a": F.col("doc_id") % 2 == 0})
-    return stats.permutation(r.select("lang", "doc_id", "hit", F.col("a").alias("g")), "lang", "doc_id", "g", "hit", 50)
+    return stats.permutation(r.select("lang", "doc_id", "hit", F.col("a").alias("g")), "lang", "doc_id", "g", "hit", 10000)
 
 
 @query("""WITH m AS (SELECT label, i, avg(x::DOUBLE) AS m FROM (SELECT label, unnest(embedding) AS x, unnest(range(0, len(embedding))) AS i FROM embeddings) GROUP BY ALL), c AS (SELECT label, list(m ORDER BY i) AS c FROM m GROUP BY label)

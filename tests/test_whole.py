@@ -81,3 +81,40 @@ def test_frechet_takes_every_component(spark, tmp_path):
     sf = saved(tmp_path, embeddings={"label": [0] * 30 + [1] * 30, "embedding": x.tolist()})
     got = {r["label"]: r["distance"] for r in registry.QUERIES["frechet_by_label"](spark, sf).collect()}
     assert abs(got[0]) < 1e-5 and abs(got[1] - 9) < 1e-5
+
+
+def draw(*parts, n):
+    total = 12345
+    for p in parts:
+        total = (total * 1103515245 + p * 12820163 + 12345) % 2147483647
+    return ((total // 65536) * 31 + total) % n
+
+
+def rated(path):
+    rng = random.Random(9)
+    docs = [{"doc_id": i * 7 + 3, "text": "", "lang": "ab"[i % 3 == 0], "source": "s"} for i in range(30)]
+    labels = [{"doc_id": d["doc_id"], "quality": rng.randint(0, 1), "toxic": int(rng.random() < 0.4)} for d in docs]
+    rows = [(d["lang"], d["doc_id"], float(x["quality"] == x["toxic"])) for d, x in zip(docs, labels, strict=True)]
+    return saved(path, documents=docs, labels=labels), [[r[1:] for r in rows if r[0] == lang] for lang in "ab"]
+
+
+def test_bootstrap_takes_a_thousand_resamples(spark, tmp_path):
+    sf, strata = rated(tmp_path)
+    means = [np.mean([np.mean([s[draw(s[0][0], k, i, n=len(s))][1] for i in range(len(s))]) for s in strata]) for k in range(1000)]
+    r = registry.QUERIES["bootstrap_ci"](spark, sf).first()
+    assert [r["mean"], r["low"], r["high"]] == [round(float(x), 6) for x in (np.mean(means), np.quantile(means, 0.025), np.quantile(means, 0.975))]
+
+
+def test_permutation_takes_ten_thousand_relabellings(spark, tmp_path):
+    sf, strata = rated(tmp_path)
+    gap = lambda a, b: sum(a) / len(a) - sum(b) / len(b)
+    seen = round(np.mean([gap([v for i, v in s if i % 2 == 0], [v for i, v in s if i % 2]) for s in strata]), 9)
+    hits = 0
+    for k in range(10000):
+        each = []
+        for s in strata:
+            v, n = [x for *_, x in sorted((draw(k, i, n=2147483647), i, x) for i, x in s)], sum(i % 2 == 0 for i, _ in s)
+            each.append(gap(v[:n], v[n:]))
+        hits += abs(round(np.mean(each), 9)) >= abs(seen)
+    r = registry.QUERIES["permutation_test"](spark, sf).first()
+    assert (round(r["observed"], 9), r["p"]) == (seen, round(hits / 10000, 6)) and 0 < hits < 10000
