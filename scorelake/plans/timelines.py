@@ -111,8 +111,7 @@ def one_second_concat(spark, sf):
 @query("""WITH l AS (SELECT *, CASE WHEN lag(role) OVER o <> role THEN 1 ELSE 0 END AS new FROM (SELECT * , turn % 3 AS z FROM conversations WHERE turn % 3 <> 1) WINDOW o AS (PARTITION BY conv_id ORDER BY turn)),
 i AS (SELECT *, sum(new) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS island FROM l) SELECT conv_id, CAST(island AS BIGINT) AS island, role, string_agg(text, ' ' ORDER BY turn) AS text, count(*) AS n FROM i GROUP BY ALL""")
 def history_islands(spark, sf):
-    c = t(spark, sf, "conversations").where("turn % 3 <> 1")
-    return ordered.history(c, ["conv_id"], ["turn"], "role", "text")
+    return ordered.history(t(spark, sf, "conversations"), ["conv_id"], ["turn"], "role", "text")
 
 
 @query(f"""WITH {S}, v AS (SELECT *, CASE WHEN event_id % 3 = 0 THEN value ELSE 0.0 END AS x FROM g) SELECT event_id, round(coalesce(last_value(nullif(x, 0.0) IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY start, event_id ROWS UNBOUNDED PRECEDING), 0.0), 6) AS filled FROM v""")

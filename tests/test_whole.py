@@ -118,3 +118,17 @@ def test_permutation_takes_ten_thousand_relabellings(spark, tmp_path):
         hits += abs(round(np.mean(each), 9)) >= abs(seen)
     r = registry.QUERIES["permutation_test"](spark, sf).first()
     assert (round(r["observed"], 9), r["p"]) == (seen, round(hits / 10000, 6)) and 0 < hits < 10000
+
+
+def test_resume_takes_every_label(spark, tmp_path):
+    sf = saved(tmp_path, documents={"doc_id": range(6), "text": ["x"] * 6}, labels={"doc_id": [1, 2, 3, 3, 4], "quality": [1, 0, 0, 1, 1], "toxic": [0] * 5})
+    got = {r["doc_id"]: (r["result"], r["todo"]) for r in registry.QUERIES["resume_anti_join"](spark, sf).collect()}
+    assert got == {0: (None, True), 1: (1, False), 2: (0, False), 3: (1, False), 4: (1, False), 5: (None, True)}
+
+
+def test_history_takes_every_turn(spark, tmp_path):
+    roles = ["user", "assistant", "assistant", "user", "user", "user", "assistant"]
+    turns = [{"conv_id": 4, "turn": i, "role": r, "text": f"t{i}"} for i, r in enumerate(roles)]
+    got = registry.QUERIES["history_islands"](spark, saved(tmp_path, conversations=turns)).collect()
+    want = [(0, "user", "t0", 1), (1, "assistant", "t1 t2", 2), (2, "user", "t3 t4 t5", 3), (3, "assistant", "t6", 1)]
+    assert sorted((r["island"], r["role"], r["text"], r["n"]) for r in got) == want
