@@ -5,7 +5,7 @@ over all ways to cut it into pieces, by the forward algorithm; a text's is the p
 probabilities are trained by expectation maximisation (forward-backward over the same segmentations).
 
 Training reads at most ``TRAIN_DOCS`` labelled documents of each language, the first by a hash of doc_id: a bounded,
-documented sample; prediction reads every document whole.
+documented sample, learnt from whole, words of any length included; prediction reads every document whole.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0; with no training rows at all, every text
 is; a null lang teaches nothing; ties between languages go to the smaller name; a character outside the vocabulary has
@@ -31,8 +31,9 @@ UNKNOWN = 1e-7
 MEMO = 200_000
 #: Characters of a word up to which plain products do not underflow.
 LONG = 40
-#: Words whose sums are taken at once.
+#: Words whose sums are taken at once, and characters of those over LONG.
 BLOCK = 4096
+STRETCH = 1 << 15
 
 
 def letter_words(text: str) -> list[bytes]:
@@ -106,7 +107,19 @@ class Unigrams:
         return alpha[-1]
 
     def expected(self, words: list[str], counts: np.ndarray) -> np.ndarray:
-        """Expected count of each piece in each language; counts: of each word (of at most LONG characters)."""
+        """Expected count of each piece in each language; counts: of each word, of any length."""
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        short, far = np.flatnonzero(size <= LONG), np.flatnonzero(size > LONG)
+        out = self.expected_short([words[k] for k in short], counts[short])
+        cuts = np.flatnonzero(np.diff(np.cumsum(size[far]) // STRETCH)) + 1
+        for part in np.split(far, cuts) if len(far) else []:
+            out += self.expected_long([words[k] for k in part], counts[part])
+        return out
+
+    def expected_short(self, words: list[str], counts: np.ndarray) -> np.ndarray:
+        """The same for words of at most LONG characters, in plain products."""
+        if not words:
+            return np.zeros((len(self.p) - 1, self.p.shape[1]))
         first, last, a, e, i = self.edges(words)
         owner = np.searchsorted(first, a, "right") - 1
         alpha, beta = (np.zeros((int(last[-1]) + 1, self.p.shape[1])) for _ in "ab")
@@ -118,6 +131,25 @@ class Unigrams:
         share = alpha[a] * self.p[i] * beta[e] * (counts / np.maximum(alpha[last], 1e-300))[owner]
         return np.stack([np.bincount(i, share[:, k], len(self.p)) for k in range(share.shape[1])], axis=1)[:-1]
 
+    def expected_long(self, words: list[str], counts: np.ndarray) -> np.ndarray:
+        """The same in logarithms."""
+
+        def total(x: np.ndarray, at: np.ndarray) -> np.ndarray:
+            top = np.maximum.reduceat(x, at)
+            return top + np.log(np.add.reduceat(np.exp(x - np.repeat(top, np.diff(at, append=len(x)), axis=0)), at))
+
+        first, last, a, e, i = self.edges(words)
+        owner = np.searchsorted(first, a, "right") - 1
+        p = np.log(self.p)
+        alpha, beta = (np.full((int(last[-1]) + 1, self.p.shape[1]), -np.inf) for _ in "ab")
+        alpha[first], beta[last] = 0, 0
+        for part, to, at in self.steps(e, e - first[owner]):
+            alpha[to] = total(alpha[a[part]] + p[i[part]], at)
+        for part, to, at in self.steps(a, last[owner] - a):
+            beta[to] = total(beta[e[part]] + p[i[part]], at)
+        share = np.exp(alpha[a] + p[i] + beta[e] - alpha[last][owner]) * counts[owner]
+        return np.stack([np.bincount(i, share[:, k], len(self.p)) for k in range(share.shape[1])], axis=1)[:-1]
+
 
 def train(rows: list[tuple[str, str]], pieces: list[str], rounds: int = ROUNDS) -> tuple[list[str], np.ndarray]:
     """Languages, sorted, and the probability of each piece in each."""
@@ -126,12 +158,11 @@ def train(rows: list[tuple[str, str]], pieces: list[str], rounds: int = ROUNDS)
     seen: Counter = Counter()
     for text, lang in rows:
         seen.update((w, at[lang]) for w in letter_words(text))
-    known = sorted({w for w, _ in seen if len(w) <= LONG})
+    known = sorted({w for w, _ in seen})
     place = {w: k for k, w in enumerate(known)}
     counts = np.zeros((len(known), len(languages)))
     for (w, k), n in seen.items():
-        if w in place:
-            counts[place[w], k] = n
+        counts[place[w], k] = n
     texts = [w.decode("utf-8", "replace") for w in known]
     p = np.full((len(pieces), len(languages)), 1 / len(pieces))
     for _ in range(rounds if known else 0):

@@ -137,6 +137,21 @@ def test_language_training_tells_languages_apart():
     assert language_id.Judge([], np.zeros((1, 0)), ["a"])(["abc"]) == (["und"], [0.0])
 
 
+def test_language_training_learns_from_long_words():
+    """Scripts without spaces: a sentence is one word, of more than 40 bytes or characters."""
+    r = random.Random(4)
+    make = lambda often: "".join(r.choice("天地人山水" + often * 8) for _ in range(r.choice((15, 30, 200))))
+    rows = [(make(often), lang) for often, lang in (("日", "a"), ("月", "b"), ("火", "c")) for _ in range(8)]
+    known = sorted("天地人山水日月火") + ["日日", "月月", "火火"]
+    names, p = language_id.train(rows, known)
+    assert language_id.Judge(names, p, known)(["日月日日", "月月火天月", "火天火日火"])[0] == ["a", "b", "c"]
+    m, words, counts = language_id.Unigrams(known, p), ["日日日月", "天", "月月月月火火"], np.arange(1.0, 10).reshape(3, 3)
+    assert np.allclose(m.expected_long(words, counts), m.expected(words, counts))
+    long = ["日" * 39 + "月月", "火" * 3000]
+    n = m.expected(long, np.ones((2, 3)))
+    assert np.isfinite(n).all() and (n.T @ [len(k) for k in known]) == pytest.approx([3041] * 3)
+
+
 def test_graph_recall():
     v = np.random.default_rng(5).standard_normal((800, 16))
     g = hnsw.Graph(v)
