@@ -261,14 +261,25 @@ def classes(docs: DataFrame) -> DataFrame:
 
 
 def dedup(docs: DataFrame) -> DataFrame:
-    """Rows of docs, all columns, one document of each class: that with the smallest doc_id; repeated rows once."""
-    found = classes(docs.select("doc_id", "text"))
-    gone = written(found.where("doc_id <> class_id").select("doc_id").distinct())
-    kept = docs.join(gone, "doc_id", "left_anti")
-    n = docs.agg(F.count("doc_id").alias("n"), F.countDistinct("doc_id").alias("d")).first()
-    if n["n"] > n["d"]:
-        kept = kept.where("doc_id is null").unionByName(kept.where("doc_id is not null").dropDuplicates(["doc_id"]))
-    return kept
+    """Rows of docs, all columns, one of each class: the smallest by doc_id (none is last), then by node; repeated rows once.
+
+    Rows count, not their doc_id: unlike texts under one doc_id both stay, and copies without a doc_id go. A null text is
+    alone, and once under its doc_id.
+    """
+    own = nodes_of(docs)
+    rows = own.where("node is not null").join(components(links(own)), "node", "left").select("doc_id", "node", F.coalesce("label", "node").alias("class"))
+    held = written(rows.groupBy("class", "doc_id", "node").agg(F.count("*").alias("n")))
+    first = held.groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")).alias("first"))
+    kept = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("node") == F.col("first.node"))
+    gone = written(held.join(first, "class").where(~kept).select(F.col("doc_id").alias("__doc"), F.col("node").alias("__gone")))
+    noted = docs.withColumn("__node", F.unhex(F.md5("text")))
+    left = noted.join(gone, noted["doc_id"].eqNullSafe(gone["__doc"]) & (noted["__node"] == gone["__gone"]), "left_anti")
+    empty = docs.where("text is null").groupBy("doc_id").count().where("doc_id is not null and count > 1")
+    if not (held.where("n > 1").isEmpty() and empty.isEmpty()):
+        known = F.col("__node").isNotNull()
+        alone = left.where(~known)
+        left = left.where(known).dropDuplicates(["doc_id", "__node"]).unionByName(alone.where("doc_id is null")).unionByName(alone.where("doc_id is not null").dropDuplicates(["doc_id"]))
+    return left.drop("__node")
 
 
 def query(spark, sf_dir) -> DataFrame:

@@ -107,6 +107,15 @@ def test_order_minhash(spark, corpus):
     assert sorted(r["doc_id"] for r in order_minhash.dedup(twice).collect()) == [5, 6]
 
 
+def test_dedup_goes_by_row(spark):
+    """Unlike texts under one doc_id stay, and copies go whether or not they have a doc_id."""
+    one, two, three, four = "a b c d e f g", "h i j k l m n", "o p q r s t u", "v w x y z"
+    rows = [(1, one), (1, two), (2, one), (2, three), (None, four), (None, four), (None, one), (3, None), (3, None), (4, two), (1, one)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((tuple(r) for r in order_minhash.dedup(df).collect()), key=str)
+    assert got == sorted([(1, one), (1, two), (2, three), (None, four), (3, None)], key=str)
+
+
 def test_rest_finds_pairs_apart_from_the_bucket_leader(spark):
     """Nodes that share a bucket with a leader unlike them are still compared with each other."""
     a, b = "p q r s t u v w x y".split(), "k l m n o i j h g f".split()
