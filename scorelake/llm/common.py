@@ -37,11 +37,33 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
+#: Folders of the tables written and not yet discarded, oldest first.
+kept: list[str] = []
+
+
 def written(df: DataFrame) -> DataFrame:
     """df as a table in the shared folder: lineage ends there, so a lost executor costs no recomputation."""
     path = f"{shared_dir(df.sparkSession)}/written-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    kept.append(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables made by written() that nothing reads any more; other frames are left alone."""
+    for t in tables:
+        if path := getattr(t, "written_to", None):
+            discard_paths(t.sparkSession, [path])
+
+
+def discard_paths(spark: SparkSession, paths: list[str]) -> None:
+    for path in list(paths):
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        if path in kept:
+            kept.remove(path)
 
 
 #: Bytes of lower-cased ASCII letters, digits and everything beyond ASCII; the rest become spaces.

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from .common import written
+from .common import discard, written
 
 MOST_ROUNDS = 100
 
@@ -24,7 +24,9 @@ def components(links: DataFrame) -> DataFrame:
         new = written(near.join(jump, near["label"] == jump["via"]).select("node", F.col("next").alias("label")))
         old = labels.select(F.col("node").alias("n"), F.col("label").alias("was"))
         moved = new.join(old, new["node"] == old["n"]).where(F.col("label") != F.col("was")).isEmpty()
+        discard(labels)
         labels = new
         if moved:
+            discard(both)
             return labels
     raise RuntimeError(f"components did not settle in {MOST_ROUNDS} rounds")

@@ -6,10 +6,14 @@ text order; documents with an equal band are candidates. Two documents are linke
 and m are their numbers of shingles and L is the length of the best alignment without crossings. That allows at most
 (n + m) / 9 unmatched shingles, which bounds the band of diagonals that the alignment visits.
 
-Equal texts are one node. In ROUNDS rounds, each bucket's nodes are held against one of them, if it is of another class,
-and classes are formed anew. Nodes that are then outside the largest class of a bucket are compared with all nodes of
-other classes through an exact prefix filter: two sets of this similarity share one of their rarest fifth of shingles.
-So no candidate pair of different classes goes unverified, and no bucket is spelled out into all pairs.
+Equal texts, and texts with equal sequences of shingles, are one node. A bucket holds the nodes with one band. Its nodes
+are ranked by how many others they share buckets with, so those in the middle of a group of copies come first. A round
+holds the nodes of a bucket against those of the next ranks as leaders (rank 0, then up to 3, 15, 63 and so on), and
+classes are formed anew; buckets of one class are done. A node meets a leader only if it ranks behind it, is of another
+class and passes two exact bounds, of length and of differing bits of a bitmap of its shingles. So a round's rows are
+linear in the bucket's nodes, and no bucket is spelled out into all pairs. The rounds end when no bucket has two classes
+or unheld pairs, or when a round beyond rank 15 links nothing: buckets of up to 17 nodes are always decided whole, and of
+larger ones the pairs left are those whose both ends lie far from the middle (see the README for what that costs).
 
 Defined cases: a null text is alone in its class; texts without words are copies only of equal texts; texts of any length
 are compared whole; rows that repeat a doc_id fall into one class if their texts do; rows without a doc_id get the
@@ -24,9 +28,9 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import bound_batches, table, words, written
+from .common import bound_batches, discard, table, words, written
 from .components import components
 from .pieces import Memo
 
@@ -34,7 +38,9 @@ BANDS = 16
 LEAST = 3
 WORDS = 5
 SIMILARITY = 0.8
-ROUNDS = 2
+SURE = 16  # ranks that are always held against their buckets
+GROWTH = 4
+BIT_WORDS = 64  # the longest bitmap, in 64-bit words
 _ODD = np.random.default_rng(20).integers(1, 1 << 62, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -159,8 +165,19 @@ def nodes_of(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text", F.unhex(F.md5("text")).alias("node"))
 
 
+def bitmap(x: np.ndarray) -> list[int]:
+    """One bit per labelled shingle, in a power of two of words: texts that differ in d bits differ in d shingles or more."""
+    size = 1
+    while size < BIT_WORDS and size * 16 < len(x):
+        size *= 2
+    at = np.unique((x * _ODD[42]) >> np.uint64(64 - 6 - size.bit_length() + 1))
+    out = np.zeros(size, np.uint64)
+    np.bitwise_or.at(out, (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
+    return out.view(np.int64).tolist()
+
+
 def sketches(docs: DataFrame) -> DataFrame:
-    """node, n (shingles), keys, for every text with words; docs: node, text."""
+    """node, whole (hash of all shingles), n (shingles), keys, bits, for every text with words; docs: node, text."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingle = Shingler()
@@ -168,11 +185,11 @@ def sketches(docs: DataFrame) -> DataFrame:
             out = {}
             for node, text in zip(b["node"], b["text"], strict=True):
                 if node not in out and len(s := shingle(text)):
-                    out[node] = (len(s), sketch(s))
-            yield pd.DataFrame({"node": list(out), "n": [v[0] for v in out.values()], "keys": [v[1] for v in out.values()]})
+                    out[node] = (xxhash.xxh128_digest(s.tobytes()), len(s), sketch(s), bitmap(labelled(s)))
+            yield pd.DataFrame({"node": list(out), **{c: [v[k] for v in out.values()] for k, c in enumerate(("whole", "n", "keys", "bits"))}})
 
-    rows = docs.where("node is not null").mapInPandas(run, "node binary, n int, keys array<long>")
-    return rows.groupBy("node").agg(F.first("n").alias("n"), F.first("keys").alias("keys"))
+    rows = docs.where("node is not null").mapInPandas(run, "node binary, whole binary, n int, keys array<long>, bits array<long>")
+    return rows.groupBy("node").agg(*[F.first(c).alias(c) for c in ("whole", "n", "keys", "bits")])
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -195,64 +212,70 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return pairs.join(two, "b").join(one, "a").select("a", "x", "b", "y").mapInPandas(run, "a binary, b binary")
 
 
-def rest(members: DataFrame, texts: DataFrame) -> DataFrame:
-    """Candidate pairs by a prefix filter over shingles, rarest first. members: node, n, class, apart.
+def near(n: Column, m: Column, x: Column, y: Column) -> Column:
+    """Can nodes of n and m shingles with bitmaps x and y be similar? No pair that is similar fails."""
+    most = F.floor((n + m) * ((1 - SIMILARITY) / (1 + SIMILARITY)) + 1e-9)
+    unlike = F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, v: s + v)
+    return (F.abs(n - m) <= most) & F.when(F.size(x) == F.size(y), unlike <= most).otherwise(True)
+
+
+def held_against(rows: DataFrame, low: int, high: int) -> DataFrame:
+    """Pairs (a, b) of nodes that may be similar: the leaders of ranks low to high - 1 of each bucket with those behind.
 
-    Pairs are of a node that is apart and one of another class, so nodes of a large class are never paired with each
-    other.
+    rows: key, node, n, bits, centre (the rank's order, largest first), class.
     """
+    rank = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("centre"), "node"))
+    lead = rows.withColumn("rank", rank).where(F.col("rank") <= high).where(F.col("rank") > low).drop("rank")
+    lead = lead.select("key", *[F.col(c).alias(f"lead_{c}") for c in ("node", "n", "bits", "centre", "class")])
+    behind = (F.col("centre") < F.col("lead_centre")) | ((F.col("centre") == F.col("lead_centre")) & (F.col("node") > F.col("lead_node")))
+    met = behind & (F.col("class") != F.col("lead_class")) & near(F.col("n"), F.col("lead_n"), F.col("bits"), F.col("lead_bits"))
+    return rows.join(lead, "key").where(met).select(F.col("lead_node").alias("a"), F.col("node").alias("b")).distinct()
 
-    def tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shingle = Shingler()
-        for b in batches:
-            for node, text in zip(b["node"], b["text"], strict=True):
-                x = labelled(shingle(text)).view(np.int64)
-                yield pd.DataFrame({"node": [node] * len(x), "token": x})
-
-    own = written(members.select("node").join(texts, "node").select("node", "text").mapInPandas(tokens, "node binary, token long"))
-    count = own.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
-    # Of n shingles, the first n - ceil(0.8 n) + 1 by rarity; those of one node alone match nothing but take their places.
-    size = own.groupBy("node").agg(F.count("*").alias("n"))
-    lists = own.join(count, "token").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("shared"))
-    reach = (F.col("n") - F.ceil(F.col("n") * SIMILARITY - 1e-9) + 1) - (F.col("n") - F.size("shared"))
-    prefix = lists.join(size, "node").where(reach > 0).select("node", F.explode(F.slice("shared", F.lit(1), reach.cast("int"))["token"]).alias("token"))
-    held = written(members.join(prefix, "node").select("token", "node", "n", "class", "apart"))
-    other = held.select("token", F.col("node").alias("with"), F.col("n").alias("m"), F.col("class").alias("of"))
-    close = (F.col("n") >= F.col("m") * SIMILARITY) & (F.col("m") >= F.col("n") * SIMILARITY)
-    found = held.where("apart").join(other, "token").where((F.col("class") != F.col("of")) & close)
-    return found.select(F.least("node", "with").alias("a"), F.greatest("node", "with").alias("b")).distinct()
-
-
-def links(docs: DataFrame) -> DataFrame:
-    """Similar pairs (a, b) of nodes that join all classes; docs: doc_id, text, node."""
+
+def labels(docs: DataFrame) -> DataFrame:
+    """node, label (the smallest node of its class) of the nodes that may be in a class with others; docs: text, node."""
     sketched = written(sketches(docs.select("node", "text")))
-    member = sketched.select("node", "n", F.explode("keys").alias("key"))
-    shared = member.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").select("key")
-    bucket = written(member.join(shared, "key"))
-    texts = written(docs.select("node", "text").join(bucket.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]))
-    state, found = bucket.withColumn("class", F.col("node")), None
-    for k in range(ROUNDS):
-        order = F.xxhash64("node", F.lit(k))
-        lead = state.groupBy("key").agg(F.min(F.struct(order.alias("h"), "node", "n", "class")).alias("lead"))
-        close = (F.col("n") >= F.col("lead.n") * SIMILARITY) & (F.col("lead.n") >= F.col("n") * SIMILARITY)
-        pairs = state.join(lead, "key").where((F.col("class") != F.col("lead.class")) & close).select(F.col("lead.node").alias("a"), F.col("node").alias("b")).distinct()
-        new = written(verified(pairs, texts))
-        found = new if found is None else found.unionByName(new)
-        label = components(found)
-        state = written(bucket.join(label, "node", "left").select("key", "node", "n", F.coalesce("label", "node").alias("class")))
-    count = state.groupBy("key", "class").agg(F.count("*").alias("size"))
-    main = count.groupBy("key").agg(F.max(F.struct("size", "class")).alias("m"), F.count("*").alias("classes")).where("classes > 1").select("key", F.col("m.class").alias("main"))
-    apart = state.join(main, "key").groupBy("node").agg(F.first("n").alias("n"), F.first("class").alias("class"), F.max(F.col("class") != F.col("main")).alias("apart"))
-    members = written(apart)
-    if members.where("apart").isEmpty():
-        return found
-    return found.unionByName(verified(rest(members, texts), texts))
+    one = sketched.groupBy("whole").agg(F.min_by(F.struct("node", "n", "keys", "bits"), "node").alias("first")).select("whole", "first.*")
+    equal = sketched.select("whole", F.col("node").alias("also")).join(one.select("whole", "node"), "whole").where("also <> node").select("node", "also")
+    posting = one.select("node", F.explode("keys").alias("key"))
+    shared = posting.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    bucket = written(posting.join(shared, "key"))
+    centre = bucket.groupBy("node").agg(F.sum("size").alias("centre"))
+    members = written(one.select("node", "n", "bits").join(centre, "node").withColumn("class", F.col("node")))
+    texts = written(docs.select("node", "text").join(members.select("node"), "node", "left_semi").dropDuplicates(["node"]))
+    low, high = 0, 1
+    while True:
+        rows = bucket.join(members, "node").select("key", "size", "node", "n", "bits", "centre", "class")
+        open_ = rows.groupBy("key").agg((F.min("class") != F.max("class")).alias("open")).where("open").select("key")
+        rows = written(rows.where(F.col("size") > low + 1).join(open_, "key", "left_semi"))
+        new = written(verified(held_against(rows, low, high), texts))
+        linked = not new.isEmpty()
+        if linked:
+            of = members.select("node", "class")
+            ends = new.join(of.toDF("a", "x"), "a").join(of.toDF("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+            into = components(ends)
+            merged = written(members.join(into.toDF("class", "into"), "class", "left").select("node", "n", "bits", "centre", F.coalesce("into", "class").alias("class")))
+            discard(members, into)
+            members = merged
+        narrowed = written(rows.select("key", "size", "node"))
+        done = not linked and (high >= SURE or rows.isEmpty())
+        discard(new, bucket, rows)
+        bucket = narrowed
+        if done:
+            break
+        low, high = high, high * GROWTH
+    discard(bucket, texts)
+    label = members.select("node", F.col("class").alias("label"))
+    also = equal.join(label, "node", "left").select(F.col("also").alias("node"), F.coalesce("label", "node").alias("label"))
+    out = written(label.unionByName(also))
+    discard(members, sketched)
+    return out
 
 
 def classes(docs: DataFrame) -> DataFrame:
     """doc_id, class_id (the smallest doc_id of the class) for every row of docs (doc_id, text)."""
     docs = nodes_of(docs)
-    label = components(links(docs))
+    label = labels(docs)
     rows = docs.select("doc_id", "node").join(label, "node", "left").select("doc_id", F.coalesce("label", "node").alias("class"))
     alone = rows.where("class is null").select("doc_id", F.col("doc_id").alias("class_id"))
     rows = rows.where("class is not null")
@@ -267,7 +290,7 @@ def dedup(docs: DataFrame) -> DataFrame:
     alone, and once under its doc_id.
     """
     own = nodes_of(docs)
-    rows = own.where("node is not null").join(components(links(own)), "node", "left").select("doc_id", "node", F.coalesce("label", "node").alias("class"))
+    rows = own.where("node is not null").join(labels(own), "node", "left").select("doc_id", "node", F.coalesce("label", "node").alias("class"))
     held = written(rows.groupBy("class", "doc_id", "node").agg(F.count("*").alias("n")))
     first = held.groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")).alias("first"))
     kept = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("node") == F.col("first.node"))

@@ -116,14 +116,41 @@ def test_dedup_goes_by_row(spark):
     assert got == sorted([(1, one), (1, two), (2, three), (None, four), (3, None)], key=str)
 
 
-def test_rest_finds_pairs_apart_from_the_bucket_leader(spark):
+def test_pairs_apart_from_the_bucket_leader_are_found(spark):
     """Nodes that share a bucket with a leader unlike them are still compared with each other."""
     a, b = "p q r s t u v w x y".split(), "k l m n o i j h g f".split()
     texts = [" ".join(a * 4), " ".join([*b * 4, "z"]), " ".join([*b * 4, "y"]), "e d c"]
-    nodes = order_minhash.nodes_of(docs_frame(spark, texts)).select("node", "text").withColumn("n", F.lit(36))
-    members = nodes.select("node", "n", F.col("node").alias("class"), F.lit(True).alias("apart"))
-    pairs = order_minhash.rest(members, nodes.select("node", "text"))
-    assert order_minhash.verified(pairs, nodes.select("node", "text")).count() == 1
+    nodes = order_minhash.nodes_of(docs_frame(spark, texts)).select("node", "text").where("node is not null")
+    rows = order_minhash.sketches(nodes).select(F.lit(7).alias("key"), "node", "n", "bits", F.when(F.col("n") == 36, 9).otherwise(1).alias("centre"), F.col("node").alias("class"))
+    found = [order_minhash.verified(order_minhash.held_against(rows, *r), nodes).count() for r in ((0, 1), (1, 4))]
+    assert found == [0, 1]
+
+
+def test_bitmap_bound_keeps_every_similar_pair(spark):
+    r = random.Random(9)
+    base = [r.randrange(1 << 20) for _ in range(120)]
+    seqs = [base]
+    for k in range(40):
+        v = list(base)
+        for _ in range(k // 4):
+            v[r.randrange(len(v))] = r.randrange(1 << 20)
+        seqs.append(v[: 120 - k % 7] + v[: k % 5])
+    seqs = [np.array(v, np.uint64) for v in seqs]
+    rows = [(i, len(v), order_minhash.bitmap(order_minhash.labelled(v))) for i, v in enumerate(seqs)]
+    df = spark.createDataFrame(rows, "i int, n int, x array<long>")
+    other = df.toDF("j", "m", "y")
+    may = {tuple(p) for p in df.crossJoin(other).where(order_minhash.near(F.col("n"), F.col("m"), F.col("x"), F.col("y"))).select("i", "j").collect()}
+    like = {(i, j) for i, a in enumerate(seqs) for j, b in enumerate(seqs) if order_minhash.aligned(a, b)}
+    assert like <= may and len(like) > 100 and len(may) < len(seqs) ** 2
+
+
+def test_equal_shingles_are_one_class_and_tables_go(spark):
+    from scorelake.llm import common
+
+    left = len(common.kept)
+    got = {r["doc_id"]: r["class_id"] for r in order_minhash.classes(docs_frame(spark, ["A b, c d e f", "a b c d e f!", "a b c d e g h i", None])).collect()}
+    assert got == {0: 0, 1: 0, 2: 2, 3: 3}
+    assert len(common.kept) == left + 1
 
 
 def brute_decontaminate(texts, items, window):
