@@ -18,10 +18,12 @@ _TAG = re.compile(r"""<!--(?s:.*?)(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)
 _ATTR = re.compile(r"""(?<![^\s"'])(class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _HIDDEN = re.compile(r"""(?<![^\s"'])hidden(?=[\s=/]|$)|display\s*:\s*none""", re.I)
 
+_OTHER = re.compile(r"[^a-z]+")
+
 
 class Block(NamedTuple):
     text: str  # decoded, white space in runs of one, trimmed; never empty
-    path: str  # ``tag.attribute words`` of the open blocks, outermost first, by ' > '
+    path: str  # ``tag.attribute=words`` of the open blocks, outermost first, by ' > '; words are runs of a-z, by spaces
     linked: int  # characters inside links
 
 
@@ -33,13 +35,13 @@ def blocks(html: str | None) -> list[Block]:
     stack: list[tuple[str, str]] = [("", "")]
     parts: list[str] = []
     link, linked, at, n = 0, 0, 0, len(html)
+    open_ended: set[str] = set()
 
     def flush() -> None:
         nonlocal linked
         if parts:
-            text = "".join(parts)
+            text = " ".join("".join(parts).split())
             parts.clear()
-            text = " ".join((unescape(text) if "&" in text else text).split())
             if text:
                 out.append(Block(text, stack[-1][1], linked))
         linked = 0
@@ -48,7 +50,8 @@ def blocks(html: str | None) -> list[Block]:
         m = _TAG.search(html, at)
         upto = m.start() if m else n
         if upto > at:
-            parts.append(html[at:upto])
+            run = html[at:upto]
+            parts.append(unescape(run) if "&" in run else run)  # before joining: a reference does not go on across a tag
             if link:
                 linked += upto - at
         if not m:
@@ -61,7 +64,9 @@ def blocks(html: str | None) -> list[Block]:
         if tag in RAW:
             if close or attrs.endswith("/"):
                 continue
-            end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(html, at)
+            end = None if tag in open_ended else re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(html, at)
+            if not end:
+                open_ended.add(tag)  # no end tag follows: it is not looked for again
             if tag == "head" and not end:
                 end = re.compile(r"(?=<body[\s>])", re.I).search(html, at)
             if end:
@@ -87,9 +92,9 @@ def blocks(html: str | None) -> list[Block]:
                     words = tag
                     if attrs and not attrs.isspace():
                         for name, a, b, c in _ATTR.findall(attrs):
-                            words += f".{name.lower()}={a or b or c}"
+                            words += f".{name.lower()}={_OTHER.sub(' ', (a or b or c).lower())}"
                         if _HIDDEN.search(attrs):
-                            words += ".hidden=1"
+                            words += ".hidden=yes"
                     stack.append((tag, f"{stack[-1][1]} > {words}" if stack[-1][1] else words))
     flush()
     return out

@@ -5,7 +5,8 @@ class, id, role and itemprop attributes, and the block's text: length, share ins
 are trained by the conditional likelihood on labelled pages (html_pages.py); Viterbi decodes a page.
 
 Defined cases: a null or empty page, or one without an article block, has the empty text; scripts, styles, forms'
-controls and other raw elements are no blocks; pages of any length are read whole; repeated rows are read row by row.
+controls and other raw elements are no blocks; a block that is hidden by attribute or inline style is seen as such by
+the features, so it is left out; pages of any length are read whole; repeated rows are read row by row.
 """
 
 from __future__ import annotations

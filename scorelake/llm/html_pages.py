@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import random
 
-_SYLLABLES = "an be ca di el fo ga hi in jo ka le mo ni or pe qu ra se ti un ve wa xi yo zu th st ch ment tion eau keit ción ß é ö ñ".split()
+_SYLLABLES = "an be ca di el fo ga hi in jo ka le mo ni or pe qu ra se ti un ve wa xi yo zu th st ch".split()
 #: How containers of a kind are written; {} holds their content.
 KINDS = {
     "menu": ["<nav>{}</nav>", '<nav class="navbar">{}</nav>', '<div class="menu">{}</div>', '<div id="nav">{}</div>', '<div role="navigation">{}</div>', '<ul class="breadcrumbs">{}</ul>', '<div class="pagination">{}</div>', '<menu>{}</menu>', '<div class="toc">{}</div>'],
@@ -15,6 +15,7 @@ KINDS = {
     "advert": ['<div class="ad">{}</div>', '<div class="ads">{}</div>', '<div class="advert">{}</div>', '<div class="advertisement">{}</div>', '<div class="sponsored">{}</div>', '<div class="promo">{}</div>', '<aside class="ad">{}</aside>', '<div id="ad-1">{}</div>', '<section class="promo">{}</section>', '<p class="ad">{}</p>'],
     "form": ["<form>{}</form>", '<form class="newsletter">{}</form>', '<div class="subscribe">{}</div>', '<form id="search">{}</form>', '<div class="signup">{}</div>', "<fieldset>{}</fieldset>"],
     "share": ['<div class="share">{}</div>', '<ul class="social">{}</ul>', '<div class="tags">{}</div>'],
+    "hidden": ["<div hidden>{}</div>", '<div style="display:none">{}</div>', '<section style="display: none;">{}</section>', '<p hidden="hidden">{}</p>', '<div class="text" hidden>{}</div>'],
     "comment": ['<div class="comments">{}</div>', '<section class="comments">{}</section>', '<section id="comments">{}</section>', '<div id="comments">{}</div>', '<div class="comment">{}</div>', '<ol class="commentlist">{}</ol>', '<div id="disqus">{}</div>', '<article class="comment">{}</article>', '<div class="replies">{}</div>'],
 }
 ARTICLES = ["<article>{}</article>", '<article class="post">{}</article>', "<main>{}</main>", "<main><article>{}</article></main>", '<div class="content">{}</div>', '<div id="content">{}</div>', '<div class="article-body">{}</div>', '<div class="entry-content">{}</div>', '<div class="post">{}</div>', '<section class="story">{}</section>', '<div role="main">{}</div>', '<div id="main"><div class="text">{}</div></div>', "<div><div>{}</div></div>", '<div itemprop="articleBody">{}</div>']
@@ -29,7 +30,7 @@ class Maker:
         return " ".join(w).capitalize()
 
     def sentences(self, most: int) -> str:
-        return " ".join(self.words(self.r.randint(1, 14)) + self.r.choice((".", ".", "?", "!", ":", "", "|", "*", "$", ")")) for _ in range(self.r.randint(1, most)))
+        return " ".join(self.words(self.r.randint(1, 14)) + self.r.choice((".", ".", ".", "?", "!", ":", "")) for _ in range(self.r.randint(1, most)))
 
     def marked(self, label: int, text: str) -> str:
         """The label stands before a block's text, as a character that no page has."""
@@ -73,7 +74,7 @@ class Maker:
             elif x < 0.96:
                 out.append(f"<figure><figcaption>{mark(self.words(6))}</figcaption></figure>")
             else:
-                out.append(self.other(r.choice(("advert", "notice", "share", "sidebar", "form", "comment", "menu"))))
+                out.append(self.other(r.choice(("advert", "notice", "share", "sidebar", "form", "comment", "menu", "hidden", "hidden"))))
         if r.random() < 0.15:
             out.append(self.other("comment"))
         return r.choice(ARTICLES).format("".join(out))
@@ -81,7 +82,7 @@ class Maker:
     def page(self) -> str:
         r = self.r
         before = [self.other(k) for k in ("header", "menu", "notice", "advert", "sidebar", "form") if r.random() < 0.5]
-        after = [self.other(k) for k in ("comment", "share", "sidebar", "advert", "form", "menu", "notice") if r.random() < 0.4]
+        after = [self.other(k) for k in ("comment", "share", "sidebar", "advert", "form", "menu", "notice", "hidden") if r.random() < 0.4]
         r.shuffle(before)
         if r.random() < 0.85:
             after.append(self.other("footer"))

@@ -226,7 +226,8 @@ def held_against(rows: DataFrame, low: int, high: int) -> DataFrame:
     """
     rank = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("centre"), "node"))
     lead = rows.withColumn("rank", rank).where(F.col("rank") <= high).where(F.col("rank") > low).drop("rank")
-    lead = lead.select("key", *[F.col(c).alias(f"lead_{c}") for c in ("node", "n", "bits", "centre", "class")])
+    # A table of its own, so that the join below is one between two exchanges, whose hot keys are split.
+    lead = written(lead.select("key", *[F.col(c).alias(f"lead_{c}") for c in ("node", "n", "bits", "centre", "class")]))
     behind = (F.col("centre") < F.col("lead_centre")) | ((F.col("centre") == F.col("lead_centre")) & (F.col("node") > F.col("lead_node")))
     met = behind & (F.col("class") != F.col("lead_class")) & near(F.col("n"), F.col("lead_n"), F.col("bits"), F.col("lead_bits"))
     return rows.join(lead, "key").where(met).select(F.col("lead_node").alias("a"), F.col("node").alias("b")).distinct()
@@ -245,9 +246,9 @@ def labels(docs: DataFrame) -> DataFrame:
     texts = written(docs.select("node", "text").join(members.select("node"), "node", "left_semi").dropDuplicates(["node"]))
     low, high = 0, 1
     while True:
-        rows = bucket.join(members, "node").select("key", "size", "node", "n", "bits", "centre", "class")
-        open_ = rows.groupBy("key").agg((F.min("class") != F.max("class")).alias("open")).where("open").select("key")
-        rows = written(rows.where(F.col("size") > low + 1).join(open_, "key", "left_semi"))
+        rows = bucket.where(F.col("size") > low + 1).join(members, "node").select("key", "size", "node", "n", "bits", "centre", "class")
+        unlike = written(rows.groupBy("key").agg((F.min("class") != F.max("class")).alias("open")).where("open").select("key"))
+        rows = written(rows.join(unlike, "key", "left_semi"))
         new = written(verified(held_against(rows, low, high), texts))
         linked = not new.isEmpty()
         if linked:
@@ -259,7 +260,7 @@ def labels(docs: DataFrame) -> DataFrame:
             members = merged
         narrowed = written(rows.select("key", "size", "node"))
         done = not linked and (high >= SURE or rows.isEmpty())
-        discard(new, bucket, rows)
+        discard(new, bucket, rows, unlike)
         bucket = narrowed
         if done:
             break

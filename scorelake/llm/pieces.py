@@ -112,11 +112,17 @@ class Streaming:
         out: list[int] = []
         for at in range(0, len(chars), self.STEP):
             self._feed(chars[at : at + self.STEP])
-            if len(self.score) > 2 * self.p.longest:
-                self.held = max(self.held, len(self.score))
+            self.held = max(self.held, len(self.score))
+            if len(self.score) > self.p.longest:
                 out += self._commit()
         return out
 
+    def settle(self) -> list[int]:
+        """For a place that no piece reaches across: one path survives, the one that ends here, and its ids are given out."""
+        out = self._give(len(self.score) - 1)
+        self.tail = ""
+        return out
+
     def _feed(self, chars: str) -> None:
         base, score, start, ids, singles, unknown = self.base, self.score, self.start, self.ids, self.p.singles, self.p.unknown
         begin = done = self.end - base
@@ -160,8 +166,7 @@ class Streaming:
             live.add(max(self.start[top], 0))
         return self._give(live.pop())
 
-    def finish(self) -> list[int]:
-        return self._give(len(self.score) - 1)
+    finish = settle
 
     def _give(self, boundary: int) -> list[int]:
         path, e = [], boundary
@@ -178,17 +183,17 @@ class Streaming:
 
 
 class Memo(dict):
-    """word -> value, computed when first asked for; it is emptied when full, so a worker's memory is bounded."""
+    """word -> value, computed when first asked for; it is emptied when full, so a worker's memory is bounded. With most = 0 nothing is kept."""
 
     def __init__(self, of, most: int = MEMO):
         super().__init__()
         self.of, self.most = of, most
 
     def __missing__(self, key):
-        if len(self) >= self.most:
+        if self.most and len(self) >= self.most:
             self.clear()
         value = self.of(key)
-        if len(key) <= 64:
+        if self.most and len(key) <= 64:
             self[key] = value
         return value
 

@@ -1,9 +1,10 @@
 """SentencePiece encoding by streaming Viterbi, and decoding.
 
 ``Streaming`` (pieces.py) reads characters one by one, keeps candidates as far back as the longest piece, and commits
-ids whenever all surviving back paths meet in one boundary. They always meet at a word's start, so the stream is fed
-word by word and a word's ids are remembered (a bounded memo per worker); a text without spaces still streams in a
-bounded window.
+ids whenever all surviving back paths meet in one boundary. A text is one stream, fed in chunks that end where no piece
+can reach across (before a run of spaces, around a line end); there the paths have always met, so the stream is empty
+again, and inside a chunk they are looked for after every STEP characters. An empty stream gives a chunk the same ids
+every time, so a worker may remember them (a bounded memo, which changes no id and can be turned off).
 
 Defined cases: null encodes to an empty list of ids, like the empty text, and decodes to ''; texts are encoded whole;
 characters outside the vocabulary become byte pieces and decode exactly; a literal U+2581 decodes to a space, as in the
@@ -19,25 +20,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import bound_batches, table
-from .pieces import MARK, Memo, Pieces, Streaming, chunks
+from .pieces import MARK, MEMO, Memo, Pieces, Streaming, chunks
 from .token_counts import MODEL
 
 
 class Codec:
-    def __init__(self, pieces: Pieces):
-        automaton = pieces.automaton()
+    def __init__(self, pieces: Pieces, memo: bool = True):
+        self.p, self.automaton = pieces, pieces.automaton()
+        most = MEMO if memo else 0
+        self.marked = Memo(lambda w: self.through(MARK + w), most)
+        self.bare = Memo(self.through, most)
 
-        def encode(chunk: str) -> tuple[int, ...]:
-            stream = Streaming(pieces, automaton)
-            return tuple(stream.push(chunk) + stream.finish())
-
-        self.p = pieces
-        self.marked = Memo(lambda w: encode(MARK + w))
-        self.bare = Memo(encode)
+    def through(self, chunk: str) -> tuple[int, ...]:
+        """The ids that the text's stream commits on a chunk."""
+        return tuple(self.stream.push(chunk) + self.stream.settle())
 
     def encode(self, text: str | None) -> list[int]:
         if not text:
             return []
+        self.stream = Streaming(self.p, self.automaton)
         odd, lines = chunks(text)
         ids: list[int] = []
         if odd:

@@ -8,6 +8,7 @@ each byte hundreds of times, so suffixes are sorted where repeats can be seen, w
    RIGHT = LENGTH - SPAN bytes.
 2. Filter. An anchor whose next RIGHT bytes' fingerprint occurs once in the corpus has no repeated window. Equal
    fingerprints only make candidates; nothing is decided by them.
+   Equal texts are one row throughout: every window of a text with copies is repeated.
 3. Runs. Suffixes at candidate anchors (LENGTH bytes, and the SPAN bytes before them) are sorted where their document
    is, equal ones becoming one entry, and exchanged as front-coded runs, dealt by fingerprint range.
 4. Merge. A loser tree merges a range's runs, reading no known prefix twice, and yields each suffix's common prefix
@@ -16,27 +17,31 @@ each byte hundreds of times, so suffixes are sorted where repeats can be seen, w
 5. Each document gathers its repeated stretches, and is read once more to cut them out.
 
 Defined cases: null and empty texts have no bytes and keep the empty text; documents shorter than LENGTH lose nothing;
-texts of any length are treated whole; equal documents, whatever their doc_id, are repeats of each other; overlapping
-repeats inside one document count; matches never cross documents.
+texts of any length are treated whole; doc_id may be of any type; equal documents, whatever their doc_id, are repeats of each other; overlapping
+repeats inside one document count; matches never cross documents. A passage that many different texts share is merged in
+one part; its entries there differ where the texts around it do (its ends), and are one entry per run elsewhere.
 """
 
 from __future__ import annotations
 
 import hashlib
-import pickle
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import suffix_merge
-from .common import bound_batches, table
+from .common import bound_batches, table, written
 
 LENGTH = 200
 SPAN = 128
-#: Bytes of text whose candidates are merged in one task.
-PART_BYTES = 8 << 20
+#: Candidate anchors that are merged in one task, on average.
+PART_ANCHORS = 1 << 16
+#: Candidate anchors that a task sorts into one set of runs.
+RUN_ANCHORS = 50_000
 _PIECE = 1 << 19
 _MASK = np.uint64((1 << 21) - 1)
 _ODD = np.random.default_rng(4).integers(1, 1 << 62, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -121,66 +126,58 @@ def _by_node(node: np.ndarray, nodes: list[bytes], values: np.ndarray) -> tuple[
     return [nodes[i] for i in (node[np.concatenate([[0], cuts])] if len(node) else [])], [p.tobytes() for p in parts]
 
 
-def candidates(docs: DataFrame, parts: int, length: int, span: int) -> DataFrame:
-    """node, places (packed) of anchors whose fingerprint occurs elsewhere. docs: node, text."""
+def distinct_texts(docs: DataFrame) -> DataFrame:
+    """node, text, copies: one row per distinct text, so that a text with many copies is one row from here on."""
+    return docs.where("text is not null").groupBy(F.unhex(F.md5("text")).alias("node")).agg(F.first("text").alias("text"), F.count("*").alias("copies"))
 
-    def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for at in range(0, len(b), 2000):
-                group = b.iloc[at : at + 2000]
-                nodes = group["node"].tolist()
-                owner, place, fp = anchors([_encoded(t) for t in group["text"]], length, span)
-                if not len(owner):
-                    continue
-                _, first, inverse, n = np.unique(fp, return_index=True, return_inverse=True, return_counts=True)
-                sure = n[inverse] > 1  # repeated here: one entry tells the others, the rest go by their document
-                lead = np.zeros(len(fp), bool)
-                lead[first] = True
-                bucket = np.where(lead, (fp >> np.uint64(32)).astype(np.int64) * parts >> 32, owner % parts)
-                kind = np.where(lead, 1 + sure, 0)
-                order = np.argsort(bucket, kind="stable")
-                cuts = np.flatnonzero(np.diff(bucket[order])) + 1
-                rows = []
-                for part in np.split(order, cuts):
-                    known, index = np.unique(owner[part], return_inverse=True)
-                    rows.append((int(bucket[part[0]]), pickle.dumps((fp[part], kind[part].astype(np.uint8), index.astype(np.uint32), place[part].astype(np.uint32), [nodes[i] for i in known]), protocol=5)))
-                yield pd.DataFrame(rows, columns=["bucket", "entries"])
-
-    def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Bucket by bucket, as they stand in order, so that a task holds one bucket's entries."""
-        at, held = None, []
-        for b in batches:
-            for bucket, entries in zip(b["bucket"], b["entries"], strict=True):
-                if bucket != at and held:
-                    yield recurring(held)
-                    held = []
-                at = bucket
-                held.append(pickle.loads(entries))
-        if held:
-            yield recurring(held)
 
-    def recurring(held: list) -> pd.DataFrame:
-        fp, kind, place = (np.concatenate([h[k] for h in held]) for k in (0, 1, 3))
-        offset = np.cumsum([0] + [len(h[4]) for h in held])
-        node = np.concatenate([h[2].astype(np.int64) + o for h, o in zip(held, offset, strict=False)])
-        nodes = [x for h in held for x in h[4]]
-        asked = kind > 0
-        _, inverse = np.unique(fp[asked], return_inverse=True)
-        seen = np.bincount(inverse, kind[asked].astype(np.int64)) if asked.any() else np.zeros(0)
-        keep = ~asked
-        keep[asked] = seen[inverse] > 1
-        names, places = _by_node(node[keep], nodes, place[keep][:, None].astype(np.int64))
-        return pd.DataFrame({"node": names, "places": places})
+def candidates(texts: DataFrame, length: int, span: int) -> DataFrame:
+    """node, places of anchors whose fingerprint occurs elsewhere. texts: node, text.
+
+    Anchors go out as plain rows, dealt and sorted by fingerprint. Of a batch's equal fingerprints one goes there and
+    tells that there are more; the others are dealt by themselves (kind 0) and kept unasked.
+    """
 
-    rows = docs.where("node is not null").mapInPandas(emit, "bucket int, entries binary").repartition("bucket").sortWithinPartitions("bucket").mapInPandas(decide, "node binary, places binary")
-    return rows.groupBy("node").agg(F.collect_list("places").alias("places"))
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            owner, place, fp = anchors([_encoded(t) for t in b.column("text").to_pylist()], length, span)
+            if not len(owner):
+                continue
+            _, first, inverse, n = np.unique(fp, return_index=True, return_inverse=True, return_counts=True)
+            kind = np.zeros(len(fp), np.int8)
+            kind[first] = np.where(n > 1, 2, 1)
+            key = np.where(kind > 0, fp, _mix(fp + place.astype(np.uint64) * _ODD[60] + owner.astype(np.uint64) * _ODD[61]))
+            yield pa.RecordBatch.from_pydict({"key": pa.array(key.view(np.int64)), "kind": pa.array(kind), "node": b.column("node").take(pa.array(owner)), "place": pa.array(place.astype(np.int32))})
+
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows in the order of their keys: those whose key is told more than once, and those kept unasked."""
+        at, told, held = None, 0, None  # the last key, how often it was told so far, and its row if that is once
+        for b in batches:
+            key, kind = b.column("key").to_numpy(), b.column("kind").to_numpy().astype(np.int64)
+            rows, keep = b.select(["node", "place"]), kind == 0
+            asked = np.flatnonzero(kind)
+            if len(asked):
+                k = key[asked]
+                begin = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+                total = np.add.reduceat(kind[asked], begin)
+                if k[0] == at:
+                    total[0] += told
+                    if held is not None and total[0] > 1:
+                        yield held
+                keep[asked] = np.repeat(total > 1, np.diff(np.append(begin, len(k))))
+                at, told = k[-1], total[-1]
+                held = rows.slice(int(asked[-1]), 1) if told == 1 else None
+            yield rows.filter(pa.array(keep))
+
+    told = texts.select("node", "text").mapInArrow(emit, "key long, kind byte, node binary, place int")
+    return told.repartition("key").sortWithinPartitions("key").mapInArrow(decide, "node binary, place int").groupBy("node").agg(F.collect_list("place").alias("places"))
 
 
 def stretches(found: DataFrame, parts: int, length: int, span: int) -> DataFrame:
-    """node, spans (packed starts and ends) of repeated windows. found: doc_id, node, text, places."""
+    """node, spans (packed starts and ends) of repeated windows. found: node, text, copies, places."""
 
     def runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        entries: list[dict[tuple[bytes, bytes], list[int]]] = [{} for _ in range(parts)]
+        entries: dict[int, dict[tuple[bytes, bytes], list[int]]] = {}
         nodes: list[bytes] = []
         held = 0
 
@@ -188,33 +185,30 @@ def stretches(found: DataFrame, parts: int, length: int, span: int) -> DataFrame
             nonlocal held
             rows = []
             table = np.frombuffer(b"".join(nodes), "V16") if nodes else np.zeros(0, "V16")
-            for part, own in enumerate(entries):
-                if own:
-                    keys = sorted(own)
-                    members = [np.array(own[k], np.int64).reshape(-1, 2) for k in keys]
-                    known, index = np.unique(np.concatenate(members)[:, 0], return_inverse=True)
-                    flat = np.concatenate(members)
-                    flat[:, 0] = index
-                    sizes = [len(m) for m in members]
-                    rows.append((part, suffix_merge.pack([k[0] for k in keys], [k[1] for k in keys], np.split(flat.astype(np.uint32), np.cumsum(sizes)[:-1]), table[known])))
-                    own.clear()
+            for part, own in entries.items():
+                keys = sorted(own)
+                members = [np.array(own[k], np.int64).reshape(-1, 2) for k in keys]
+                known, index = np.unique(np.concatenate(members)[:, 0], return_inverse=True)
+                flat = np.concatenate(members)
+                flat[:, 0] = index
+                sizes = [len(m) for m in members]
+                rows.append((part, suffix_merge.pack([k[0] for k in keys], [k[1] for k in keys], np.split(flat.astype(np.uint32), np.cumsum(sizes)[:-1]), table[known])))
+            entries.clear()
             nodes.clear()
             held = 0
             return pd.DataFrame(rows, columns=["part", "run"])
 
         for b in batches:
             for node, text, places in zip(b["node"], b["text"], b["places"], strict=True):
-                if places is None or not len(places):
-                    continue
                 data = _encoded(text)
-                at = np.unique(np.frombuffer(b"".join(places), np.int32)).astype(np.int64)
+                at = np.unique(np.asarray(places)).astype(np.int64)
                 padded = np.frombuffer(data + bytes(8), np.uint8)
                 part = (fingerprints(padded, at, (length - span) // 8 * 8) >> np.uint64(32)).astype(np.int64) * parts >> 32
                 for a, p in zip(at.tolist(), part.tolist(), strict=True):
-                    entries[p].setdefault((data[a : a + length], data[max(0, a - span) : a][::-1]), []).extend((len(nodes), a))
+                    entries.setdefault(p, {}).setdefault((data[a : a + length], data[max(0, a - span) : a][::-1]), []).extend((len(nodes), a))
                 nodes.append(node)
                 held += len(at)
-                if held > 50_000:
+                if held > RUN_ANCHORS:
                     yield given()
         if held:
             yield given()
@@ -301,9 +295,11 @@ def _joined(spans: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(spans[begin, 0].tolist(), far[np.append(begin[1:] - 1, len(spans) - 1)].tolist(), strict=True))
 
 
-def _cut(text: str | None, spans) -> tuple[int, int, int, bytes]:
-    """bytes, removed bytes, removed runs, and what is left."""
+def _cut(text: str | None, copies, spans, length: int) -> tuple[int, int, int, bytes]:
+    """bytes, removed bytes, removed runs, and what is left. Every window of a text with copies is repeated."""
     data = _encoded(text)
+    if copies > 1 and len(data) >= length:
+        return len(data), len(data), 1, b""
     if spans is None or not len(spans):
         return len(data), 0, 0, data
     runs = _joined(np.frombuffer(b"".join(spans), np.int32).reshape(-1, 2).astype(np.int64))
@@ -315,44 +311,46 @@ def _cut(text: str | None, spans) -> tuple[int, int, int, bytes]:
     return len(data), sum(e - a for a, e in runs), len(runs), b"".join(kept)
 
 
-def repeats(docs: DataFrame, length: int = LENGTH, span: int = SPAN, part_bytes: int = PART_BYTES) -> DataFrame:
-    """docs (doc_id, text) with node and spans (packed, may be null): the repeated stretches of each text."""
-    docs = docs.select("doc_id", "text", F.unhex(F.md5("text")).alias("node"))
-    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(1, -(-total // part_bytes))
-    found = docs.join(candidates(docs.select("node", "text"), parts, length, span), "node", "left").select("doc_id", "node", "text", "places")
-    return docs.join(stretches(found, parts, length, span), "node", "left").select("doc_id", "node", "text", "spans")
+def repeats(docs: DataFrame, length: int = LENGTH, span: int = SPAN, part_anchors: int = PART_ANCHORS) -> DataFrame:
+    """node, text, copies and spans (packed, may be null), the repeated stretches, of each distinct text of docs."""
+    bound_batches(docs.sparkSession)
+    texts = distinct_texts(docs)
+    found = written(candidates(texts, length, span))
+    total = found.agg(F.sum(F.size("places"))).first()[0] or 0
+    parts = max(1, -(-total // part_anchors))
+    # Both joins read one shuffle of the texts by node: the same columns, dealt by the same key.
+    return texts.join(stretches(texts.join(found, "node"), parts, length, span), "node", "left")
 
 
-def digest(docs: DataFrame, length: int = LENGTH, span: int = SPAN, part_bytes: int = PART_BYTES) -> DataFrame:
+def digest(docs: DataFrame, length: int = LENGTH, span: int = SPAN, part_anchors: int = PART_ANCHORS) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row of docs (doc_id, text)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out = [(n, gone, k, hashlib.sha256(kept).hexdigest()) for n, gone, k, kept in map(_cut, b["text"], b["spans"])]
-            yield pd.DataFrame(out, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256"]).assign(doc_id=b["doc_id"].to_numpy())[["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]]
+            out = [(n, gone, k, hashlib.sha256(kept).hexdigest()) for n, gone, k, kept in map(partial(_cut, length=length), b["text"], b["copies"], b["spans"])]
+            yield pd.DataFrame(out, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256"]).assign(node=b["node"].to_numpy())[["node", "n_bytes", "n_removed", "n_spans", "kept_sha256"]]
 
-    return repeats(docs, length, span, part_bytes).mapInPandas(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    each = repeats(docs, length, span, part_anchors).mapInPandas(run, "node binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    rows = docs.select("doc_id", F.unhex(F.md5("text")).alias("node")).join(each, "node", "left")
+    none = {"n_bytes": 0, "n_removed": 0, "n_spans": 0, "kept_sha256": hashlib.sha256(b"").hexdigest()}
+    return rows.select("doc_id", *[F.coalesce(c, F.lit(v)).alias(c) for c, v in none.items()])
 
 
-def remove(docs: DataFrame, length: int = LENGTH, span: int = SPAN, part_bytes: int = PART_BYTES) -> DataFrame:
+def remove(docs: DataFrame, length: int = LENGTH, span: int = SPAN, part_anchors: int = PART_ANCHORS) -> DataFrame:
     """docs, all columns, with the repeated stretches cut out of text; n_chars, if there, is counted anew.
 
     Stretches are byte ranges: a character of which a byte goes, goes whole. Null texts stay null.
     """
-    keyed = docs.withColumn("__node", F.unhex(F.md5("text")))
-    bound_batches(docs.sparkSession)
-    plain = docs.select(F.lit(None).cast("long").alias("doc_id"), "text", F.unhex(F.md5("text")).alias("node"))
-    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(1, -(-total // part_bytes))
-    found = plain.join(candidates(plain.select("node", "text"), parts, length, span), "node", "left").select("doc_id", "node", "text", "places")
-    spans = stretches(found, parts, length, span).select(F.col("node").alias("__node"), F.col("spans").alias("__spans"))
 
     @F.pandas_udf("string")
-    def cut(text: pd.Series, spans: pd.Series) -> pd.Series:
-        return pd.Series([None if t is None else _cut(t, s)[3].decode("utf-8", "ignore") for t, s in zip(text, spans, strict=True)], dtype=object)
-
-    out = keyed.join(spans, "__node", "left").withColumn("text", F.when(F.col("__spans").isNull(), F.col("text")).otherwise(cut("text", "__spans")))
+    def cut(text: pd.Series, copies: pd.Series, spans: pd.Series) -> pd.Series:
+        return pd.Series([_cut(t, c, s, length)[3].decode("utf-8", "ignore") for t, c, s in zip(text, copies, spans, strict=True)], dtype=object)
+
+    each = repeats(docs, length, span, part_anchors)
+    same = F.col("spans").isNull() & (F.col("copies") == 1)
+    each = each.select(F.col("node").alias("__node"), F.when(same, F.col("text")).otherwise(cut("text", "copies", "spans")).alias("__left"))
+    keyed = docs.withColumn("__node", F.unhex(F.md5("text"))).drop("text")
+    out = keyed.join(each, "__node", "left").withColumn("text", F.col("__left"))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)

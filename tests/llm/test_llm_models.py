@@ -52,6 +52,17 @@ def test_codec_and_counts_equal_the_library(vocabulary, library):
     assert codec.encode(None) == [] and count(None) == 0
 
 
+def test_memo_changes_no_id_and_streams_commit(vocabulary):
+    plain, quick = Codec(vocabulary, memo=False), Codec(vocabulary)
+    for t in texts():
+        assert plain.encode(t) == quick.encode(t), t
+    assert not plain.marked and not plain.bare and quick.marked
+    whole = pieces.Streaming(vocabulary, vocabulary.automaton())
+    words_ = "one stream of several words".split()
+    ids = [whole.push("\u2581" + w) + whole.settle() for w in words_]
+    assert all(ids) and len(whole.score) == 1 and sum(ids, []) == plain.encode(" ".join(words_))
+
+
 def test_ties_keep_the_longest_last_piece():
     def small(scores):
         p = pieces.Pieces([(k, v, i) for i, (k, v) in enumerate(scores.items())], list(range(100, 356)), [], -50.0)
@@ -105,6 +116,16 @@ def test_blocks(html, want):
     assert [b.text for b in blocks(html)] == want
 
 
+def test_hidden_blocks_and_unclosed_raw_elements():
+    found = blocks('<div class="a.b > c" hidden>x &am<b>p;</b></div>' + "<option>a" * 20_000 + "<p>q")
+    assert found[0].text == "x &amp;" and "hidden=yes" in html_extract.path_features(found[0].path) and "class=c" in html_extract.path_features(found[0].path)
+    assert found[-1].text == "q"
+    decode = html_extract.train().decoder()
+    found = blocks('<article><h1>Head</h1><p>One two three words here.</p><div style="display:none"><p>Secret words in here.</p></div><p hidden>Gone too.</p><p>Last one here.</p></article>')
+    assert decode(found) == [1, 1, 0, 0, 1]
+    assert decode(blocks("<article><p>Same.</p><p>Same.</p></article>")) == [1, 1]  # repeated blocks stay
+
+
 def test_counterfactual_penalty_takes_weight_off_identity_terms():
     rows = [("muslim scum", 1.0), ("muslim idiot", 1.0), ("muslim trash", 1.0), ("christian day", 0.0), ("christian sun", 0.0), ("fine words", 0.0), ("calm words", 0.0), ("muslim friends", 0.0)] * 4
     plain, fair = toxicity.fit(rows, swap=0.0), toxicity.fit(rows, swap=5.0)
@@ -113,6 +134,23 @@ def test_counterfactual_penalty_takes_weight_off_identity_terms():
     assert 0 <= fair.scorer()(None) <= 1 and toxicity.fit([]).scorer()("x") < 0.5
 
 
+def test_counterfactual_pairs_exist_whatever_the_corpus_and_spare_neutral_mentions():
+    """Toxic texts name one group more often. The penalty must cost no toxic text and spare neutral mentions."""
+    r = random.Random(5)
+    plain_words = "river stone light green calm paper table window garden whittle womenfolk blackbird".split()
+    text = lambda toxic: " ".join(r.choice(plain_words) for _ in range(12)) + (f" {r.choice(('scum', 'idiot', 'trash'))}" if toxic and r.random() < 0.8 else "")
+    rows = [(text(k % 4 == 0) + (" muslim" if r.random() < (0.8 if k % 4 == 0 else 0.03) else ""), float(k % 4 == 0)) for k in range(400)]
+    free, fair = toxicity.fit(rows, swap=0.0), toxicity.fit(rows, swap=50.0)
+    neutral = [f"{text(False)} muslim {w}" for w in ("teacher", "cook", "music", "day") for _ in range(25)]
+    wrong = lambda m: sum(m.scorer()(t) >= 0.5 for t in neutral)
+    assert fair.pairs > len(rows) and fair.active > 0 and wrong(free) > 50 and wrong(fair) == 0
+    assert all(fair.scorer()(f"{text(False)} {w}") > 0.5 for w in ("scum scum", "idiot", "trash"))
+    none = toxicity.fit([("calm river", 0.0), ("scum idiot", 1.0)] * 5)
+    assert none.pairs >= 10  # no text names a group: terms are put in
+    everyone = toxicity.fit([("muslim women", 0.0), ("black gay", 1.0)] * 5)
+    assert 0 <= everyone.scorer()("muslim women black gay " * 20_000) <= 1
+
+
 def test_language_sums_equal_brute_force():
     known, p = ["a", "b", "ab", "ba", "aba"], np.array([[0.3, 0.1], [0.2, 0.2], [0.1, 0.3], [0.2, 0.2], [0.2, 0.2]])
     m = language_id.Unigrams(known, p)

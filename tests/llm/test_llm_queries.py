@@ -58,7 +58,7 @@ def brute_repeats(texts, size):
 
 @pytest.mark.parametrize(("size", "span"), [(200, 128), (24, 16)])
 def test_suffix_dedup(spark, corpus, size, span):
-    got = {r[0]: tuple(r)[1:] for r in suffix_dedup.digest(docs_frame(spark, corpus), size, span, 4000).collect()}
+    got = {r[0]: tuple(r)[1:] for r in suffix_dedup.digest(docs_frame(spark, corpus), size, span, 40).collect()}
     assert [got[i] for i in range(len(corpus))] == brute_repeats(corpus, size)
     assert suffix_dedup.digest(docs_frame(spark, [])).count() == 0
 
@@ -229,6 +229,11 @@ def test_neighbours(spark):
     assert hits / 20 / len(got) > 0.9
     copies = [j for j, _ in got[100] if 100 <= j < 140]
     assert copies == list(range(101, 101 + len(copies)))
+    blocks = {(x["query_id"], x["vec_id"]): x["score"] for x in hnsw.neighbours(df, shard_rows=100, query_rows=3).collect()}
+    assert blocks == {(q, j): x for q, found in got.items() for j, x in found}
+    again = spark.createDataFrame([(0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [0.5, 0.25]), (1, [2.0, 3.0]), (2, [0.1, 0.2])], "vec_id long, embedding array<float>")
+    best = [tuple(x) for x in hnsw.neighbours(again).orderBy("rank").collect()]
+    assert [x[:3] for x in best] == [(0, 1, 1), (0, 2, 2)] and best[0][3] == 3.0  # an id is one candidate and one query
     few = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 0.5])], "vec_id long, embedding array<float>")
     assert [tuple(x) for x in hnsw.neighbours(few).collect()] == [(0, 1, 1, 0.5)]
     assert hnsw.neighbours(few.where("vec_id < 0")).count() == 0
