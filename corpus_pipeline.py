@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from scorelake.llm import decontaminate, language_id, order_minhash, sentencepiece_codec, suffix_dedup
-from scorelake.llm.common import table, written
+from scorelake.llm.common import discard, discard_paths, kept, table, written
 
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,9 +50,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages on documents. Each one's table, and what it wrote on the way, goes when the next one has read it."""
     docs = table(spark, sf_dir, "documents", "*")
     for k, (_, stage) in enumerate(STAGES):
+        before, last = set(kept), docs
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = written(docs)
+            discard_paths(spark, [p for p in kept if p not in before and p != docs.written_to])
+            discard(last)
     return docs
