@@ -128,7 +128,8 @@ def _by_node(node: np.ndarray, nodes: list[bytes], values: np.ndarray) -> tuple[
 
 def distinct_texts(docs: DataFrame) -> DataFrame:
     """node, text, copies: one row per distinct text, so that a text with many copies is one row from here on."""
-    return docs.where("text is not null").groupBy(F.unhex(F.md5("text")).alias("node")).agg(F.first("text").alias("text"), F.count("*").alias("copies"))
+    node = F.unhex(F.md5("text")).alias("node")
+    return docs.where("text is not null").groupBy(node).agg(F.first("text").alias("text"), F.count("*").alias("copies")).where("node is not null")
 
 
 def candidates(texts: DataFrame, length: int, span: int) -> DataFrame:
