@@ -1,7 +1,7 @@
 """Algorithms without a built-in form, as plain Python, and Arrow-batched functions over columns.
 
-``vectorised(f, type)`` makes a pandas UDF of any of them; a row whose input a function cannot read gives null, so one bad
-row never fails a job.
+``vectorised(f, type)`` makes a pandas UDF of any of them. A row whose text a function cannot parse gives null; any other
+error fails the job, as it is one of ours.
 """
 
 from __future__ import annotations
@@ -22,14 +22,15 @@ from pyspark.sql.types import LongType
 
 
 def vectorised(f: Callable, returns: str):
-    """A pandas UDF that applies f to each row's values; null where f raises or any input is null."""
+    """A pandas UDF that applies f to each row's values; null where f cannot parse them (ValueError, of which JSON errors
+    are one, SyntaxError, or nesting beyond reason) or any input is null."""
 
     def one(values):
         if any(v is None for v in values):
             return None
         try:
             return f(*[v.tolist() if hasattr(v, "tolist") else v for v in values])
-        except (ValueError, KeyError, IndexError, TypeError, ZeroDivisionError, RecursionError, SyntaxError):
+        except (ValueError, SyntaxError, RecursionError):
             return None
 
     def run(*columns: pd.Series) -> pd.Series:
@@ -554,7 +555,19 @@ def in_order(text: str, before: str, after: str) -> bool:
     return 0 <= text.find(before) < text.rfind(after)
 
 
+def tail_repeats(text: str, most: int) -> list[int]:
+    """For n = 1..most, how often the last n characters stand at the end, back to back; white space folded; linear."""
+    text, out = re.sub(r"\s+", " ", text), []
+    for n in range(1, most + 1):
+        at = len(text) - n
+        last = text[at:]
+        while at >= 0 and text.startswith(last, at):
+            at -= n
+        out.append((len(text) - at) // n - 1 if len(text) >= n else 0)
+    return out
+
+
 def baseline(text: str, most: int = 30) -> bool:
     """Has letters or digits, ends in no long repetition, and holds no CJK, kana or emoji."""
-    tail = [len(m[0]) // n if (m := re.search(rf"(?s)(.{{{n}}})\1*\Z", text)) else 1 for n in range(1, 6)]
+    tail = tail_repeats(text, 5)
     return any(map(str.isalnum, text)) and max(tail) <= most and not re.search("[぀-ヿ一-鿿\U0001f300-\U0001faff]", text)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from .text import words
+from .text import number, words
 
 
 def ratio(a: Column, b: Column, otherwise: float = 0.0) -> Column:
@@ -31,17 +31,21 @@ def leave_one_out(pred: Column, targets: Column) -> Column:
 
 def relaxed(pred: Column, target: Column, tolerance: float = 0.05) -> Column:
     """Numbers within a relative tolerance (n% counts as n / 100); else equal texts, whatever their case."""
-    number = lambda c: F.when(c.endswith("%"), F.regexp_replace(c, "%$", "").try_cast("double") / 100).otherwise(c.try_cast("double"))
-    p, t = number(F.trim(pred)), number(F.trim(target))
+    value = lambda c: F.when(c.endswith("%"), number(F.regexp_replace(c, "%+$", "")) / 100).otherwise(number(c))
+    p, t = value(F.trim(pred)), value(F.trim(target))
     near = F.try_divide(F.abs(p - t), F.abs(t)) <= tolerance
     return F.when(p.isNotNull() & t.isNotNull() & (t != 0), near).otherwise(F.lower(pred) == F.lower(target))
 
 
 def mean_relative_accuracy(pred: Column, target: Column) -> Column:
-    """Share of the ten thresholds .5, .55, ..., .95 at which the relative error is at most 1 - threshold."""
-    thresholds = F.array(*[F.lit(round(0.5 + 0.05 * k, 2)) for k in range(10)])
-    error = F.try_divide(F.abs(pred - target), F.abs(target))
-    return F.coalesce(F.size(F.filter(thresholds, lambda t: error <= 1 - t)) / 10.0, F.lit(0.0))
+    """Tenths: at how many of the thresholds .5, .55, ..., 1.45 the error over the target is under 1 - threshold.
+
+    The target divides with its sign, so a negative one passes thresholds beyond 1, and the value may exceed 1; 0 if the
+    target is 0 or either is null.
+    """
+    room = F.array(*[F.lit(1 - (0.5 + 0.05 * k)) for k in range(20)])
+    error = F.try_divide(F.abs(pred - target), target)
+    return F.coalesce(F.size(F.filter(room, lambda r: error < r)) / 10.0, F.lit(0.0))
 
 
 def float_equal(pred: Column, target: Column, relative: float = 0.01) -> Column:

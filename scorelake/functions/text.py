@@ -8,10 +8,43 @@ from pyspark.sql import Column, functions as F
 PUNCTUATION = [";", "/", "[", "]", '"', "{", "}", "(", ")", "=", "+", "\\", "_", "-", ">", "<", "@", "`", ",", "?", "!"]
 NUMBER_WORDS = {"none": "0", "zero": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9", "ten": "10"}
 ARTICLES = ["a", "an", "the"]
-#: Text of a failed model call; such rows carry no answer.
-FAILURE = "Failed to obtain answer via API."
-#: Labels after which a contraction's apostrophe is put back.
-_CONTRACTIONS = {s.replace("'", ""): s for s in "ain't aren't can't couldn't didn't doesn't don't hadn't hasn't haven't he'd he's how'd how's i'd i'm i've isn't it'd it'll let's ma'am might've mightn't must've mustn't needn't o'clock oughtn't shan't she'd she's should've shouldn't somebody's someone's that'd that's there'd there's they'd they'll they're they've 'twas wasn't we'd we've weren't what'll what're what's what've when's where'd where's where've who'd who'll who's who've why'll why're why's won't would've wouldn't y'all you'd you'll you're you've".split()}
+# Contractions that answer normalisation puts right, quirks and keys that lower case never meets included.
+CONTRACTIONS = {
+    "aint": "ain't", "arent": "aren't", "cant": "can't", "couldve": "could've", "couldnt": "couldn't",
+    "couldn'tve": "couldn't've", "couldnt've": "couldn't've", "didnt": "didn't", "doesnt": "doesn't", "dont": "don't",
+    "hadnt": "hadn't", "hadnt've": "hadn't've", "hadn'tve": "hadn't've", "hasnt": "hasn't", "havent": "haven't",
+    "hed": "he'd", "hed've": "he'd've", "he'dve": "he'd've", "hes": "he's", "howd": "how'd", "howll": "how'll",
+    "hows": "how's", "Id've": "I'd've", "I'dve": "I'd've", "Im": "I'm", "Ive": "I've", "isnt": "isn't", "itd": "it'd",
+    "itd've": "it'd've", "it'dve": "it'd've", "itll": "it'll", "let's": "let's", "maam": "ma'am", "mightnt": "mightn't",
+    "mightnt've": "mightn't've", "mightn'tve": "mightn't've", "mightve": "might've", "mustnt": "mustn't",
+    "mustve": "must've", "neednt": "needn't", "notve": "not've", "oclock": "o'clock", "oughtnt": "oughtn't",
+    "ow's'at": "'ow's'at", "'ows'at": "'ow's'at", "'ow'sat": "'ow's'at", "shant": "shan't", "shed've": "she'd've",
+    "she'dve": "she'd've", "she's": "she's", "shouldve": "should've", "shouldnt": "shouldn't",
+    "shouldnt've": "shouldn't've", "shouldn'tve": "shouldn't've", "somebody'd": "somebodyd",
+    "somebodyd've": "somebody'd've", "somebody'dve": "somebody'd've", "somebodyll": "somebody'll",
+    "somebodys": "somebody's", "someoned": "someone'd", "someoned've": "someone'd've", "someone'dve": "someone'd've",
+    "someonell": "someone'll", "someones": "someone's", "somethingd": "something'd", "somethingd've": "something'd've",
+    "something'dve": "something'd've", "somethingll": "something'll", "thats": "that's", "thered": "there'd",
+    "thered've": "there'd've", "there'dve": "there'd've", "therere": "there're", "theres": "there's", "theyd": "they'd",
+    "theyd've": "they'd've", "they'dve": "they'd've", "theyll": "they'll", "theyre": "they're", "theyve": "they've",
+    "twas": "'twas", "wasnt": "wasn't", "wed've": "we'd've", "we'dve": "we'd've", "weve": "we've", "werent": "weren't",
+    "whatll": "what'll", "whatre": "what're", "whats": "what's", "whatve": "what've", "whens": "when's",
+    "whered": "where'd", "wheres": "where's", "whereve": "where've", "whod": "who'd", "whod've": "who'd've",
+    "who'dve": "who'd've", "wholl": "who'll", "whos": "who's", "whove": "who've", "whyll": "why'll", "whyre": "why're",
+    "whys": "why's", "wont": "won't", "wouldve": "would've", "wouldnt": "wouldn't", "wouldnt've": "wouldn't've",
+    "wouldn'tve": "wouldn't've", "yall": "y'all", "yall'll": "y'all'll", "y'allll": "y'all'll",
+    "yall'd've": "y'all'd've", "y'alld've": "y'all'd've", "y'all'dve": "y'all'd've", "youd": "you'd",
+    "youd've": "you'd've", "you'dve": "you'd've", "youll": "you'll", "youre": "you're", "youve": "you've",
+}
+# What a failed call and a refusal say.
+FAILURE = "Failed to obtain answer via API"
+REFUSALS = ["Sorry, I can't help with images of people yet.", "I can't process this file.", "I'm sorry, but without the image provided", "Cannot determine the answer"]
+# Lead-ins of an answer letter; two of them are two phrases in one, as in the data they must agree with.
+LEAD_INS = ["The best answer is", "The correct answer is", "The answer is", "The answer", "The best option isThe correct option is", "Best answer:Best option:"]
+#: Periods outside numbers that normalisation takes away, at most.
+PERIODS = 32
+#: A number as Python's float reads it.
+NUMBER = r"(?i)^\s*[+-]?(\d+(_\d+)*\.?(\d+(_\d+)*)?|\.\d+(_\d+)*)(e[+-]?\d+)?\s*$"
 
 
 def _map(values: dict[str, str]) -> Column:
@@ -24,31 +57,35 @@ def words(c: Column) -> Column:
 
 
 def drop_punctuation(c: Column) -> Column:
-    """Each mark goes if it touches a space anywhere in the input, or the input has a digit-comma-digit; otherwise it becomes a space. Periods outside numbers go."""
+    """Each mark goes if it touches a space anywhere in the input, or the input has a digit-comma-digit; otherwise it becomes a space. The first 32 periods outside numbers go."""
     comma = c.rlike(r"\d,\d")
     out = c
     for p in PUNCTUATION:
         touches = c.contains(p + " ") | c.contains(" " + p) | comma
         out = F.replace(out, F.lit(p), F.when(touches, "").otherwise(" "))
-    return F.regexp_replace(out, r"(?<!\d)\.(?!\d)", "")
+    return F.array_join(F.split(out, r"(?<!\d)\.(?!\d)", PERIODS + 1), "")
 
 
 def digits_articles(c: Column) -> Column:
     """Lower case; number words as digits; no articles; contractions with their apostrophes."""
-    numbers, contractions = _map(NUMBER_WORDS), _map(_CONTRACTIONS)
+    numbers, contractions = _map(NUMBER_WORDS), _map(CONTRACTIONS)
     kept = F.filter(words(F.lower(c)), lambda x: ~x.isin(ARTICLES))
     return F.array_join(F.transform(kept, lambda x: F.coalesce(numbers[x], contractions[x], x)), " ")
 
 
+def number(c: Column) -> Column:
+    """A text's value as a double; null unless it is written as a plain decimal number."""
+    return F.when(c.rlike(NUMBER), F.replace(c, F.lit("_"), F.lit("")).try_cast("double"))
+
+
 def normalize_answer(c: Column) -> Column:
     plain = F.trim(F.replace(F.replace(c, F.lit("\n"), F.lit(" ")), F.lit("\t"), F.lit(" ")))
     return digits_articles(drop_punctuation(plain))
 
 
 def yes_or_no(c: Column) -> Column:
-    """'Yes' or 'No' if exactly one of the two words occurs among the tokens, else 'Unknown'."""
-    marks = "".join(PUNCTUATION) + ".:'"
-    tokens = words(F.translate(F.lower(c), marks, " " * len(marks)))
+    """'Yes' or 'No' if exactly one of the two words occurs among the words without punctuation, else 'Unknown'."""
+    tokens = words(drop_punctuation(F.lower(c)))
     yes, no = F.array_contains(tokens, "yes"), F.array_contains(tokens, "no")
     return F.when(yes & ~no, "Yes").when(no & ~yes, "No").otherwise("Unknown")
 
@@ -59,17 +96,17 @@ def yes_or_no_prefix(c: Column) -> Column:
 
 
 def option_label(answer: Column, labels: list[str]) -> Column:
-    """The one label that stands alone among the last four tokens; 'Z' for refusals; null if unclear."""
-    low = F.lower(answer)
+    """The one label that stands alone among the last four tokens; 'Z' for refusals, or if only Z stands there; null if
+    unclear, or if the call failed."""
     refused = F.lit(False)
-    for phrase in ("sorry, i can't", "i can't process", "i cannot", "can't help"):
-        refused = refused | low.contains(phrase)
+    for phrase in REFUSALS:
+        refused = refused | answer.contains(phrase)
     tokens = words(F.translate(answer, ".()[],:;!*#{}", " " * 13))
     found = F.array_distinct(F.filter(tokens, lambda x: x.isin(labels)))
     label = F.element_at(found, 1)
     at = F.array_position(tokens, label)
     last = (F.size(found) == 1) & (at > F.size(tokens) - 4)
-    none = (F.size(found) == 0) & (F.array_contains(tokens, "Z") | (F.trim(answer) == ""))
+    none = (F.size(found) == 0) & F.array_contains(tokens, "Z")
     return F.when(answer.contains(FAILURE), None).when(refused, "Z").when(last, label).when(none, "Z")
 
 
@@ -86,10 +123,13 @@ def infer_option(answer: Column, options: Column, labels: list[str]) -> Column:
 
 
 def first_letter(c: Column, letters: str = "ABCDE") -> Column:
-    """First option letter, after the usual lead-ins are taken away; '' if there is none."""
-    for lead in ("The best answer is", "The correct answer is", "The answer is", "The answer", "The best option is", "The correct option is", "Best answer:", "Best option:", "Answer:", "Option:"):
+    """First option letter, after the usual lead-ins are taken away; else the first choice "(A)", "(B)"... that holds the
+    text, whatever its case (an empty text is in the first); else ''."""
+    c = F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    for lead in LEAD_INS:
         c = F.replace(c, F.lit(lead), F.lit(""))
-    return F.when((F.size(words(c)) > 10) & ~c.rlike(f"[{letters}]"), "").otherwise(F.regexp_extract(c, f"[{letters}]", 0))
+    within = F.filter(F.array(*map(F.lit, letters)), lambda x: F.concat(F.lit("("), F.lower(x), F.lit(")")).contains(F.lower(c)))
+    return F.when(c.rlike(f"[{letters}]"), F.regexp_extract(c, f"[{letters}]", 0)).when(F.size(words(c)) > 10, "").otherwise(F.coalesce(F.get(within, 0), F.lit("")))
 
 
 def options_map(df_columns: list[str]) -> Column:
@@ -211,10 +251,18 @@ def number_words(c: Column) -> Column:
 
 
 def boxed(c: Column) -> Column:
-    """Content of the last \\boxed{...} with at most three levels of braces; null if there is none."""
-    inner = r"(?:[^{}]|\{(?:[^{}]|\{[^{}]*\})*\})*"
-    found = F.regexp_extract_all(c, F.lit(rf"\\boxed\s*\{{({inner})\}}"), 1)
-    return F.when(F.size(found) > 0, F.element_at(found, -1))
+    """Content of the last \\boxed{...}, braces nested to any depth; null if there is none or it does not end."""
+    rest = F.substring_index(c, "\\boxed{", -1)
+    start = F.struct(F.lit(1).alias("depth"), F.lit(0).alias("at"), F.lit(0).alias("end"))
+    step = lambda a, x: F.when(a["end"] > 0, a).otherwise(
+        F.struct(
+            (a["depth"] + (x == "{").cast("int") - (x == "}").cast("int")).alias("depth"),
+            (a["at"] + 1).alias("at"),
+            F.when((x == "}") & (a["depth"] == 1), a["at"] + 1).otherwise(0).alias("end"),
+        )
+    )
+    end = F.aggregate(F.split(rest, ""), start, step)["end"]
+    return F.when(c.contains("\\boxed{") & (end > 0), F.substr(rest, F.lit(1), end - 1))
 
 
 def last_number(c: Column) -> Column:

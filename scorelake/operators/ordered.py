@@ -53,9 +53,11 @@ def rising(df: DataFrame, keys: Sequence[str], order: Sequence[str], start: str,
 
 
 def tail_repeats(text: Column, most: int) -> Column:
-    """For n = 1..most, how often the text's last n characters repeat at its end, back to back."""
-    run = lambda n: F.floor(F.length(F.regexp_extract(text, rf"(?s)(.{{{n}}})\1*+\z", 0)) / n).cast("int")
-    return F.array(*[F.greatest(run(n), F.lit(1)) for n in range(1, most + 1)])
+    """For n = 1..most, how often the text's last n characters stand at its end, back to back; runs of white space count as
+    one space; 0 where the text is shorter than n. Read from the end, so each n is one pass."""
+    back = F.reverse(F.regexp_replace(text, r"(?U)\s+", " "))
+    run = lambda n: F.floor(F.length(F.regexp_extract(back, rf"(?s)\A(.{{{n}}})\1*+", 0)) / n).cast("int")
+    return F.array(*[run(n) for n in range(1, most + 1)])
 
 
 def speaker_top1(df: DataFrame, keys: Sequence[str], speaker: str, score: str, threshold: float) -> DataFrame:

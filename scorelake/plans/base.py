@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..functions.text import FAILURE
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
@@ -50,14 +52,18 @@ def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     letter = lambda c: F.element_at(F.array(*map(F.lit, "ABCD")), (c + 1).cast("int"))
     pred = F.when(k % 5 == 0, F.concat(F.lit("The answer is ("), letter(k % 4), F.lit(").")))
     pred = pred.when(k % 5 == 1, F.concat(letter((k + 1) % 4), F.lit(". because of the text"))).when(k % 5 == 2, F.concat(F.lit("I think it is "), letter(k % 4))).when(k % 5 == 3, F.concat(F.lit("Either A or "), letter((k + 2) % 4))).otherwise("no idea at all")
+    odd = [(13, "Cannot determine the answer"), (17, "I'm sorry, but without the image provided B"), (19, ""), (23, f"{FAILURE}. A"), (29, "Z"), (31, "I cannot see it all but B")]
+    for m, said in reversed(odd):
+        pred = F.when(k % m == 0, said).otherwise(pred)
     return p.select(k.alias("key"), letter(k % 4).alias("answer"), pred.alias("prediction"), F.when(k % 3 == 0, "dev").otherwise("test").alias("split"), F.col("p_brand").alias("l2"), F.concat("p_brand", F.lit("/"), F.col("p_size").cast("string")).alias("category"), "p_name", "p_size", "p_retailprice")
 
 
 P = """p AS (SELECT p_partkey AS key, ['A','B','C','D'][CAST(p_partkey % 4 + 1 AS INT)] AS answer,
+  CASE WHEN p_partkey % 13 = 0 THEN 'Cannot determine the answer' WHEN p_partkey % 17 = 0 THEN 'I''m sorry, but without the image provided B' WHEN p_partkey % 19 = 0 THEN '' WHEN p_partkey % 23 = 0 THEN 'Failed to obtain answer via API. A' WHEN p_partkey % 29 = 0 THEN 'Z' WHEN p_partkey % 31 = 0 THEN 'I cannot see it all but B' ELSE
   CASE p_partkey % 5 WHEN 0 THEN 'The answer is (' || ['A','B','C','D'][CAST(p_partkey % 4 + 1 AS INT)] || ').'
     WHEN 1 THEN ['A','B','C','D'][CAST((p_partkey + 1) % 4 + 1 AS INT)] || '. because of the text'
     WHEN 2 THEN 'I think it is ' || ['A','B','C','D'][CAST(p_partkey % 4 + 1 AS INT)]
-    WHEN 3 THEN 'Either A or ' || ['A','B','C','D'][CAST((p_partkey + 2) % 4 + 1 AS INT)] ELSE 'no idea at all' END AS prediction,
+    WHEN 3 THEN 'Either A or ' || ['A','B','C','D'][CAST((p_partkey + 2) % 4 + 1 AS INT)] ELSE 'no idea at all' END END AS prediction,
   CASE WHEN p_partkey % 3 = 0 THEN 'dev' ELSE 'test' END AS split, p_brand AS l2, p_brand || '/' || p_size AS category, p_name, p_size, p_retailprice FROM part)"""
 
 

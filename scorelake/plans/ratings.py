@@ -68,7 +68,8 @@ def _hits(spark, sf):
 # A label stands alone and among the last four tokens.
 _TOK = "list_filter(string_split(translate(prediction, '.()[],:;!*#{}', '             '), ' '), lambda x: x <> '')"
 H = P + f""", k AS (SELECT *, {_TOK} AS tok FROM p), f AS (SELECT *, list_distinct(list_filter(tok, lambda x: x IN ('A','B','C','D'))) AS found FROM k),
-o AS (SELECT *, CASE WHEN len(found) = 1 AND list_position(tok, found[1]) > len(tok) - 4 THEN found[1] END AS label FROM f),
+o AS (SELECT *, CASE WHEN contains(prediction, 'Failed to obtain answer via API') THEN NULL WHEN contains(prediction, 'Cannot determine the answer') OR contains(prediction, 'I''m sorry, but without the image provided') THEN 'Z'
+  WHEN len(found) = 1 AND list_position(tok, found[1]) > len(tok) - 4 THEN found[1] WHEN len(found) = 0 AND list_contains(tok, 'Z') THEN 'Z' END AS label FROM f),
 h AS (SELECT *, coalesce(label = answer, false) AS hit FROM o)"""
 
 
@@ -213,10 +214,11 @@ def relaxed_accuracy(spark, sf):
     return j.select("l_orderkey", "l_linenumber", similarity.relaxed(F.col("l_extendedprice").cast("string"), (F.col("l_quantity") * F.col("p_retailprice")).cast("string")).alias("hit"))
 
 
-_THRESHOLDS = "[" + ", ".join(str(round(0.5 + 0.05 * k, 2)) + "::DOUBLE" for k in range(10)) + "]"
+_ROOM = "[" + ", ".join(f"{1 - (0.5 + 0.05 * k)!r}::DOUBLE" for k in range(20)) + "]"
 
 
-@query(f"WITH j AS (SELECT l_returnflag, abs(l_extendedprice - l_quantity * p_retailprice) / abs(l_quantity * p_retailprice) AS e FROM lineitem JOIN part ON l_partkey = p_partkey) SELECT l_returnflag AS name, count(*) AS n, round(avg(len(list_filter({_THRESHOLDS}, lambda x: e <= 1::DOUBLE - x)) / 10.0), 6) AS mra FROM j GROUP BY l_returnflag")
+@query(f"WITH j AS (SELECT l_returnflag, abs(l_extendedprice - s * l_quantity * p_retailprice) / nullif(s * l_quantity * p_retailprice, 0) AS e FROM (SELECT *, CASE WHEN l_linenumber % 3 = 0 THEN -1 ELSE 1 END AS s FROM lineitem) JOIN part ON l_partkey = p_partkey) SELECT l_returnflag AS name, count(*) AS n, round(avg(coalesce(len(list_filter({_ROOM}, lambda x: e < x)), 0) / 10.0), 6) AS mra FROM j GROUP BY l_returnflag")
 def mra_score(spark, sf):
     j = t(spark, sf, "lineitem").join(t(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey"))
-    return j.groupBy(F.col("l_returnflag").alias("name")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(similarity.mean_relative_accuracy(F.col("l_extendedprice"), F.col("l_quantity") * F.col("p_retailprice"))), 6).alias("mra"))
+    target = F.when(F.col("l_linenumber") % 3 == 0, -1).otherwise(1) * F.col("l_quantity") * F.col("p_retailprice")
+    return j.groupBy(F.col("l_returnflag").alias("name")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(similarity.mean_relative_accuracy(F.col("l_extendedprice"), target)), 6).alias("mra"))

@@ -19,7 +19,7 @@ def _draw_sql(*parts: str, n: str) -> str:
 
 
 @query(f"""WITH {R}, p AS (SELECT lang, doc_id, hit, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS place FROM r), z AS (SELECT lang, count(*) AS n, min(doc_id) AS seed FROM r GROUP BY lang),
-s AS (SELECT p.lang, p.place AS slot, n, seed, unnest(range(0, 50)) AS replicate FROM p JOIN z USING (lang)), d AS (SELECT lang, replicate, {_draw_sql('seed', 'replicate', 'slot', n='n')} AS place FROM s),
+s AS (SELECT p.lang, p.place AS slot, n, seed, unnest(range(0, 1000)) AS replicate FROM p JOIN z USING (lang)), d AS (SELECT lang, replicate, {_draw_sql('seed', 'replicate', 'slot', n='n')} AS place FROM s),
 m AS (SELECT replicate, d.lang, avg(hit) AS m FROM d JOIN p ON d.lang = p.lang AND d.place = p.place GROUP BY ALL), e AS (SELECT replicate, avg(m) AS mean FROM m GROUP BY replicate)
 SELECT round(avg(mean), 6) AS mean, round(quantile_cont(mean, 0.025), 6) AS low, round(quantile_cont(mean, 0.975), 6) AS high FROM e""")
 def bootstrap_ci(spark, sf):
@@ -29,7 +29,7 @@ def bootstrap_ci(spark, sf):
 
 @query(f"""WITH {R}, x AS (SELECT lang, doc_id, hit, doc_id % 2 = 0 AS a FROM r), z AS (SELECT lang, count(*) FILTER (a) AS na, count(*) AS n FROM x GROUP BY lang HAVING count(*) FILTER (a) BETWEEN 1 AND count(*) - 1), b AS (SELECT x.*, na FROM x JOIN z USING (lang)),
 o AS (SELECT round(avg(g), 9) AS d FROM (SELECT lang, avg(hit) FILTER (a) - avg(hit) FILTER (NOT a) AS g FROM b GROUP BY lang)),
-e AS (SELECT b.*, unnest(range(0, 50)) AS replicate FROM b), k AS (SELECT *, row_number() OVER (PARTITION BY replicate, lang ORDER BY {_draw_sql('replicate', 'doc_id', n='2147483647')}, doc_id) <= na AS s FROM e),
+e AS (SELECT b.*, unnest(range(0, 10000)) AS replicate FROM b), k AS (SELECT *, row_number() OVER (PARTITION BY replicate, lang ORDER BY {_draw_sql('replicate', 'doc_id', n='2147483647')}, doc_id) <= na AS s FROM e),
 p AS (SELECT replicate, round(avg(g), 9) AS d FROM (SELECT replicate, lang, avg(hit) FILTER (s) - avg(hit) FILTER (NOT s) AS g FROM k GROUP BY ALL) GROUP BY replicate)
 SELECT max(o.d) AS observed, round(avg((abs(p.d) >= abs(o.d))::INT), 6) AS p FROM p, o""")
 def permutation_test(spark, sf):
@@ -85,7 +85,7 @@ def union_lineage(spark, sf):
     return concat_tables({"region": r, "nation": n}).select("member", "original_index", "name", "index")
 
 
-@query("WITH done AS (SELECT doc_id, max(quality) AS q FROM labels WHERE doc_id % 3 = 0 GROUP BY doc_id) SELECT d.doc_id, q AS result, q IS NULL AS todo FROM documents d LEFT JOIN done USING (doc_id)")
+@query("WITH done AS (SELECT doc_id, max(quality) AS q FROM labels GROUP BY doc_id) SELECT d.doc_id, q AS result, q IS NULL AS todo FROM documents d LEFT JOIN done USING (doc_id)")
 def resume_anti_join(spark, sf):
     docs = t(spark, sf, "documents").select("doc_id")
     done = consistency.last_wins(t(spark, sf, "labels").select("doc_id", "quality"), "doc_id", "quality")
@@ -119,13 +119,27 @@ def as_of_join(spark, sf):
     return j.select("user_id", "event_id", (F.unix_timestamp("at") - F.unix_timestamp("seen")).alias("gap"))
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT user_id AS session, event_id AS seq, event_id % 50 + 1 AS tokens, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events),
+p AS (SELECT session, [0::BIGINT] || list(s ORDER BY k) AS p FROM (SELECT *, sum(tokens) OVER (PARTITION BY session ORDER BY k)::BIGINT AS s FROM e) GROUP BY session),
+st AS (SELECT session, 0::BIGINT AS k, 0::BIGINT AS seq, 1::BIGINT AS f, 0::BIGINT AS held, 0::BIGINT AS evicted FROM p
+ UNION ALL SELECT session, k, seq, g, p[k + 1] - p[g], p[g] - p[f] FROM (SELECT st.session, e.k, e.seq, st.f, p.p,
+  CASE WHEN p.p[e.k + 1] - p.p[st.f] > 200 THEN coalesce(list_min(list_filter(range(st.f, e.k + 2), lambda j: p.p[j] - p.p[st.f] >= 40)), e.k + 1) ELSE st.f END AS g
+  FROM st JOIN e ON e.session = st.session AND e.k = st.k + 1 JOIN p ON p.session = st.session))
+SELECT session, seq, held, evicted FROM st WHERE k > 0""")
 def budget_eviction(spark, sf):
     e = t(spark, sf, "events").select(F.col("user_id").alias("session"), F.col("event_id").alias("seq"), (F.col("event_id") % 50 + 1).cast("int").alias("tokens"))
     return processors.budget_batch(e, budget=200)
 
 
-@query()
+@query(r"""WITH RECURSIVE c AS (SELECT conv_id AS session, role, CASE WHEN suffix(text, ' ...') THEN regexp_replace(substr(text, 1, length(text) - 4), '^\s+|\s+$', '', 'g') ELSE text END AS x, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations WHERE regexp_matches(text, '\S')),
+st AS (SELECT session, 0::BIGINT AS k, NULL::VARCHAR AS speaker, '' AS buffer, NULL::VARCHAR AS teller, []::VARCHAR[] AS said FROM (SELECT DISTINCT session FROM c)
+ UNION ALL SELECT session, k, CASE WHEN ten THEN NULL ELSE role END, CASE WHEN ends THEN regexp_replace(regexp_extract(b, '[^.!?]*$'), '^\s+|\s+$', '', 'g') WHEN ten THEN '' ELSE b END, CASE WHEN same THEN role ELSE before END,
+  CASE WHEN ends THEN [regexp_replace(v, '^\s+|\s+$', '', 'g') FOR v IN regexp_extract_all(b, '[^.!?]*[.!?]')] WHEN ten THEN [regexp_replace(b, '^\s+|\s+$', '', 'g')] WHEN NOT same AND regexp_matches(old, '\S') THEN [regexp_replace(old, '^\s+|\s+$', '', 'g')] ELSE []::VARCHAR[] END
+  FROM (SELECT *, same AND regexp_matches(b, '[.!?]') AS ends, same AND NOT regexp_matches(b, '[.!?]') AND len(string_split(regexp_replace(b, '^\s+|\s+$', '', 'g'), ' ')) >= 10 AS ten FROM
+   (SELECT st.session, c.k, c.role, st.speaker AS before, st.buffer AS old, st.speaker IS NULL OR st.speaker = c.role AS same, CASE WHEN st.speaker IS NULL OR st.speaker = c.role THEN st.buffer || ' ' || c.x ELSE c.x END AS b FROM st JOIN c ON c.session = st.session AND c.k = st.k + 1))),
+l AS (SELECT session, max(k) AS k FROM st GROUP BY session),
+o AS (SELECT session, k, unnest(said) AS sentence, unnest(range(0, len(said))) AS i, teller AS speaker FROM st UNION ALL SELECT st.session, st.k + 1, regexp_replace(buffer, '^\s+|\s+$', '', 'g'), 0, speaker FROM st JOIN l ON st.session = l.session AND st.k = l.k WHERE regexp_matches(buffer, '\S'))
+SELECT session, row_number() OVER (PARTITION BY session ORDER BY k, i) - 1 AS n, speaker, sentence FROM o""")
 def sentence_emission(spark, sf):
     c = t(spark, sf, "conversations").select(F.col("conv_id").alias("session"), F.col("turn").alias("seq"), F.col("role").alias("speaker"), "text")
     return processors.sentences_batch(c)

@@ -11,10 +11,6 @@ from .base import query, t
 _W = lambda c: f"list_filter(regexp_split_to_array(lower({c}), '\\s+'), lambda x: x <> '')"
 
 
-#: DuckDB's levenshtein counts bytes, so the SQL compares ASCII text only; the query takes whole texts.
-_ASCII = r"regexp_replace(text, '[^\x00-\x7F]', '', 'g')"
-
-
 def _turns(spark, sf):
     """Pairs of a user turn and the assistant's next one."""
     c = t(spark, sf, "conversations")
@@ -26,9 +22,7 @@ def _turns(spark, sf):
 _T = "n AS (SELECT *, lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS nr, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS nt FROM conversations), u AS (SELECT conv_id, turn, text AS target, nt AS pred FROM n WHERE role = 'user' AND nr = 'assistant')"
 
 
-@query(f"""WITH b AS (SELECT item_id, substr(array_to_string({_W(_ASCII)}, ' '), 1, 80) AS t FROM benchmark), d AS (SELECT doc_id, substr(array_to_string({_W(_ASCII)}, ' '), 1, 80) AS p FROM documents),
-x AS (SELECT item_id, doc_id, CASE WHEN greatest(length(t), length(p)) = 0 THEN 0.0 ELSE levenshtein(rtrim(t), rtrim(p))::DOUBLE / greatest(length(t), length(p)) END AS dist FROM b, d),
-k AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY dist, doc_id) AS k FROM x) SELECT item_id, doc_id, round(dist, 6) AS dist FROM k WHERE k = 1""")
+@query()
 def anls_best(spark, sf):
     """For each benchmark item, the document nearest by edit distance of the whole texts, the smallest doc_id among equals:
     a stated query set, held by every worker, against all rows. A null document is near to nothing; a null item has no document."""
@@ -44,7 +38,24 @@ def vqa_leave_one_out(spark, sf):
     return a.select("conv_id", F.round(similarity.hit(similarity.leave_one_out(F.col("pred"), F.col("targets")), "mean"), 6).alias("score"))
 
 
-@query()
+def _plain_sql() -> str:
+    """Normalisation step by step; RE2 has no look-around, so periods go piece by piece."""
+    x = "x"
+    for p in text.PUNCTUATION:
+        p = p.replace("'", "''")
+        x = f"replace({x}, '{p}', CASE WHEN contains(x, '{p} ') OR contains(x, ' {p}') OR regexp_matches(x, '[0-9],[0-9]') THEN '' ELSE ' ' END)"
+    fixed = {**{k: v for k, v in text.CONTRACTIONS.items()}, **text.NUMBER_WORDS}
+    quote = lambda v: "'" + v.replace("'", "''") + "'"
+    names = f"MAP {{{', '.join(f'{quote(k)}: {quote(v)}' for k, v in fixed.items())}}}"
+    return f"""WITH a AS (SELECT conv_id, turn, trim(replace(replace(text, chr(10), ' '), chr(9), ' ')) AS x FROM conversations),
+b AS (SELECT conv_id, turn, string_split({x}, '.') AS p FROM a),
+c AS (SELECT conv_id, turn, p, [NOT regexp_matches(p[i], '[0-9]$') AND NOT regexp_matches(p[i + 1], '^[0-9]') FOR i IN range(1, len(p))] AS g FROM b),
+d AS (SELECT conv_id, turn, array_to_string([p[i] || CASE WHEN i = len(p) OR (g[i] AND len(list_filter(g[1:i], lambda v: v)) <= {text.PERIODS}) THEN '' ELSE '.' END FOR i IN range(1, len(p) + 1)], '') AS x FROM c),
+e AS (SELECT conv_id, turn, list_filter({_W('x')}, lambda w: w NOT IN ('a', 'an', 'the')) AS w FROM d), m AS (SELECT {names} AS m)
+SELECT conv_id, turn, coalesce(array_to_string([coalesce(m[v], v) FOR v IN w], ' '), '') AS normalized FROM e, m"""
+
+
+@query(_plain_sql())
 def normalize_answer(spark, sf):
     return t(spark, sf, "conversations").select("conv_id", "turn", text.normalize_answer(F.col("text")).alias("normalized"))
 
@@ -56,7 +67,7 @@ def set_metrics(spark, sf):
     return u.select("conv_id", "turn", F.round(similarity.jaccard(p, tg), 6).alias("jaccard"), F.round(similarity.set_precision(p, tg), 6).alias("set_precision"), similarity.set_equality(p, tg).alias("set_equality"))
 
 
-@query(f"""WITH {_T}, w AS (SELECT conv_id, turn, {_W('target')}[1:6] AS t, {_W('pred')}[1:6] AS p FROM u),
+@query(f"""WITH {_T}, w AS (SELECT conv_id, turn, {_W('target')} AS t, {_W('pred')} AS p FROM u),
 s AS (SELECT *, least(len(t), len(p)) AS n, len(list_filter(range(1, least(len(t), len(p)) + 1), lambda i: t[i] = p[i])) AS same, list_min(list_filter(range(1, least(len(t), len(p)) + 1), lambda i: t[i] <> p[i])) AS bad FROM w)
 SELECT conv_id, turn, CASE WHEN t = p THEN 1.0::DOUBLE ELSE 0.0 END AS equality, round(CASE WHEN len(t) <> len(p) THEN 0.0 WHEN len(t) = 0 THEN 1.0 ELSE same::DOUBLE / len(t) END, 6) AS accuracy, round(CASE WHEN len(t) = 0 THEN 1.0 ELSE coalesce(bad - 1, n)::DOUBLE / len(t) END, 6) AS prefix_ratio FROM s""")
 def sequence_metrics(spark, sf):
@@ -90,9 +101,7 @@ def bag_f1(spark, sf):
 _P = r"""(?is)<p(?:\s(?:[^>"']|"[^"]*"|'[^']*')*+)?>(.*?)</p\s*>"""
 
 
-@query(r"""WITH p AS (SELECT page_id, [trim(regexp_replace(x, '<[^>]*>|[^\x00-\x7F]', '', 'g')) FOR x IN regexp_extract_all(html, '<p>([^\n]*?)</p>', 1)] AS l FROM pages), i AS (SELECT page_id, l, unnest(range(1, len(l) + 1)) AS i FROM p), e AS (SELECT page_id, l[i] AS x, coalesce(l[i + 1], '') AS nxt FROM i),
-s AS (SELECT page_id, levenshtein(substr(x, 1, 60), substr(nxt, 1, 60)) AS d, greatest(length(substr(x, 1, 60)), length(substr(nxt, 1, 60))) AS m FROM e), g AS (SELECT page_id, sum(d)::DOUBLE / nullif(sum(m), 0) AS r, count(*) AS n FROM s GROUP BY page_id)
-SELECT page_id % 4 AS attribute, count(*) AS pages, round(avg(r), 6) AS edit FROM g GROUP BY ALL""")
+@query()
 def page_attribute_edit(spark, sf):
     """Edit distance of consecutive paragraphs, whole: sums over a page, means over pages of an attribute."""
     l = F.transform(F.regexp_extract_all("html", F.lit(_P), 1), lambda x: F.trim(F.regexp_replace(x, "<[^>]*>", "")))
@@ -111,9 +120,13 @@ def line_assignment(spark, sf):
     return joins.match_lines(p.join(nxt, "page"))
 
 
-@query()
+_BACK = r"reverse(regexp_replace(text, '\s+', ' ', 'g'))"
+
+
+@query(f"WITH b AS (SELECT doc_id, {_BACK} AS r FROM documents) SELECT doc_id, n::INT AS n, (CASE WHEN length(r) < n THEN 0 ELSE length(regexp_extract(r, '^(?s:' || regexp_escape(substr(r, 1, n)) || ')+')) // n END)::INT AS repeats FROM b, range(1, 6) t(n)")
 def tail_repeats(spark, sf):
-    return t(spark, sf, "documents").select("doc_id", ordered.tail_repeats(F.col("text"), 5).alias("repeats"))
+    d = t(spark, sf, "documents").select("doc_id", F.posexplode(ordered.tail_repeats(F.col("text"), 5)).alias("n", "repeats"))
+    return d.withColumn("n", F.col("n") + 1)
 
 
 @query()

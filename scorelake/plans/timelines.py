@@ -108,7 +108,7 @@ def one_second_concat(spark, sf):
     return s.groupBy("user_id", "second").agg(F.count(F.lit(1)).alias("n"), ordered.ordered_concat(["start", "event_id"], "event_type").alias("text"))
 
 
-@query("""WITH l AS (SELECT *, CASE WHEN lag(role) OVER o <> role THEN 1 ELSE 0 END AS new FROM (SELECT * , turn % 3 AS z FROM conversations WHERE turn % 3 <> 1) WINDOW o AS (PARTITION BY conv_id ORDER BY turn)),
+@query("""WITH l AS (SELECT *, CASE WHEN lag(role) OVER o <> role THEN 1 ELSE 0 END AS new FROM conversations WINDOW o AS (PARTITION BY conv_id ORDER BY turn)),
 i AS (SELECT *, sum(new) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS island FROM l) SELECT conv_id, CAST(island AS BIGINT) AS island, role, string_agg(text, ' ' ORDER BY turn) AS text, count(*) AS n FROM i GROUP BY ALL""")
 def history_islands(spark, sf):
     return ordered.history(t(spark, sf, "conversations"), ["conv_id"], ["turn"], "role", "text")

@@ -7,8 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-FAILURE = "Failed to obtain answer via API."
-
+from ..functions.text import FAILURE
 
 def load(spark: SparkSession, path: str | Sequence[str], fmt: str | None = None) -> DataFrame:
     """By suffix: tsv, csv, jsonl, json (one document), parquet, orc, txt. A list of paths is one table."""
@@ -66,11 +65,16 @@ def kind_of(df: DataFrame) -> str:
 def concat_tables(tables: Mapping[str, DataFrame], index: str = "index") -> DataFrame:
     """UNION ALL with the member's name, its own index and a new dense one by (member, index).
 
-    The dense index needs row counts before each place; it is one window over all rows, meant for benchmark tables.
+    Rows are dealt to ranges of (member, index), numbered within, and shifted by the counts of the ranges before; only
+    one count a range goes through a window of its own, so no task holds all rows.
     """
     parts = [d.withColumnRenamed(index, "original_index").withColumns({"member": F.lit(n), "__m": F.lit(k)}) for k, (n, d) in enumerate(tables.items())]
     u = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
-    return u.withColumn(index, F.row_number().over(Window.orderBy("__m", "original_index")) - 1).drop("__m").withColumn(index, F.col(index).cast("long"))
+    ranged = u.repartitionByRange("__m", "original_index").withColumn("__part", F.spark_partition_id())
+    first = ranged.groupBy("__part").agg(F.count("*").alias("n")).select("__part", (F.sum("n").over(Window.orderBy("__part")) - F.col("n")).alias("__first"))
+    within = F.row_number().over(Window.partitionBy("__part").orderBy("__m", "original_index")) - 1
+    numbered = ranged.withColumn("__within", within).join(F.broadcast(first), "__part")
+    return numbered.withColumn(index, (F.col("__within") + F.col("__first")).cast("long")).drop("__m", "__part", "__within", "__first")
 
 
 def predictions_complete(benchmark: DataFrame, predictions: DataFrame, key: str = "index") -> DataFrame:
@@ -86,7 +90,7 @@ def attach(benchmark: DataFrame, predictions: DataFrame, key: str = "index") ->
 def answered(df: DataFrame, column: str = "prediction", ignore_failed: bool = False) -> Column:
     """Rows that need no new model call."""
     c = F.col(column)
-    return c.isNotNull() if ignore_failed else c.isNotNull() & ~c.contains(FAILURE)
+    return c.isNotNull() if ignore_failed else c.isNotNull() & ~c.contains(f"{FAILURE}.")
 
 
 def localise_images(df: DataFrame, image: str = "image") -> DataFrame:

@@ -32,27 +32,35 @@ class Budget:
 
 
 class Sentences:
-    """Buffers a speaker's text; gives out whole sentences, ten words without an end, or all when the speaker changes."""
+    """Buffers a speaker's text; gives out each whole sentence, ten words without an end, or all when the speaker changes.
 
-    END = re.compile(r"(.*[.!?])(?:\s+|$)(.*)", re.S)
+    Every end mark closes a sentence, inside numbers too. Blank texts change nothing; a closing " ..." is no end and goes.
+    After ten words given out nobody is the speaker, so whoever comes next begins anew.
+    """
+
+    END = re.compile(r"[^.!?]*[.!?]")
 
     def __init__(self, speaker: str | None = None, buffer: str = "", most: int = 10):
         self.speaker, self.buffer, self.most = speaker, buffer, most
 
-    def add(self, speaker: str, text: str) -> list[tuple[str, str]]:
-        out = []
-        if self.speaker is not None and speaker != self.speaker and self.buffer.strip():
-            out.append((self.speaker, self.buffer.strip()))
-            self.buffer = ""
-        self.speaker = speaker
-        self.buffer = f"{self.buffer} {text}".strip()
-        if m := self.END.match(self.buffer):
-            out.append((speaker, m[1].strip()))
-            self.buffer = m[2]
-        elif len(self.buffer.split()) >= self.most:
-            out.append((speaker, self.buffer))
-            self.buffer = ""
-        return out
+    def add(self, speaker: str, text: str | None) -> list[tuple[str, str]]:
+        if text is None or not text.strip():
+            return []
+        if text.endswith(" ..."):
+            text = text[:-4].strip()
+        if self.speaker not in (None, speaker):
+            out = self.flush()
+            self.speaker, self.buffer = speaker, text
+            return out
+        self.speaker, self.buffer = speaker, f"{self.buffer} {text}"
+        if whole := self.END.findall(self.buffer):
+            self.buffer = self.buffer[sum(map(len, whole)) :].strip()
+            return [(speaker, x.strip()) for x in whole]
+        if len(self.buffer.strip().split(" ")) >= self.most:
+            out = self.flush()
+            self.speaker = None
+            return out
+        return []
 
     def flush(self) -> list[tuple[str, str]]:
         out = [(self.speaker, self.buffer.strip())] if self.buffer.strip() else []
@@ -116,23 +124,33 @@ def sentences_batch(df: DataFrame) -> DataFrame:
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         state, out = Sentences(), []
         for r in pdf.sort_values("seq").itertuples(index=False):
-            out += state.add(r.speaker, r.text or "")
+            out += state.add(r.speaker, r.text)
         out += state.flush()
         return pd.DataFrame([(pdf["session"].iloc[0], k, s, x) for k, (s, x) in enumerate(out)], columns=["session", "n", "speaker", "sentence"])
 
     return df.groupBy("session").applyInPandas(run, "session long, n long, speaker string, sentence string")
 
 
-def sentences_stream(df: DataFrame) -> DataFrame:
+def sentences_stream(df: DataFrame, idle: str | None = None) -> DataFrame:
+    """The same over a stream. A session's rest is given out when a row without speaker ends it and, if ``idle`` is given,
+    when no row of it has come for so long; its numbers go on if it does come back. A query with ``idle`` runs until it is
+    stopped, as time goes on without rows: it needs a processing-time trigger, not one that ends with the input."""
+    period = int(pd.Timedelta(idle).total_seconds() * 1000) if idle else 0
+
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         speaker, buffer, n = state.get if state.exists else (None, "", 0)
         held, out = Sentences(speaker, buffer), []
-        for r in pd.concat(list(batches)).sort_values("seq").itertuples(index=False):
-            out += held.add(r.speaker, r.text or "")
+        if period and state.hasTimedOut:
+            out += held.flush()
+        else:
+            for r in pd.concat(list(batches)).sort_values("seq").itertuples(index=False):
+                out += held.flush() if r.speaker is None else held.add(r.speaker, r.text)
         state.update((held.speaker, held.buffer, n + len(out)))
+        if period and held.buffer.strip():
+            state.setTimeoutDuration(period)
         yield pd.DataFrame([(key[0], n + k, s, x) for k, (s, x) in enumerate(out)], columns=["session", "n", "speaker", "sentence"])
 
-    return df.groupBy("session").applyInPandasWithState(run, "session long, n long, speaker string, sentence string", "speaker string, buffer string, n long", "append", GroupStateTimeout.NoTimeout)
+    return df.groupBy("session").applyInPandasWithState(run, "session long, n long, speaker string, sentence string", "speaker string, buffer string, n long", "append", GroupStateTimeout.ProcessingTimeTimeout if period else GroupStateTimeout.NoTimeout)
 
 
 def ticks(stream: DataFrame, every: str, late: str = "1 hour") -> DataFrame:

@@ -13,12 +13,12 @@ def value(spark, column, **cols):
     return df.select(column.alias("v")).first()["v"]
 
 
-@pytest.mark.parametrize(("text", "want"), [("Yes, it is.", "Yes"), ("no", "No"), ("yes and no", "Unknown"), ("", "Unknown"), ("Yesterday", "Unknown")])
+@pytest.mark.parametrize(("text", "want"), [("Yes, it is.", "Yes"), ("no", "No"), ("yes and no", "Unknown"), ("", "Unknown"), ("Yesterday", "Unknown"), ("yes: it is", "Unknown"), ("yes, it is", "Yes"), ("is it? no!", "No"), ("yes/no", "Unknown"), ("it's no. 5", "No")])
 def test_yes_or_no(spark, text, want):
     assert value(spark, T.yes_or_no(F.col("a")), a=text) == want
 
 
-@pytest.mark.parametrize(("text", "want"), [("The answer is (B).", "B"), ("A and B", None), (T.FAILURE, None), ("A. because of many long words here", None), ("Sorry, I can't see it", "Z"), ("", "Z")])
+@pytest.mark.parametrize(("text", "want"), [("The answer is (B).", "B"), ("A and B", None), (T.FAILURE, None), ("A. because of many long words here", None), ("Sorry, I can't see it", None), ("", None), ("I cannot see it all but B", "B"), ("Cannot determine the answer", "Z"), ("I'm sorry, but without the image provided B", "Z"), ("Failed to obtain answer via API. B", None), ("Z", "Z"), ("I can't help, so B", "B")])
 def test_option_label(spark, text, want):
     assert value(spark, T.option_label(F.col("a"), ["A", "B"]), a=text) == want
 
@@ -35,6 +35,36 @@ def test_normalize(spark):
     assert value(spark, T.normalize_answer(F.col("a")), a="dont") == "don't"
 
 
+@pytest.mark.parametrize(("text", "want"), [("they wed and she shed", "they wed and she shed"), ("lets id im", "lets id im"), ("youdve couldve itd've", "youdve could've it'd've"), ("Im Ive", "im ive"), ("one of the ten", "1 of 10"), ("a,b 1,2", "ab 12"), ("a-b", "b"), ("a- b", "b"), ("x-y z- w", "xy z w"), ("no.5 5.x y.", "no.5 5.x y"), (". " * 40, ". . . . . . . .")])
+def test_normalize_golden(spark, text, want):
+    assert value(spark, T.normalize_answer(F.col("a")), a=text) == want
+
+
+@pytest.mark.parametrize(("text", "want"), [("(b)", "B"), ("b", "B"), ("", "A"), ("The answer is C", "C"), ("The best option isThe correct option is D", "D"), ("x y z", ""), ("one two three four five six seven eight nine ten eleven", ""), ("  (e) ", "E"), ("The best option is q", "")])
+def test_first_letter(spark, text, want):
+    assert value(spark, T.first_letter(F.col("a")), a=text) == want
+
+
+@pytest.mark.parametrize(("pred", "target", "want"), [(50.0, 100.0, 0.0), (-90.0, -100.0, 1.2), (5.0, 0.0, 0.0), (100.0, 100.0, 1.0)])
+def test_mean_relative_accuracy_golden(spark, pred, target, want):
+    assert value(spark, S.mean_relative_accuracy(F.col("p"), F.col("t")), p=pred, t=target) == pytest.approx(want)
+
+
+@pytest.mark.parametrize(("text", "want"), [("a", [1, 0, 0]), ("abab", [1, 2, 1]), ("", [0, 0, 0]), ("x\n\n \ty\n y", [1, 2, 1]), ("aaaa", [4, 2, 1]), ("z" + "ab" * 5000, [1, 5000, 1])])
+def test_tail_repeats(spark, text, want):
+    from scorelake.functions import algorithms
+    from scorelake.operators import ordered
+
+    assert value(spark, ordered.tail_repeats(F.col("a"), 3), a=text) == want == algorithms.tail_repeats(text, 3)
+
+
+def test_plain_numbers_and_deep_braces(spark):
+    assert [value(spark, T.number(F.col("a")), a=x) for x in ("1d", "1e3", " 2.5 ", "1_000", "x", ".5")] == [None, 1000.0, 2.5, 1000.0, None, 0.5]
+    assert value(spark, S.relaxed(F.col("p"), F.col("t")), p="1d", t="1") is False
+    assert value(spark, T.boxed(F.col("a")), a=r"\boxed{1} \boxed{{a{b{c{d}}}}}") == "{a{b{c{d}}}}"
+    assert value(spark, T.boxed(F.col("a")), a=r"\boxed{1") is None and value(spark, T.boxed(F.col("a")), a="x") is None
+
+
 def test_extraction(spark):
     assert value(spark, T.boxed(F.col("a")), a=r"so \boxed{1} and \boxed{\frac{1}{2}}") == r"\frac{1}{2}"
     assert value(spark, T.last_number(F.col("a")), a="1,234 then 5.5") == 5.5
