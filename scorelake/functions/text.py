@@ -269,3 +269,46 @@ def last_number(c: Column) -> Column:
     """The last number of a text, without thousands separators."""
     found = F.regexp_extract_all(F.regexp_replace(c, r"(?<=\d),(?=\d{3})", ""), F.lit(r"-?\d+(?:\.\d+)?"), 0)
     return F.when(F.size(found) > 0, F.element_at(found, -1).try_cast("double"))
+
+
+# Phrases that number the items of an order, and words before a step's number.
+ORDINALS = ["first|1st|首先|第一步", "second|2nd|其次|第二步", "third|3rd|再次|第三步", "fourth|4th|最后|第四步"]
+STEPS = r"step\s*[\d一二三四]+|步骤\s*[\d一二三四]+|第\s*[\d一二三四]\s*步"
+
+
+def option_sequence(c: Column) -> Column:
+    """An order of A to D: the first word of four letters A-D if they differ; else the letters that follow 'first' to
+    'fourth' (each new one counts); else those that follow the first four steps. Null if none gives four letters."""
+    up = F.upper(c)
+    word = F.regexp_extract(up, r"(?U)\b([A-D]{4})\b", 1)
+    whole = lambda x: F.when(F.length(x) == 4, x)
+    distinct = lambda letters: whole(F.array_join(F.array_distinct(F.filter(letters, lambda x: x != "")), ""))
+    ordinal = F.array(*[F.upper(F.regexp_extract(up, f"(?iu)(?:{p}).*?([A-D])", 1)) for p in ORDINALS])
+    steps = F.slice(F.regexp_extract_all(up, F.lit(f"(?iu)(?:{STEPS}).*?([A-D])"), 1), 1, 4)
+    return F.coalesce(distinct(F.split(word, "")), distinct(ordinal), distinct(F.transform(steps, F.upper)))
+
+
+def infer_order(answer: Column, kind: Column, options: Column, labels: list[str]) -> Column:
+    """An order for rows of kind 'sort', else an option label; where there is none, the option that the text contains."""
+    return F.coalesce(F.when(kind == "sort", option_sequence(answer)).otherwise(option_label(answer, labels)), option_text(answer, options))
+
+
+def number_word(c: Column) -> Column:
+    """The whole number of a text; the first number word, from zero to ten, that occurs anywhere in it stands for the text."""
+    out = F.when(c.rlike(r"^\s*[+-]?\d+(_\d+)*\s*$"), F.replace(F.trim(c), F.lit("_"), F.lit("")).try_cast("int"))
+    for value, word in reversed(list(enumerate("zero one two three four five six seven eight nine ten".split()))):
+        out = F.when(F.lower(c).contains(word), value).otherwise(out)
+    return out
+
+
+def tsv_plain(c: Column) -> Column:
+    """Escapes of a tab-separated value as the characters they stand for."""
+    for escaped, plain in (("\\n", "\n"), ("\\p", "|"), ("\\\\", "\\")):
+        c = F.replace(c, F.lit(escaped), F.lit(plain))
+    return c
+
+
+def within_tolerance(pred: Column, target: Column, tolerance: Column | None = None) -> Column:
+    """|pred - target| under the tolerance; without one, a hundredth of the target with its sign, so no negative target passes."""
+    limit = target * 0.01 if tolerance is None else F.coalesce(F.nullif(tolerance, F.lit(0.0)), target * 0.01)
+    return F.coalesce(F.abs(pred - target) < limit, F.lit(False))
