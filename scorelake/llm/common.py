@@ -14,14 +14,16 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
 
 
-#: Rows of an Arrow batch. Rows here are whole texts; the default of 10,000 would hold all of a partition at once.
-BATCH_ROWS = 1000
+#: Rows and bytes of an Arrow batch. Rows here are whole texts; the defaults of 10,000 and 64 MB would let a few very long
+#: texts, held as Arrow, Python and results at once, take hundreds of MB of a worker.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 
 
 def bound_batches(spark: SparkSession) -> None:
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
         spark.conf.set(key, BATCH_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -52,7 +52,7 @@ def _mix(h: np.ndarray) -> np.ndarray:
 
 class Shingler:
     def __init__(self, size: int = WORDS):
-        self.size, self.memo = size, Memo(xxhash.xxh64_intdigest)
+        self.size, self.memo = size, Memo(xxhash.xxh64_intdigest, 1 << 17)
 
     def __call__(self, text: str | None) -> np.ndarray:
         """64-bit shingles in text order."""

@@ -9,7 +9,8 @@ the overflow is worked out over these, giving at most SLOTS + shards * VNODES ru
 the shard. Each row's rank in its slot (one window over slots, which the hash keeps even) then finds its run.
 
 Defined cases: a null text has no bytes (size 16) and the crc32 of the empty text; a null doc_id is placed by its text,
-so that rows without ids spread; rows with the same doc_id share a slot and are ranked by crc32 and size, and rows
+so that rows without ids spread; equal texts under different doc_ids are
+placed each by its own id, as law ``rows`` asks nothing else of them; rows with the same doc_id share a slot and are ranked by crc32 and size, and rows
 equal in all of these are interchangeable; an empty table gives no rows; fewer rows than shards leave shards empty.
 """
 
