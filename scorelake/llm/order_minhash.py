@@ -219,15 +219,15 @@ def near(n: Column, m: Column, x: Column, y: Column) -> Column:
     return (F.abs(n - m) <= most) & F.when(F.size(x) == F.size(y), unlike <= most).otherwise(True)
 
 
-def held_against(rows: DataFrame, low: int, high: int) -> DataFrame:
-    """Pairs (a, b) of nodes that may be similar: the leaders of ranks low to high - 1 of each bucket with those behind.
-
-    rows: key, node, n, bits, centre (the rank's order, largest first), class.
-    """
+def leaders(rows: DataFrame, low: int, high: int) -> DataFrame:
+    """The nodes of ranks low to high - 1 of each bucket. rows: key, node, n, bits, centre (the rank's order, largest first), class."""
     rank = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("centre"), "node"))
-    lead = rows.withColumn("rank", rank).where(F.col("rank") <= high).where(F.col("rank") > low).drop("rank")
-    # A table of its own, so that the join below is one between two exchanges, whose hot keys are split.
-    lead = written(lead.select("key", *[F.col(c).alias(f"lead_{c}") for c in ("node", "n", "bits", "centre", "class")]))
+    lead = rows.withColumn("rank", rank).where(F.col("rank") <= high).where(F.col("rank") > low)
+    return lead.select("key", *[F.col(c).alias(f"lead_{c}") for c in ("node", "n", "bits", "centre", "class")])
+
+
+def held_against(rows: DataFrame, lead: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nodes that may be similar: each bucket's leaders with the nodes that rank behind them."""
     behind = (F.col("centre") < F.col("lead_centre")) | ((F.col("centre") == F.col("lead_centre")) & (F.col("node") > F.col("lead_node")))
     met = behind & (F.col("class") != F.col("lead_class")) & near(F.col("n"), F.col("lead_n"), F.col("bits"), F.col("lead_bits"))
     return rows.join(lead, "key").where(met).select(F.col("lead_node").alias("a"), F.col("node").alias("b")).distinct()
@@ -249,7 +249,8 @@ def labels(docs: DataFrame) -> DataFrame:
         rows = bucket.where(F.col("size") > low + 1).join(members, "node").select("key", "size", "node", "n", "bits", "centre", "class")
         unlike = written(rows.groupBy("key").agg((F.min("class") != F.max("class")).alias("open")).where("open").select("key"))
         rows = written(rows.join(unlike, "key", "left_semi"))
-        new = written(verified(held_against(rows, low, high), texts))
+        lead = written(leaders(rows, low, high))  # a table: the join with it is one between two exchanges, whose hot keys are split
+        new = written(verified(held_against(rows, lead), texts))
         linked = not new.isEmpty()
         if linked:
             of = members.select("node", "class")
@@ -260,7 +261,7 @@ def labels(docs: DataFrame) -> DataFrame:
             members = merged
         narrowed = written(rows.select("key", "size", "node"))
         done = not linked and (high >= SURE or rows.isEmpty())
-        discard(new, bucket, rows, unlike)
+        discard(new, lead, bucket, rows, unlike)
         bucket = narrowed
         if done:
             break

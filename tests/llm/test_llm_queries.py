@@ -122,7 +122,7 @@ def test_pairs_apart_from_the_bucket_leader_are_found(spark):
     texts = [" ".join(a * 4), " ".join([*b * 4, "z"]), " ".join([*b * 4, "y"]), "e d c"]
     nodes = order_minhash.nodes_of(docs_frame(spark, texts)).select("node", "text").where("node is not null")
     rows = order_minhash.sketches(nodes).select(F.lit(7).alias("key"), "node", "n", "bits", F.when(F.col("n") == 36, 9).otherwise(1).alias("centre"), F.col("node").alias("class"))
-    found = [order_minhash.verified(order_minhash.held_against(rows, *r), nodes).count() for r in ((0, 1), (1, 4))]
+    found = [order_minhash.verified(order_minhash.held_against(rows, order_minhash.leaders(rows, *r)), nodes).count() for r in ((0, 1), (1, 4))]
     assert found == [0, 1]
 
 
