@@ -571,3 +571,95 @@ def baseline(text: str, most: int = 30) -> bool:
     """Has letters or digits, ends in no long repetition, and holds no CJK, kana or emoji."""
     tail = tail_repeats(text, 5)
     return any(map(str.isalnum, text)) and max(tail) <= most and not re.search("[぀-ヿ一-鿿\U0001f300-\U0001faff]", text)
+
+
+def choice_of(response: str, labels: Sequence[str], texts: Sequence[str]) -> str | None:
+    """The chosen label of a response: of bracketed or dotted labels the one whose brackets stand last, else of labels that
+    stand alone the last, else, in more than five words, of options' texts the last; among equals the first label. None
+    where nothing is named: whoever wants a guess draws one there."""
+    for mark in ",.!?;:'":
+        response = response.strip(mark)
+    r = f" {response} "
+    low = r.lower()
+    for found, place in (
+        ([x for x in labels if f"({x})" in r or f"{x}. " in r], lambda x: r.rfind(f"({x})")),
+        ([x for x in labels if f" {x} " in r], lambda x: r.rfind(f" {x} ")),
+        ([x for x, t in zip(labels, texts, strict=True) if len(r.split()) > 5 and t.lower() in low], lambda x: low.rfind(texts[list(labels).index(x)].lower())),
+    ):
+        if found:
+            return max(found, key=place)  # the first of equals
+    return None
+
+
+def plain_answer(s: object) -> str:
+    """Lower case; no bracketed parts, no quote at an end, no $ before and no % behind."""
+    t = re.sub(r"\s*\([^)]*\)", "", str(s).lower().strip()).strip()
+    return re.sub(r"^['\"]|['\"]$", "", t).strip().lstrip("$").strip().rstrip("%").strip()
+
+
+# What makes an answer one that must be met exactly.
+_EXACT_HOLDS = ["https://", "a.m.", "p.m."]
+_EXACT_ENDS = [".py", "ipynb"]
+_EXACT_FORMS = [r"\d+(-\d+|\s\d+)?", r"\d{4}[-\s]\d{2}[-\s]\d{2}", r"\d{4}[-\s]\d{2}", r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}"]
+
+
+def must_be_exact(s: str) -> bool:
+    return any(x in s for x in _EXACT_HOLDS) or s.endswith(tuple(_EXACT_ENDS)) or s.startswith("page") or any(re.fullmatch(x, s) for x in _EXACT_FORMS)
+
+
+def _decimals(x: float) -> int:
+    return len(str(x).partition(".")[2]) if "." in str(x) else 3
+
+
+def near_number(target: str, pred: str) -> bool:
+    """Is the number the target, its hundredth or its hundredfold, within a hundredth or when rounded alike?"""
+    try:
+        t, p = (float(x.strip().rstrip("%").strip()) for x in (target, pred))
+    except ValueError:
+        return False
+    for v in (t / 100, t, t * 100):
+        if math.isclose(v, p, rel_tol=0.01):
+            return True
+        if math.isfinite(v) and math.isfinite(p):
+            n = max(min(_decimals(p), _decimals(v)), 2)
+            if round(p, n) == round(v, n):
+                return True
+    return False
+
+
+def _likeness(target: str, pred: str, threshold: float = 0.5) -> float:
+    """1 - edit distance over the longer length, 0 unless above the threshold."""
+    longest = max(len(target), len(pred))
+    likeness = 1 - edit_distances([target], [pred], [0], [0])[0] / longest if longest else 1.0
+    return float(likeness) if likeness > threshold else 0.0
+
+
+def _items(s: str) -> list:
+    if s.startswith("["):
+        got = ast.literal_eval(s)
+        return got if isinstance(got, list) else [got]
+    return [s]
+
+
+def typed_score(target: str, pred: str, kind: str) -> float:
+    """Score by an answer's kind: Int by value, Float by near_number, Str exactly or by likeness, anything else as lists of
+    texts in order of their plain form: of unlike length 0, else exactly or by the least likeness."""
+    if kind == "Int":
+        try:
+            return float(int(target) == int(float(pred)))
+        except (ValueError, OverflowError):
+            return 0.0
+    if kind == "Float":
+        return float(near_number(plain_answer(target), plain_answer(pred)))
+    if kind == "Str":
+        t, p = plain_answer(target), plain_answer(pred)
+        return float(t == p) if must_be_exact(t) else _likeness(t, p)
+    ts, ps = sorted(map(plain_answer, _items(target))), sorted(map(plain_answer, _items(pred)))
+    if len(ts) != len(ps) or not ts:
+        return 0.0
+    try:
+        float(ts[0])
+        exact = True
+    except ValueError:
+        exact = must_be_exact(ts[0])
+    return float("-".join(ts) == "-".join(ps)) if exact else min(map(_likeness, ts, ps))

@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .shared import written
+
 
 def smooth(df: DataFrame, keys: Sequence[str], order: Sequence[str], start: str = "start", end: str = "end") -> DataFrame:
     """Where a segment overlaps the next, both meet at the middle of the overlap. Both sides read the times as given."""
@@ -64,3 +66,15 @@ def speaker_top1(df: DataFrame, keys: Sequence[str], speaker: str, score: str, t
     """Who speaks: the highest score above the threshold; ties go to the smaller id; nobody gives no row."""
     active = df.where(F.col(score) > threshold)
     return active.groupBy(*keys).agg(F.max_by(F.col(speaker), F.struct(F.col(score), -F.col(speaker))).alias(speaker), F.max(score).alias(score))
+
+
+def dense_index(df: DataFrame, order: Sequence[str], name: str) -> DataFrame:
+    """Numbers all rows from 0 in the given order. Rows are dealt to ranges, numbered within, and shifted by the counts of
+    the ranges before; only one count a range goes through a window of its own, so no task holds all rows.
+
+    The dealt rows are a table of their own, as ranges drawn twice need not be the same."""
+    ranged = written(df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()))
+    first = ranged.groupBy("__part").agg(F.count("*").alias("n")).select("__part", (F.sum("n").over(Window.orderBy("__part")) - F.col("n")).alias("__first"))
+    within = F.row_number().over(Window.partitionBy("__part").orderBy(*order)) - 1
+    numbered = ranged.withColumn("__within", within).join(F.broadcast(first), "__part")
+    return numbered.withColumn(name, (F.col("__within") + F.col("__first")).cast("long")).drop("__part", "__within", "__first")

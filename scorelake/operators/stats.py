@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+
+from .ordered import dense_index
 
 
 PRIME = 2147483647
@@ -93,11 +95,38 @@ def permutation(df: DataFrame, stratum: str, order: str, group: str, value: str,
     return shuffled.crossJoin(seen).agg(F.max("observed").alias("observed"), F.round(F.avg((F.abs("d") >= F.abs("observed")).cast("double")), 6).alias("p"))
 
 
-def moments(df: DataFrame, vector: str, by: Sequence[str] = ()) -> DataFrame:
-    """Mean vector and covariance matrix (sample) of array columns, from sums of values and products."""
-    v = df.select(*by, F.posexplode(vector).alias("i", "x"), F.col(vector).alias("v"))
-    cross = v.select(*by, "i", "x", F.posexplode("v").alias("j", "y"))
-    s = cross.groupBy(*by, "i", "j").agg(F.count(F.lit(1)).alias("n"), F.sum("x").alias("sx"), F.sum("y").alias("sy"), F.sum(F.col("x").cast("double") * F.col("y")).alias("sxy"))
+def moments(df: DataFrame, vector: str, by: Sequence[str] = (), groups: int = 64) -> DataFrame:
+    """Mean vector and covariance matrix (sample) of array columns: by, i, j, n, mean (of i), cov. Null vectors are left out.
+
+    A task adds up its vectors and their outer products, for at most ``groups`` groups at a time, and gives out one row a
+    group; only these sums are shuffled. Vectors of unlike length in a group are added up apart.
+    """
+    rows = df.where(F.col(vector).isNotNull() & (F.size(vector) > 0)).select(*by, F.size(vector).alias("__d"), F.col(vector).cast("array<double>").alias("__v"))
+    keys = [*by, "__d"]
+
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[tuple, list] = {}
+
+        def given() -> pd.DataFrame:
+            out = pd.DataFrame([(*k, n, s, p.ravel()) for k, (n, s, p) in held.items()], columns=[*keys, "__n", "__s", "__p"])
+            held.clear()
+            return out
+
+        for b in batches:
+            for key, g in b.groupby(keys, dropna=False, sort=False):
+                x = np.stack(g["__v"].to_numpy())
+                n, s, p = held.get(key, (0, 0.0, 0.0))
+                held[key] = [n + len(x), s + x.sum(axis=0), p + x.T @ x]
+            if len(held) > groups:
+                yield given()
+        yield given()
+
+    kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema[:-1])
+    e = rows.mapInPandas(sums, kinds + "__n long, __s array<double>, __p array<double>").select(*keys, "__n", "__s", F.posexplode("__p").alias("__k", "__xy"))
+    at = lambda i: F.get("__s", i.cast("int"))
+    k, d = F.col("__k"), F.col("__d")
+    e = e.select(*keys, F.floor(k / d).cast("int").alias("i"), (k % d).cast("int").alias("j"), "__n", at(F.floor(k / d)).alias("__x"), at(k % d).alias("__y"), "__xy")
+    s = e.groupBy(*keys, "i", "j").agg(F.sum("__n").alias("n"), F.sum("__x").alias("sx"), F.sum("__y").alias("sy"), F.sum("__xy").alias("sxy"))
     return s.select(*by, "i", "j", "n", (F.col("sx") / F.col("n")).alias("mean"), ((F.col("sxy") - F.col("sx") * F.col("sy") / F.col("n")) / (F.col("n") - 1)).alias("cov"))
 
 
@@ -109,18 +138,19 @@ def frechet(m1: np.ndarray, c1: np.ndarray, m2: np.ndarray, c2: np.ndarray) -> f
     return float(((m1 - m2) ** 2).sum() + np.trace(c1) + np.trace(c2) - 2 * np.sqrt(np.maximum(inner, 0)).sum())
 
 
-def shared_range(value: Column, by: Sequence[str] = (), log: bool = False) -> Column:
-    """Min-max scaling over a window; with log, of log1p."""
-    x = F.log1p(value) if log else value
-    w = Window.partitionBy(*by)
-    return F.coalesce(F.try_divide(x - F.min(x).over(w), F.max(x).over(w) - F.min(x).over(w)), F.lit(0.0))
+def shared_range(df: DataFrame, value: str, by: Sequence[str] = (), name: str = "scaled", log: bool = False) -> DataFrame:
+    """Adds value scaled by the least and greatest of its group (0 where they are equal); with log, of log1p. The groups'
+    two numbers are aggregated first and joined, so no group is gathered in one task."""
+    x = F.log1p(value) if log else F.col(value)
+    ends = df.groupBy(*by).agg(F.min(x).alias("__low"), F.max(x).alias("__high"))
+    joined = df.join(ends, list(by)) if by else df.crossJoin(F.broadcast(ends))  # one row
+    return joined.withColumn(name, F.coalesce(F.try_divide(x - F.col("__low"), F.col("__high") - F.col("__low")), F.lit(0.0))).drop("__low", "__high")
 
 
 def group_statistics(df: DataFrame, order: str, value: str, groups: int = 5) -> DataFrame:
     """Mean and population deviation of the means of contiguous groups of equal size; the rest falls to the last."""
-    n = df.count()
-    size = max(n // groups, 1)
-    k = df.withColumn("g", F.least(F.floor((F.row_number().over(Window.orderBy(order)) - 1) / size), F.lit(groups - 1)))
+    size = max(df.count() // groups, 1)
+    k = dense_index(df, [order], "__at").withColumn("g", F.least(F.floor(F.col("__at") / size), F.lit(groups - 1)))
     return k.groupBy("g").agg(F.avg(value).alias("m")).agg(F.avg("m").alias("mean"), F.stddev_pop("m").alias("std"))
 
 

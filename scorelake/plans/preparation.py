@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import text
+from ..functions import algorithms, text
 from ..operators import prepare
 from .base import S, query, segments, t
 
@@ -113,3 +113,24 @@ def sequence_extract(spark, sf):
     said = F.when(k % 6 == 0, "so BADC it is").when(k % 6 == 1, "first C, second A, third d and fourth B").when(k % 6 == 2, "step 1: D. step 2: C then step 3 - A; step 4 B").when(k % 6 == 3, "AABC").when(k % 6 == 4, "first A, second A").otherwise("nothing")
     told = F.when(k % 4 == 0, "It is Seven").when(k % 4 == 1, "3").when(k % 4 == 2, "3.0").otherwise("12")
     return t(spark, sf, "part").select(k.alias("key"), text.option_sequence(said).alias("label"), text.number_word(told).alias("number"))
+
+
+@query("SELECT p_partkey AS key, CASE p_partkey % 5 WHEN 0 THEN 'C' WHEN 1 THEN 'B' WHEN 2 THEN 'A' WHEN 3 THEN 'B' END AS label FROM part")
+def choice_parse(spark, sf):
+    """Choices named in brackets, alone, or by their text; the SQL states the values by hand."""
+    k = F.col("p_partkey")
+    said = F.when(k % 5 == 0, "(A) or (C)").when(k % 5 == 1, "so A or B!").when(k % 5 == 2, F.concat(F.lit("I take it that they mean "), "p_name")).when(k % 5 == 3, "B. because").otherwise("no")
+    p = t(spark, sf, "part").select(k.alias("key"), said.alias("said"), F.array(*map(F.lit, "ABC")).alias("labels"), F.array("p_name", F.lit("green tree"), F.lit("other thing")).alias("texts"))
+    return p.select("key", algorithms.vectorised(algorithms.choice_of, "string")("said", "labels", "texts").alias("label"))
+
+
+@query("SELECT p_partkey AS key, CASE p_partkey % 6 WHEN 0 THEN 1.0 WHEN 1 THEN (p_size % 2 = 0)::INT::DOUBLE WHEN 2 THEN 1.0 WHEN 3 THEN 0.0 WHEN 4 THEN round(1 - 1.0::DOUBLE / (length(p_name) + 1), 6) ELSE 1.0 END AS score FROM part")
+def typed_scores(spark, sf):
+    """Answers by kind: whole numbers, numbers within a hundredth or as a percentage, exact texts, alike texts, lists."""
+    k, size = F.col("p_partkey"), F.col("p_size").cast("string")
+    pick = lambda *v: F.get(F.array(*v), (k % 6).cast("int"))
+    target = pick(size, F.lit("200"), F.lit("5%"), F.concat(F.lit("page "), size), F.concat("p_name", F.lit("x")), F.lit("['b', 'a']"))
+    pred = pick(F.concat(size, F.lit(".7")), F.when(F.col("p_size") % 2 == 0, "201").otherwise("210"), F.lit("0.05"), F.concat(F.lit("page "), size, F.lit("0")), F.col("p_name"), F.lit("['A', 'b']"))
+    kind = pick(*map(F.lit, ("Int", "Float", "Float", "Str", "Str", "List")))
+    s = t(spark, sf, "part").select(k.alias("key"), target.alias("t"), pred.alias("p"), kind.alias("kind"))
+    return s.select("key", F.round(algorithms.vectorised(algorithms.typed_score, "double")("t", "p", "kind"), 6).alias("score"))

@@ -105,7 +105,8 @@ def majority_vote(spark, sf):
 
 @query("SELECT o_orderpriority AS kind, round((o_totalprice - min(o_totalprice) OVER w) / (max(o_totalprice) OVER w - min(o_totalprice) OVER w), 6) AS scaled, o_orderkey FROM orders WINDOW w AS (PARTITION BY o_orderpriority)")
 def shared_range_scaling(spark, sf):
-    return t(spark, sf, "orders").select(F.col("o_orderpriority").alias("kind"), F.round(stats.shared_range(F.col("o_totalprice"), ["o_orderpriority"]), 6).alias("scaled"), "o_orderkey")
+    o = stats.shared_range(t(spark, sf, "orders"), "o_totalprice", ["o_orderpriority"])
+    return o.select(F.col("o_orderpriority").alias("kind"), F.round("scaled", 6).alias("scaled"), "o_orderkey")
 
 
 @query("WITH e AS (SELECT e.user_id, e.event_id, e.ts, (SELECT max(p.ts) FROM events p WHERE p.user_id = e.user_id AND p.event_type = 'purchase' AND p.ts <= e.ts) AS seen FROM events e WHERE event_type <> 'purchase') SELECT user_id, event_id, CAST(floor(epoch(ts)) - floor(epoch(seen)) AS BIGINT) AS gap FROM e")

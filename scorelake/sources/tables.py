@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.text import FAILURE
+from ..operators.ordered import dense_index
 
 def load(spark: SparkSession, path: str | Sequence[str], fmt: str | None = None) -> DataFrame:
     """By suffix: tsv, csv, jsonl, json (one document), parquet, orc, txt. A list of paths is one table."""
@@ -63,18 +64,10 @@ def kind_of(df: DataFrame) -> str:
 
 
 def concat_tables(tables: Mapping[str, DataFrame], index: str = "index") -> DataFrame:
-    """UNION ALL with the member's name, its own index and a new dense one by (member, index).
-
-    Rows are dealt to ranges of (member, index), numbered within, and shifted by the counts of the ranges before; only
-    one count a range goes through a window of its own, so no task holds all rows.
-    """
+    """UNION ALL with the member's name, its own index and a new dense one by (member, index)."""
     parts = [d.withColumnRenamed(index, "original_index").withColumns({"member": F.lit(n), "__m": F.lit(k)}) for k, (n, d) in enumerate(tables.items())]
     u = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
-    ranged = u.repartitionByRange("__m", "original_index").withColumn("__part", F.spark_partition_id())
-    first = ranged.groupBy("__part").agg(F.count("*").alias("n")).select("__part", (F.sum("n").over(Window.orderBy("__part")) - F.col("n")).alias("__first"))
-    within = F.row_number().over(Window.partitionBy("__part").orderBy("__m", "original_index")) - 1
-    numbered = ranged.withColumn("__within", within).join(F.broadcast(first), "__part")
-    return numbered.withColumn(index, (F.col("__within") + F.col("__first")).cast("long")).drop("__m", "__part", "__within", "__first")
+    return dense_index(u, ["__m", "original_index"], index).drop("__m")
 
 
 def predictions_complete(benchmark: DataFrame, predictions: DataFrame, key: str = "index") -> DataFrame:

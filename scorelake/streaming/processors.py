@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators.shared import shared_folder
+
 SILENCE = "<SILENCE>"
 
 
@@ -171,11 +173,15 @@ def read_ticks(spark: SparkSession, path: str) -> DataFrame:
 
 
 def tick_table(spark: SparkSession, path: str, every: str) -> DataFrame:
-    """Runs the tick stream over all that is there, and returns its table."""
-    name = f"ticks_{uuid.uuid4().hex}"
-    q = ticks(read_ticks(spark, path), every).writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
+    """Runs the tick stream over all that is there, and returns its table, which each batch writes anew to the shared folder."""
+    out = f"{shared_folder(spark)}/ticks-{uuid.uuid4().hex}"
+
+    def keep(batch: DataFrame, _: int) -> None:
+        batch.write.mode("overwrite").parquet(out)
+
+    q = ticks(read_ticks(spark, path), every).writeStream.outputMode("complete").foreachBatch(keep).trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.table(name).select(F.unix_timestamp("w.start").alias("tick"), "event_type", "n", F.round("total", 4).alias("total"))
+    return spark.read.parquet(out).select(F.unix_timestamp("w.start").alias("tick"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
 def valid_messages(df: DataFrame, column: str = "value") -> DataFrame:

@@ -59,3 +59,13 @@ def test_over_columns(spark):
     df = spark.createDataFrame([("ab", "ba", '{"a": 1}'), (None, "x", "{")], "a string, b string, j string")
     out = df.select(A.vectorised(A.damerau_levenshtein, "int")("a", "b").alias("d"), A.vectorised(A.string_list, "array<string>")("j").alias("l"), A.vectorised(A.nested_f1, "double")("j", F.lit('{"a": 1}')).alias("f")).collect()
     assert [r["d"] for r in out] == [1, None] and out[1]["f"] is None and out[0]["f"] == pytest.approx(1, abs=1e-5)
+
+
+@pytest.mark.parametrize(("said", "want"), [("(A) or (C)", "C"), ("B. is it", "B"), ("so A or B", "B"), ("it has to be the red house I think", "A"), ("red house", None), ("none of all these is right here", None), ("C.", "C"), ("(B)!", "B"), ("A, B and C", "C"), ("blue car and red house stand over there", "A")])
+def test_choice_of(said, want):
+    assert A.choice_of(said, ["A", "B", "C"], ["red house", "blue car", "green tree"]) == want
+
+
+@pytest.mark.parametrize(("target", "pred", "kind", "want"), [("3", "3.7", "Int", 1.0), ("3", "x", "Int", 0.0), ("5%", "0.05", "Float", 1.0), ("100", "100.9", "Float", 1.0), ("100", "102", "Float", 0.0), ("$12 (net)", "12", "Str", 1.0), ("page 3", "page 4", "Str", 0.0), ("apple", "apple", "Str", 1.0), ("apple", "apply", "Str", 0.8), ("apple", "plum", "Str", 0.0), ("['2', '1']", "['1', '2']", "List", 1.0), ("['a', 'b']", "['a']", "List", 0.0), ("['abcd', 'x']", "['abcx', 'x']", "List", 0.75)])
+def test_typed_score(target, pred, kind, want):
+    assert A.typed_score(target, pred, kind) == pytest.approx(want)
