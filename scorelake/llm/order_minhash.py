@@ -8,12 +8,13 @@ and m are their numbers of shingles and L is the length of the best alignment wi
 
 Equal texts, and texts with equal sequences of shingles, are one node. A bucket holds the nodes with one band. Its nodes
 are ranked by how many others they share buckets with, so those in the middle of a group of copies come first. A round
-holds the nodes of a bucket against those of the next ranks as leaders (rank 0, then up to 3, 15, 63 and so on), and
-classes are formed anew; buckets of one class are done. A node meets a leader only if it ranks behind it, is of another
-class and passes two exact bounds, of length and of differing bits of a bitmap of its shingles. So a round's rows are
-linear in the bucket's nodes, and no bucket is spelled out into all pairs. The rounds end when no bucket has two classes
-or unheld pairs, or when a round beyond rank 15 links nothing: buckets of up to 17 nodes are always decided whole, and of
-larger ones the pairs left are those whose both ends lie far from the middle (see the README for what that costs).
+takes the next nodes of a bucket as leaders (1, then 3, 12, 48 and so on) and holds the others against them, and classes
+are formed anew. A leader has then met every node of its bucket, so it leaves it; a bucket whose nodes are of one class is
+done. A node meets a leader only if it is of another class and passes two exact bounds, of length and of differing bits of
+a bitmap of its shingles. Once 16 have been leaders, only nodes outside the bucket's largest class are: two classes meet
+through such a node only, so a group of copies of any size is never spelled out into its pairs. The rounds end when no
+bucket has two classes, so every pair of a bucket is decided: by a common class, by a bound that no similar pair fails, or
+by its alignment.
 
 Defined cases: a null text is alone in its class; texts without words are copies only of equal texts; texts of any length
 are compared whole; rows that repeat a doc_id fall into one class if their texts do; rows without a doc_id get the
@@ -38,8 +39,9 @@ BANDS = 16
 LEAST = 3
 WORDS = 5
 SIMILARITY = 0.8
-SURE = 16  # ranks that are always held against their buckets
+SURE = 16  # leaders of a bucket that may be of its largest class
 GROWTH = 4
+LENGTH_STEP = 1.26  # the width of a band of lengths; those of similar nodes differ by a factor of 1.25 at most
 BIT_WORDS = 64  # the longest bitmap, in 64-bit words
 _ODD = np.random.default_rng(20).integers(1, 1 << 62, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -219,18 +221,40 @@ def near(n: Column, m: Column, x: Column, y: Column) -> Column:
     return (F.abs(n - m) <= most) & F.when(F.size(x) == F.size(y), unlike <= most).otherwise(True)
 
 
-def leaders(rows: DataFrame, low: int, high: int) -> DataFrame:
-    """The nodes of ranks low to high - 1 of each bucket. rows: key, node, n, bits, centre (the rank's order, largest first), class."""
+def opened(rows: DataFrame, outside: bool) -> DataFrame:
+    """The rows of buckets with several classes, with main (is the node of the bucket's largest class? never, if not outside)
+    and band (of lengths; similar nodes are at most one band apart). rows: key, node, n, bits, centre, class."""
+    sizes = rows.groupBy("key", "class").agg(F.count("*").alias("members"))
+    largest = sizes.groupBy("key").agg(F.max_by("class", F.struct("members", "class")).alias("main"), F.count("*").alias("classes"))
+    several = largest.where("classes > 1").select("key", "main")
+    band = F.floor(F.log("n") / F.log(F.lit(LENGTH_STEP))).cast("int")
+    return rows.join(several, "key").withColumn("main", (F.col("class") == F.col("main")) & F.lit(outside)).withColumn("band", band)
+
+
+def leaders(rows: DataFrame, count: int) -> DataFrame:
+    """The first ``count`` nodes of each bucket that are not main, largest centre first. rows: as opened() gives them."""
     rank = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("centre"), "node"))
-    lead = rows.withColumn("rank", rank).where(F.col("rank") <= high).where(F.col("rank") > low)
-    return lead.select("key", *[F.col(c).alias(f"lead_{c}") for c in ("node", "n", "bits", "centre", "class")])
+    lead = rows.where(~F.col("main")).withColumn("rank", rank).where(F.col("rank") <= count)
+    return lead.select("key", *[F.col(c).alias(f"lead_{c}") for c in ("node", "n", "bits", "centre", "class", "band")])
+
+
+def behind(centre: str, node: str) -> Column:
+    return (F.col("centre") < F.col(centre)) | ((F.col("centre") == F.col(centre)) & (F.col("node") > F.col(node)))
 
 
 def held_against(rows: DataFrame, lead: DataFrame) -> DataFrame:
-    """Pairs (a, b) of nodes that may be similar: each bucket's leaders with the nodes that rank behind them."""
-    behind = (F.col("centre") < F.col("lead_centre")) | ((F.col("centre") == F.col("lead_centre")) & (F.col("node") > F.col("lead_node")))
-    met = behind & (F.col("class") != F.col("lead_class")) & near(F.col("n"), F.col("lead_n"), F.col("bits"), F.col("lead_bits"))
-    return rows.join(lead, "key").where(met).select(F.col("lead_node").alias("a"), F.col("node").alias("b")).distinct()
+    """Pairs (a, b) of nodes that may be similar: each bucket's leaders with main nodes and those that rank behind them."""
+    lead = lead.withColumn("band", F.explode(F.array(*[F.col("lead_band") + k for k in (-1, 0, 1)])))
+    met = (F.col("main") | behind("lead_centre", "lead_node")) & (F.col("class") != F.col("lead_class"))
+    met &= near(F.col("n"), F.col("lead_n"), F.col("bits"), F.col("lead_bits"))
+    return rows.join(lead, ["key", "band"]).where(met).select(F.col("lead_node").alias("a"), F.col("node").alias("b")).distinct()
+
+
+def unheld(rows: DataFrame, lead: DataFrame) -> DataFrame:
+    """key, node of the rows that were not leaders."""
+    end = lead.groupBy("key").agg(F.max(F.struct((-F.col("lead_centre")).alias("less"), "lead_node")).alias("end"))
+    end = end.select("key", (-F.col("end.less")).alias("end_centre"), F.col("end.lead_node").alias("end_node"))
+    return rows.join(end, "key").where(F.col("main") | behind("end_centre", "end_node")).select("key", "node")
 
 
 def labels(docs: DataFrame) -> DataFrame:
@@ -244,28 +268,26 @@ def labels(docs: DataFrame) -> DataFrame:
     centre = bucket.groupBy("node").agg(F.sum("size").alias("centre"))
     members = written(one.select("node", "n", "bits").join(centre, "node").withColumn("class", F.col("node")))
     texts = written(docs.select("node", "text").join(members.select("node"), "node", "left_semi").dropDuplicates(["node"]))
-    low, high = 0, 1
+    held, count = 0, 1
     while True:
-        rows = bucket.where(F.col("size") > low + 1).join(members, "node").select("key", "size", "node", "n", "bits", "centre", "class")
-        unlike = written(rows.groupBy("key").agg((F.min("class") != F.max("class")).alias("open")).where("open").select("key"))
-        rows = written(rows.join(unlike, "key", "left_semi"))
-        lead = written(leaders(rows, low, high))  # a table: the join with it is one between two exchanges, whose hot keys are split
+        rows = written(opened(bucket.select("key", "node").join(members, "node").select("key", "node", "n", "bits", "centre", "class"), held >= SURE))
+        if rows.isEmpty():
+            discard(rows)
+            break
+        lead = written(leaders(rows, count))  # a table: the join with it is one between two exchanges, whose hot keys are split
         new = written(verified(held_against(rows, lead), texts))
-        linked = not new.isEmpty()
-        if linked:
+        if not new.isEmpty():
             of = members.select("node", "class")
             ends = new.join(of.toDF("a", "x"), "a").join(of.toDF("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
             into = components(ends)
             merged = written(members.join(into.toDF("class", "into"), "class", "left").select("node", "n", "bits", "centre", F.coalesce("into", "class").alias("class")))
             discard(members, into)
             members = merged
-        narrowed = written(rows.select("key", "size", "node"))
-        done = not linked and (high >= SURE or rows.isEmpty())
-        discard(new, lead, bucket, rows, unlike)
-        bucket = narrowed
-        if done:
-            break
-        low, high = high, high * GROWTH
+        left = written(unheld(rows, lead))
+        discard(new, lead, bucket, rows)
+        bucket = left
+        held += count
+        count = held * (GROWTH - 1)
     discard(bucket, texts)
     label = members.select("node", F.col("class").alias("label"))
     also = equal.join(label, "node", "left").select(F.col("also").alias("node"), F.coalesce("label", "node").alias("label"))

@@ -122,10 +122,46 @@ def test_pairs_apart_from_the_bucket_leader_are_found(spark):
     texts = [" ".join(a * 4), " ".join([*b * 4, "z"]), " ".join([*b * 4, "y"]), "e d c"]
     nodes = order_minhash.nodes_of(docs_frame(spark, texts)).select("node", "text").where("node is not null")
     rows = order_minhash.sketches(nodes).select(F.lit(7).alias("key"), "node", "n", "bits", F.when(F.col("n") == 36, 9).otherwise(1).alias("centre"), F.col("node").alias("class"))
-    found = [order_minhash.verified(order_minhash.held_against(rows, order_minhash.leaders(rows, *r)), nodes).count() for r in ((0, 1), (1, 4))]
+    found = []
+    for count in (1, 3):
+        open_rows = order_minhash.opened(rows, False)
+        lead = order_minhash.leaders(open_rows, count)
+        found.append(order_minhash.verified(order_minhash.held_against(open_rows, lead), nodes).count())
+        rows = rows.join(order_minhash.unheld(open_rows, lead), ["key", "node"])
+    assert rows.count() == 0
     assert found == [0, 1]
 
 
+@pytest.mark.parametrize("sure", [0, 1, 16])
+def test_every_candidate_pair_is_decided(spark, monkeypatch, sure):
+    """Classes are those of all pairs with a common band, also in buckets far larger than the leaders of the first rounds."""
+    monkeypatch.setattr(order_minhash, "SURE", sure)
+    rng = np.random.default_rng(4)
+    base = [f"w{k}" for k in range(60)]
+    texts = []
+    for _ in range(70):  # copies of one passage with runs of words exchanged: some near, some not, most in common buckets
+        w = list(base)
+        for _ in range(int(rng.integers(0, 4))):
+            at, n = int(rng.integers(0, 54)), int(rng.integers(1, 7))
+            w[at : at + n] = [f"x{int(rng.integers(0, 3))}" for _ in range(n)]
+        texts.append(" ".join(w))
+    shingle = order_minhash.Shingler()
+    s = [shingle(v) for v in texts]
+    keys = [set(order_minhash.sketch(v)) for v in s]
+    label = list(range(len(texts)))
+    apart = 0
+    for i in range(len(s)):
+        for j in range(i):
+            if keys[i] & keys[j] or texts[i] == texts[j]:
+                if order_minhash.aligned(s[j], s[i]):
+                    label = [min(label[i], label[j]) if x in (label[i], label[j]) else x for x in label]
+                else:
+                    apart += 1
+    got = {r["doc_id"]: r["class_id"] for r in order_minhash.classes(docs_frame(spark, texts)).collect()}
+    assert apart and len(set(label)) > 1
+    assert [got[i] for i in range(len(texts))] == label
+
+
 def test_bitmap_bound_keeps_every_similar_pair(spark):
     r = random.Random(9)
     base = [r.randrange(1 << 20) for _ in range(120)]
