@@ -5,15 +5,12 @@ text. Places where tokens of both end cut them into groups; all pairs of an A an
 
 1. Inside an Arrow batch DuckDB holds two tables of intervals, the texts one behind the other. An ASOF join gives each A
    token the B token that reaches its end; where the ends are equal a group ends, and a window sum numbers the groups. A
-   second ASOF join gives B tokens theirs, and a range join of the overlapping intervals, carried to whole groups, the links.
+   second ASOF join gives each B token the group whose range it lies in, and a join of both sides by group gives the links.
    A document's distinct linked pairs go on with their numbers of links, and the batch's pairs with their documents.
 2. Spark sums the batches' counts: how many documents hold a pair.
 3. Counts come back to the documents in blocks of BLOCK pairs, a bounded broadcast each; one block holds all pairs there are
    until the corpus has more than that, and each further one is one more pass over the documents' pairs, not over texts.
 
-B is encoded chunk by chunk where no piece reaches across (a space after another character; the vocabulary is checked for
-that when loaded), and the chunks' ids are remembered in a bounded memo; texts with other shapes are encoded whole.
-
 Defined cases: a text that is null, empty, or that either side's tokens do not give back byte for byte (a literal U+2581,
 say) has no tokens: zeros and an empty groups_sha256; strings of special tokens are plain text; texts of any length are encoded
 whole; repeated rows are documents each; an empty table gives no rows; doc_id may be of any type and null.
@@ -24,7 +21,7 @@ from __future__ import annotations
 import hashlib
 import json
 from collections.abc import Iterator
-from itertools import accumulate
+from itertools import accumulate, chain
 
 import numpy as np
 import pandas as pd
@@ -33,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .common import bound_batches, discard, table, written
-from .pieces import MARK, Memo
+from .pieces import MARK
 
 BYTE_MODEL, PIECE_MODEL = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 #: Pairs and counts that one broadcast holds, 16 bytes each.
@@ -79,18 +76,10 @@ class PieceSide:
         if len(names) > 1 << B_BITS:
             raise ValueError(f"more than {1 << B_BITS} pieces")
         self.texts = [bytes([int(x[1:-1], 16)]) if p.is_byte(i) else b"" if p.is_control(i) or p.is_unknown(i) else x.replace(MARK, " ").encode() for i, x in enumerate(names)]
-        self.cuts = not any(MARK in x.lstrip(MARK) for x in names)
-        self.memo = Memo(lambda w: tuple(p.encode(w)), 1 << 17)
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         """Ids of each text; the side itself puts a space before it."""
-        out = []
-        for t in texts:
-            if self.cuts and "  " not in t and t[0] != " " and t[-1] != " " and MARK not in t:
-                out.append([i for w in t.split(" ") for i in self.memo[w]])
-            else:
-                out.append(self.processor.encode(t, num_threads=1) if len(t) < PIECE else self.processor.encode(t))
-        return out
+        return self.processor.encode(texts, num_threads=1) if texts else []
 
 
 SETUP = ["SET threads = 1", "SET memory_limit = '600MB'", "SET temp_directory = ''", "SET preserve_insertion_order = false"]
@@ -102,13 +91,9 @@ FROM a ASOF JOIN b ON a.e <= b.e;
 CREATE OR REPLACE TEMP TABLE gb AS
 SELECT b.pos, b.id, b.s, b.e, c.g FROM b ASOF JOIN (SELECT e, g FROM ga WHERE cut) c ON b.e <= c.e;
 """
-#: Pairs of overlapping tokens; a group of one token on either side has no others.
+#: A group is the range between two cuts; its tokens of A and of B are linked, each with each.
 LINKS = """
-CREATE OR REPLACE TEMP TABLE link AS
-WITH wide AS (SELECT ga.g FROM (SELECT g, count(*) AS n FROM ga GROUP BY g HAVING count(*) > 1) ga JOIN (SELECT g, count(*) AS n FROM gb GROUP BY g HAVING count(*) > 1) gb ON ga.g = gb.g)
-SELECT ga.doc, (CAST(ga.id AS INT) << 15) + gb.id AS key FROM ga JOIN gb ON ga.g = gb.g AND ga.s < gb.e AND gb.s < ga.e
-UNION ALL
-SELECT ga.doc, (CAST(ga.id AS INT) << 15) + gb.id FROM wide JOIN ga ON wide.g = ga.g JOIN gb ON wide.g = gb.g WHERE NOT (ga.s < gb.e AND gb.s < ga.e);
+CREATE OR REPLACE TEMP TABLE link AS SELECT ga.doc, (CAST(ga.id AS INT) << 15) + gb.id AS key FROM ga JOIN gb ON ga.g = gb.g;
 """
 PAIRS = "SELECT doc, key, CAST(count(*) AS INT) AS n FROM link GROUP BY doc, key ORDER BY doc, key"
 
@@ -141,7 +126,7 @@ class Aligner:
 
     def intervals(self, ids: list[list[int]], side: int) -> pa.Table:
         doc = np.repeat(np.arange(len(ids)), [len(x) for x in ids])
-        flat = np.fromiter((i for x in ids for i in x), np.int64, len(doc))
+        flat = np.fromiter(chain.from_iterable(ids), np.int64, len(doc))
         e = np.cumsum(self.lengths[side][flat])
         own = {"pos": np.arange(len(doc)), "doc": doc, "id": flat, "s": e - self.lengths[side][flat], "e": e}
         return pa.table({k: pa.array(v.astype(np.int32)) for k, v in own.items()})
