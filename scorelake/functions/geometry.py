@@ -83,3 +83,76 @@ def interval_sets_iou(a: Column, b: Column) -> Column:
     a, b = merge_intervals(a), merge_intervals(b)
     common = F.aggregate(a, F.lit(0.0), lambda s, x: s + F.aggregate(b, F.lit(0.0), lambda u, y: u + F.greatest(F.lit(0.0), F.least(x["end"], y["end"]) - F.greatest(x["start"], y["start"]))))
     return ratio(common, F.when(total_length(a) + total_length(b) - common > 0, total_length(a) + total_length(b) - common))
+
+
+# Polygons: arrays of struct<x double, y double>, corners in either direction
+
+
+def rectangle(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
+    """The polygon of a box."""
+    corner = lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
+    return F.array(corner(x1, y1), corner(x2, y1), corner(x2, y2), corner(x1, y2))
+
+
+def _let(value: Column, f) -> Column:
+    """f of value, which is worked out once: inside a lambda an expression is worked out anew wherever it stands."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def signed_area(p: Column) -> Column:
+    """Above 0 if the corners go from x to y; 0 for fewer than three."""
+
+    def turns(own: Column) -> Column:
+        after = lambda i: F.get(own, (i + 1) % F.size(own))
+        each = F.transform(own, lambda a, i: a["x"] * after(i)["y"] - after(i)["x"] * a["y"])
+        return F.aggregate(each, F.lit(0.0), lambda s, v: s + v) / 2
+
+    return _let(p, turns)
+
+
+def polygon_area(p: Column) -> Column:
+    return F.abs(signed_area(p))
+
+
+def clip(subject: Column, window: Column) -> Column:
+    """The part of subject inside a convex window, edge by edge of the window; its area is right for any simple subject.
+
+    An edge is a half plane a x + b y + c >= 0; a corner inside stays, and where two corners lie on both sides of the edge
+    the place between them comes in.
+    """
+    sign = F.when(signed_area(window) < 0, -1.0).otherwise(1.0)
+
+    def edge(p: Column, q: Column) -> Column:
+        a, b = p["y"] - q["y"], q["x"] - p["x"]
+        return F.struct(a.alias("a"), b.alias("b"), (-(a * p["x"] + b * p["y"])).alias("c"))
+
+    edges = F.transform(window, lambda p, i: edge(p, F.get(window, (i + 1) % F.size(window))))
+    edges = _let(sign, lambda s: F.transform(edges, lambda e: F.struct((e["a"] * s).alias("a"), (e["b"] * s).alias("b"), (e["c"] * s).alias("c"))))
+    none = F.array().cast("array<struct<x:double,y:double>>")
+
+    def inside(held: Column, e: Column) -> Column:
+        sided = F.transform(held, lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"), (e["a"] * p["x"] + e["b"] * p["y"] + e["c"]).alias("s")))
+
+        def corners(own: Column) -> Column:
+            def corner(p: Column, q: Column) -> Column:
+                share = p["s"] / F.nullif(p["s"] - q["s"], F.lit(0.0))
+                cross = F.struct((p["x"] + (q["x"] - p["x"]) * share).alias("x"), (p["y"] + (q["y"] - p["y"]) * share).alias("y"))
+                end = F.struct(q["x"].alias("x"), q["y"].alias("y"))
+                return F.when((p["s"] >= 0) & (q["s"] >= 0), F.array(end)).when(p["s"] >= 0, F.array(cross)).when(q["s"] >= 0, F.array(cross, end)).otherwise(none)
+
+            return F.flatten(F.transform(own, lambda p, i: corner(p, F.get(own, (i + 1) % F.size(own)))))
+
+        return _let(sided, corners)
+
+    return F.aggregate(edges, subject, inside)
+
+
+def shared_area(a: Column, b: Column) -> Column:
+    """Area that a polygon and a convex one have in common."""
+    return polygon_area(clip(a, b))
+
+
+def bounds(p: Column) -> Column:
+    """struct x1, y1, x2, y2: the least box around a polygon."""
+    xs, ys = p["x"], p["y"]
+    return F.struct(F.array_min(xs).alias("x1"), F.array_min(ys).alias("y1"), F.array_max(xs).alias("x2"), F.array_max(ys).alias("y2"))

@@ -21,4 +21,13 @@ def written(df: DataFrame) -> DataFrame:
     """df as a table there: what is read twice is read the same, and a lost executor costs no recomputation."""
     path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of written() that nothing reads any more."""
+    for t in tables:
+        at = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t.written_to)
+        at.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
