@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from .text import number, words
+from .text import number, strip, words
 
 
 def ratio(a: Column, b: Column, otherwise: float = 0.0) -> Column:
@@ -32,7 +32,7 @@ def leave_one_out(pred: Column, targets: Column) -> Column:
 def relaxed(pred: Column, target: Column, tolerance: float = 0.05) -> Column:
     """Numbers within a relative tolerance (n% counts as n / 100); else equal texts, whatever their case."""
     value = lambda c: F.when(c.endswith("%"), number(F.regexp_replace(c, "%+$", "")) / 100).otherwise(number(c))
-    p, t = value(F.trim(pred)), value(F.trim(target))
+    p, t = value(pred), value(target)
     near = F.try_divide(F.abs(p - t), F.abs(t)) <= tolerance
     return F.when(p.isNotNull() & t.isNotNull() & (t != 0), near).otherwise(F.lower(pred) == F.lower(target))
 
@@ -71,12 +71,18 @@ def angle_rmse(pred: Column, target: Column, most: float = 10.0) -> Column:
 
 
 def positive_int_match(pred: Column, target: Column) -> Column:
-    p = F.trim(pred).try_cast("int")
-    return F.coalesce((p > 0) & (p == F.trim(target).try_cast("int")), F.lit(False)).cast("double")
+    """1 for equal whole numbers, 0 for others and for what is no whole number; -1 if neither is above 0, which a mean leaves out."""
+    whole = r"^[ \t]*[+-]?(0+(_0+)*|[1-9]\d*(_\d+)*)\s*\z"
+    value = lambda c: F.when(c.rlike(whole), F.replace(strip(c), F.lit("_"), F.lit("")).try_cast("decimal(38,0)"))
+    p, t = value(pred), value(target)
+    return F.when((p <= 0) & (t <= 0), -1.0).otherwise(F.coalesce(p == t, F.lit(False)).cast("double"))
 
 
 def estimation_score(pred: Column, target: Column) -> Column:
-    return mean_relative_accuracy(pred, target)
+    """Tenths: at how many of the thresholds .5, .55, ..., .95 the error over the target's size is under 1 - threshold."""
+    room = F.array(*[F.lit(1 - (0.5 + 0.05 * k)) for k in range(10)])
+    error = F.try_divide(F.abs(target - pred), F.abs(target))
+    return F.coalesce(F.size(F.filter(room, lambda r: error < r)) * 0.1, F.lit(0.0))
 
 
 def within(pred: Column, target: Column, absolute: float = 1e-3, relative: float = 1e-6) -> Column:
@@ -84,22 +90,25 @@ def within(pred: Column, target: Column, absolute: float = 1e-3, relative: float
 
 
 def exact(pred: Column, target: Column) -> Column:
-    return (F.trim(pred) == F.trim(target)).cast("double")
+    """1 for equal texts, as they stand. A target of one letter is met by a longer answer's leading letter: A, (A), A. x, Ax."""
+    letter = F.regexp_extract(pred, r"^\(?([A-Za-z])", 1)
+    lone = target.rlike(r"^\p{L}\z") & (F.length(pred) > 1) & (letter != "")
+    return (F.when(lone, letter).otherwise(pred) == target).cast("double")
 
 
 def exact_any_case(pred: Column, target: Column) -> Column:
-    return (F.lower(F.trim(pred)) == F.lower(F.trim(target))).cast("double")
+    return exact(F.lower(pred), F.lower(target))
 
 
 def simple_match(pred: Column, target: Column) -> Column:
-    """Equal but for case, spaces and hyphens."""
-    plain = lambda c: F.translate(F.lower(F.trim(c)), " -", "")
-    return (plain(pred) == plain(target)).cast("double")
+    """exact() without spaces, line ends, tabs, hyphens, periods and case."""
+    plain = lambda c: F.lower(F.translate(c, " -\n\t.", ""))
+    return exact(plain(pred), plain(target))
 
 
 def multi_reference(pred: Column, targets: Column) -> Column:
-    low = F.lower(F.trim(pred))
-    return F.exists(targets, lambda t: low == F.lower(F.trim(t))).cast("double")
+    """1 if the answer is a simple match of any target."""
+    return F.exists(targets, lambda t: simple_match(pred, t) == 1).cast("double")
 
 
 def set_equality(pred: Column, target: Column) -> Column:
@@ -160,11 +169,31 @@ def partial_match(pred: Column, target: Column) -> Column:
     return ratio(F.size(F.array_intersect(p, t)), F.greatest(F.size(p), F.size(t)))
 
 
+def _near(pred: Column, target: Column) -> Column:
+    """1 - edit distance over the longer length, 0 if it is under a half; 1 for two empty texts."""
+    near = 1 - ratio(F.levenshtein(pred, target), F.greatest(F.length(pred), F.length(target)))
+    return F.when(near >= 0.5, near).otherwise(0.0)
+
+
+def _line(c: Column) -> Column:
+    return F.replace(strip(F.lower(c)), F.lit("\n"), F.lit(" "))
+
+
 def short_or_anls(pred: Column, target: Column) -> Column:
-    """Targets under five words count if contained; longer ones by ANLS of at least .5."""
-    p, t = F.lower(F.trim(pred)), F.lower(F.trim(target))
-    near = 1 - ratio(F.levenshtein(p, t), F.greatest(F.length(p), F.length(t)))
-    return F.when(F.size(words(t)) < 5, p.contains(t).cast("double")).otherwise(F.when(near >= 0.5, near).otherwise(0.0))
+    """A target under five words: 1 if the answer contains it, else how near both are, from a half on; longer targets have no score."""
+    p, t = _line(pred), _line(target)
+    return F.when(F.size(words(t)) < 5, F.when(p.contains(t), 1.0).otherwise(_near(p, t))).when(p.isNotNull() & t.isNotNull(), 0.0)
+
+
+def short_or_anls_any(pred: Column, targets: Column) -> Column:
+    """The best over several targets: those under five words count if contained, longer ones by how near both are."""
+    p = _line(pred)
+
+    def one(target: Column) -> Column:
+        t = _line(target)
+        return F.when(F.size(words(t)) < 5, p.contains(t).cast("double")).otherwise(_near(p, t))
+
+    return F.coalesce(F.array_max(F.transform(targets, one)), F.lit(0.0))
 
 
 def dict_equality(pred: Column, target: Column) -> Column:
@@ -211,6 +240,6 @@ def hit(scores: Column, kind: str) -> Column:
 
 
 def rating(c: Column) -> Column:
-    """1 for a judge's 'Correct', 0 for 'Incorrect', null otherwise."""
-    t = F.lower(F.trim(c))
-    return F.when(t.startswith("correct"), 1).when(t.startswith("incorrect"), 0)
+    """1 for a judge's 'Correct', 0 for 'Incorrect': the one that the text begins with, else 1 if only 'Correct' is in it. 0 without either."""
+    right = c.startswith("Correct") | (c.contains("Correct") & ~c.contains("Incorrect"))
+    return F.when(c.isNotNull(), right.cast("int"))

@@ -43,17 +43,24 @@ REFUSALS = ["Sorry, I can't help with images of people yet.", "I can't process t
 LEAD_INS = ["The best answer is", "The correct answer is", "The answer is", "The answer", "The best option isThe correct option is", "Best answer:Best option:"]
 #: Periods outside numbers that normalisation takes away, at most.
 PERIODS = 32
-#: A number as Python's float reads it.
-NUMBER = r"(?i)^\s*[+-]?(\d+(_\d+)*\.?(\d+(_\d+)*)?|\.\d+(_\d+)*)(e[+-]?\d+)?\s*$"
+# The characters that Python's str takes as white space.
+SPACE = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+#: A number as Python's float reads it, without white space around it.
+NUMBER = r"(?i)^[+-]?(\d+(_\d+)*\.?(\d+(_\d+)*)?|\.\d+(_\d+)*)(e[+-]?\d+)?\z"
 
 
 def _map(values: dict[str, str]) -> Column:
     return F.create_map(*[F.lit(x) for kv in values.items() for x in kv])
 
 
+def strip(c: Column) -> Column:
+    """Without white space of any kind at either end."""
+    return F.regexp_replace(c, rf"^{SPACE}+|{SPACE}+\z", "")
+
+
 def words(c: Column) -> Column:
-    """Non-empty tokens between white space; null gives null."""
-    return F.filter(F.split(c, r"\s+"), lambda x: x != "")
+    """Non-empty tokens between white space of any kind; null gives null."""
+    return F.filter(F.split(c, f"{SPACE}+"), lambda x: x != "")
 
 
 def drop_punctuation(c: Column) -> Column:
@@ -75,11 +82,12 @@ def digits_articles(c: Column) -> Column:
 
 def number(c: Column) -> Column:
     """A text's value as a double; null unless it is written as a plain decimal number."""
-    return F.when(c.rlike(NUMBER), F.replace(c, F.lit("_"), F.lit("")).try_cast("double"))
+    plain = strip(c)
+    return F.when(plain.rlike(NUMBER), F.replace(plain, F.lit("_"), F.lit("")).try_cast("double"))
 
 
 def normalize_answer(c: Column) -> Column:
-    plain = F.trim(F.replace(F.replace(c, F.lit("\n"), F.lit(" ")), F.lit("\t"), F.lit(" ")))
+    plain = strip(F.replace(F.replace(c, F.lit("\n"), F.lit(" ")), F.lit("\t"), F.lit(" ")))
     return digits_articles(drop_punctuation(plain))
 
 
@@ -91,7 +99,8 @@ def yes_or_no(c: Column) -> Column:
 
 
 def yes_or_no_prefix(c: Column) -> Column:
-    low = F.lower(F.trim(c))
+    """Whether a text begins so; white space before it is no beginning."""
+    low = F.lower(c)
     return F.when(low.startswith("yes"), "yes").when(low.startswith("no"), "no")
 
 
@@ -125,7 +134,7 @@ def infer_option(answer: Column, options: Column, labels: list[str]) -> Column:
 def first_letter(c: Column, letters: str = "ABCDE") -> Column:
     """First option letter, after the usual lead-ins are taken away; else the first choice "(A)", "(B)"... that holds the
     text, whatever its case (an empty text is in the first); else ''."""
-    c = F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    c = strip(c)
     for lead in LEAD_INS:
         c = F.replace(c, F.lit(lead), F.lit(""))
     within = F.filter(F.array(*map(F.lit, letters)), lambda x: F.concat(F.lit("("), F.lower(x), F.lit(")")).contains(F.lower(c)))
@@ -140,16 +149,21 @@ def options_map(df_columns: list[str]) -> Column:
 
 
 def thinking(c: Column, close: str = "</think>") -> Column:
-    """struct(thinking, answer) of a text with a reasoning part."""
+    """struct(thinking, answer) of a text with a reasoning part: what stands between its marks, and what comes after the last
+    end mark, both stripped. With several end marks, or none to begin with, all before the last one is the thinking,
+    as it stands. A text without end mark is all answer, as it stands."""
     parts = F.split(c, close)
-    has = F.size(parts) > 1
-    return F.struct(F.when(has, F.trim(F.replace(parts[0], F.lit("<think>"), F.lit("")))).alias("thinking"), F.trim(F.element_at(parts, -1)).alias("answer"))
+    n = F.size(parts)
+    inner = F.get(F.split(parts[0], "<think>"), F.lit(1))
+    before = F.concat(F.array_join(F.slice(parts, F.lit(1), F.greatest(n - 1, F.lit(0))), close), F.lit(close))
+    thought = F.when(n < 2, "").when((n == 2) & inner.isNotNull(), strip(inner)).otherwise(before)
+    return F.struct(F.when(c.isNotNull(), thought).alias("thinking"), F.when(n < 2, c).otherwise(strip(F.element_at(parts, -1))).alias("answer"))
 
 
 def fenced(c: Column, language: str = "json") -> Column:
     """What a fenced code block of a language holds, else the text itself."""
     inner = F.regexp_extract(c, rf"(?s)```{language}\s*(.*?)\s*```", 1)
-    return F.when(inner != "", F.trim(inner)).otherwise(c)
+    return F.when(inner != "", strip(inner)).otherwise(c)
 
 
 def strip_fences(c: Column) -> Column:
@@ -191,7 +205,7 @@ def ocr_tokens(c: Column, by_word: bool = True, alnum: bool = False) -> Column:
 
 def whole_word(c: Column, word: Column) -> Column:
     """Does the word occur in the text between word boundaries?"""
-    return c.rlike(F.concat(F.lit(r"(?U)\b"), F.regexp_replace(word, r"([\\^$.|?*+()\[\]{}])", r"\\$1"), F.lit(r"\b")))
+    return F.regexp_like(c, F.concat(F.lit(r"(?U)\b"), F.regexp_replace(word, r"([\\^$.|?*+()\[\]{}])", r"\\$1"), F.lit(r"\b")))
 
 
 def pairwise_verdict(c: Column) -> Column:
@@ -295,7 +309,8 @@ def infer_order(answer: Column, kind: Column, options: Column, labels: list[str]
 
 def number_word(c: Column) -> Column:
     """The whole number of a text; the first number word, from zero to ten, that occurs anywhere in it stands for the text."""
-    out = F.when(c.rlike(r"^\s*[+-]?\d+(_\d+)*\s*$"), F.replace(F.trim(c), F.lit("_"), F.lit("")).try_cast("int"))
+    plain = strip(c)
+    out = F.when(plain.rlike(r"^[+-]?\d+(_\d+)*\z"), F.replace(plain, F.lit("_"), F.lit("")).try_cast("int"))
     for value, word in reversed(list(enumerate("zero one two three four five six seven eight nine ten".split()))):
         out = F.when(F.lower(c).contains(word), value).otherwise(out)
     return out

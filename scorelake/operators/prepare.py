@@ -81,10 +81,13 @@ def unsound(df: DataFrame, speaker: str, start: str, end: str, text: str) -> Dat
     return df.withColumn("wrong", wrong).where("wrong is not null")
 
 
-def read_buffer(df: DataFrame, at: str, length: int = 60, rate: int = 2, until: str | None = None) -> DataFrame:
+def read_buffer(df: DataFrame, at: str, length: int = 60, rate: int = 2, until: str | None = None, since: str | None = None) -> DataFrame:
     """For each tick (a whole second), the read that holds it: begin, end (cut at the video's end), its number of frames and
-    the tick's first frame in it. Ticks beyond the video are left out."""
-    begin = F.floor(F.col(at) / length) * length
+    the tick's first frame in it. Reads follow each other from the video's begin (``since``, 0 without). Ticks outside the video
+    are left out."""
+    first = F.lit(0) if since is None else F.col(since)
+    df = df.where(F.col(at) >= first)
+    begin = first + F.floor((F.col(at) - first) / length) * length
     end = begin + length if until is None else F.least(begin + length, F.col(until))
     inside = df if until is None else df.where(F.col(at) < F.col(until))
     return inside.withColumns({"read_begin": begin, "read_end": end, "frames": (end - begin) * rate, "first_frame": (F.col(at) - begin) * rate})

@@ -77,12 +77,13 @@ def clue_frames(spark, sf):
     return s.select("event_id", F.size("f").cast("long").alias("n"), F.aggregate("f", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"), F.array_min("f").cast("long").alias("first"), F.array_max("f").cast("long").alias("last"))
 
 
-@query(f"""WITH {S}, d AS (SELECT *, max("end") OVER (PARTITION BY user_id) AS stop FROM g) SELECT event_id, start // 60 * 60 AS read_begin, least(start // 60 * 60 + 60, stop) AS read_end, (least(start // 60 * 60 + 60, stop) - start // 60 * 60) * 2 AS frames, (start - start // 60 * 60) * 2 AS first_frame FROM d WHERE start < stop""")
+@query(f"""WITH {S}, d AS (SELECT *, max("end") OVER (PARTITION BY user_id) AS stop, 37 * (user_id % 7) AS begun FROM g), r AS (SELECT *, begun + (start - begun) // 60 * 60 AS a FROM d WHERE start < stop AND start >= begun)
+SELECT event_id, a AS read_begin, least(a + 60, stop) AS read_end, (least(a + 60, stop) - a) * 2 AS frames, (start - a) * 2 AS first_frame FROM r""")
 def read_buffer(spark, sf):
-    """The minute-long read, two frames a second, that each segment's start falls into."""
+    """The minute-long read, two frames a second, that each segment's start falls into; videos begin at odd seconds."""
     s = segments(spark, sf)
-    d = s.join(s.groupBy("user_id").agg(F.max("end").alias("stop")), "user_id")
-    return prepare.read_buffer(d, "start", until="stop").select("event_id", "read_begin", "read_end", "frames", "first_frame")
+    d = s.join(s.groupBy("user_id").agg(F.max("end").alias("stop")), "user_id").withColumn("begun", 37 * (F.col("user_id") % 7))
+    return prepare.read_buffer(d, "start", until="stop", since="begun").select("event_id", "read_begin", "read_end", "frames", "first_frame")
 
 
 @query("""WITH s AS (SELECT DISTINCT user_id % 10 AS session, floor(epoch(ts) / 86400)::BIGINT AS tick, event_id % 4 AS speaker FROM events), c AS (SELECT *, CASE WHEN (tick + speaker) % 5 = 0 THEN '<SILENCE>' WHEN (tick + speaker) % 5 = 1 THEN '' ELSE 'c' || (tick % 7) END AS comment, (tick + session) % 3 <> 0 AS active FROM s)

@@ -154,3 +154,17 @@ def valid_and_ratio_means(spark, sf):
     """Means of valid scores only, of all, and a ratio of means."""
     s = t(spark, sf, "documents").select("lang", (F.length("text") % 5).alias("v"))
     return s.groupBy(F.col("lang").alias("name")).agg(F.count(F.lit(1)).alias("n"), F.round(F.coalesce(report.valid_mean(F.when(F.col("v") > 0, F.col("v")).otherwise(-1)), F.lit(0.0)), 6).alias("valid"), F.round(F.avg("v"), 6).alias("whole"), F.round(report.ratio_of_means(F.col("v"), F.length("lang")), 6).alias("relative"))
+
+
+@query(rf"""WITH {_T}, v AS (SELECT conv_id, turn, pred, target, string_split(target, chr(10))[1] AS line, left(target, 1) AS letter, replace(replace(pred, '.', ' '), ',', chr(10)) AS marked FROM u),
+m AS (SELECT *, regexp_extract(pred, '^\(?([A-Za-z])', 1) AS lead, trim(lower(pred), ' ' || chr(10) || chr(9)) AS p, trim(lower(line), ' ' || chr(10) || chr(9)) AS t, lower(translate(pred, ' -.' || chr(10) || chr(9), '')) AS a, lower(translate(marked, ' -.' || chr(10) || chr(9), '')) AS b FROM v)
+SELECT conv_id, turn, CASE WHEN regexp_full_match(letter, '\p{{L}}') AND length(pred) > 1 AND lead <> '' THEN lead = letter ELSE pred = letter END::INT::DOUBLE AS letter,
+  (pred = target)::INT::DOUBLE AS whole, (a = replace(b, ',', ''))::INT::DOUBLE AS simple,
+  (CASE WHEN len(list_filter(regexp_split_to_array(t, '\s+'), lambda x: x <> '')) < 5 AND contains(replace(p, chr(10), ' '), replace(t, chr(10), ' ')) THEN 1 ELSE 0 END)::DOUBLE AS held FROM m""")
+def string_scores(spark, sf):
+    """Turns as answers: to the other turn's first letter, to all of it, to themselves with other marks, and to its first line."""
+    u = _turns(spark, sf)
+    marked = F.replace(F.replace("pred", F.lit("."), F.lit(" ")), F.lit(","), F.lit("\n"))
+    line = F.substring_index("target", "\n", 1)
+    held = similarity.short_or_anls(F.col("pred"), line)
+    return u.select("conv_id", "turn", similarity.exact(F.col("pred"), F.left("target", F.lit(1))).alias("letter"), similarity.exact(F.col("pred"), F.col("target")).alias("whole"), similarity.simple_match(F.col("pred"), marked).alias("simple"), (held == 1).cast("double").alias("held"))

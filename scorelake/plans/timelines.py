@@ -6,6 +6,7 @@ from pyspark.sql import Window, functions as F
 
 from ..functions import geometry
 from ..operators import generate, joins, ordered, report
+from ..streaming import sessions
 from .base import S, query, segments, t
 
 
@@ -125,3 +126,12 @@ def speaker_top1(spark, sf):
     """Per tick (a day in the sparse test stream) the user with the highest score above the threshold."""
     e = t(spark, sf, "events").groupBy(F.floor(F.unix_timestamp(F.col("ts").cast("timestamp")) / 86400).alias("tick"), "user_id").agg(F.max("value").alias("score"))
     return ordered.speaker_top1(e, ["tick"], "user_id", "score", 0.5).select("tick", "user_id", F.round("score", 6).alias("score"))
+
+
+@query()
+def session_log(spark, sf):
+    """Events as messages of their user's session: hello, inferences and settings, refused while an inference runs."""
+    kind = F.when(F.col("event_type") == "purchase", "infer").when(F.col("event_type") == "click", "set_params").when(F.col("event_type") == "view", "set_assistant_count").otherwise("hello")
+    value = F.to_json(F.struct(kind.alias("type"), F.col("event_id").alias("request_id"), F.col("event_id").alias("ts"), (F.col("value") / 100).alias("threshold"), F.floor("value").alias("count"), F.array().cast("array<string>").alias("frames"), F.col("event_type").alias("query")))
+    e = t(spark, sf, "events").select(F.col("user_id").alias("session"), "ts", F.col("event_id").alias("seq"), value.alias("value"))
+    return sessions.sessions_batch(e, infer_ms=12 * 3_600_000, idle_ms=3 * 86_400_000)

@@ -131,3 +131,59 @@ def test_intervals(spark):
     assert [tuple(x) for x in value(spark, G.merge_intervals(iv((1, 3), (2, 5), (7, 8))))] == [(1, 5), (7, 8)]
     assert value(spark, G.interval_sets_iou(iv((1, 3), (2, 5), (7, 8)), iv((4, 8)))) == pytest.approx(2 / 7)
     assert value(spark, G.time_iou(*map(F.lit, (0.0, 10.0, 5.0, 15.0)))) == pytest.approx(1 / 3)
+
+
+def many(spark, column, cases):
+    """The column's values over cases, rows of (a, b)."""
+    rows = [(k, *c) for k, c in enumerate(cases)]
+    kind = lambda v: "double" if isinstance(v, float) else "array<string>" if isinstance(v, list) else "string"
+    shape = f"k int, a {kind(next((c[0] for c in cases if c[0] is not None), ''))}, b {kind(next((c[1] for c in cases if c[1] is not None), ''))}"
+    return [x[0] for x in spark.createDataFrame(rows, shape).orderBy("k").select(column).collect()]
+
+
+def test_white_space_of_any_kind(spark):
+    spaces = [chr(c) for c in range(0x3100) if chr(c).isspace()]
+    texts = ["".join(spaces) + "x" + "".join(spaces), *(f"{s}a{s}{s}b {s}" for s in spaces), "​z​", "", "\n\n"]
+    assert many(spark, T.strip(F.col("a")), [(x, None) for x in texts]) == [x.strip() for x in texts]
+    assert many(spark, T.words(F.col("a")), [(x, None) for x in texts]) == [x.split() for x in texts]
+    for s in ("\n", "\t", " ", "　"):
+        assert value(spark, T.yes_or_no(F.col("a")), a=f"yes{s}it is") == "Yes"
+        assert value(spark, T.option_label(F.col("a"), ["A", "B"]), a=f"答案{s}B") == "B"
+        assert value(spark, T.normalize_answer(F.col("a")), a=f"{s}the{s}two{s}") == "2"
+        assert value(spark, T.thinking(F.col("a")), a=f"<think>{s}so{s}</think>{s}{s}B{s}") == Row(thinking="so", answer="B")
+
+
+def test_thinking_as_it_stands(spark):
+    cases = {
+        "no marks ": ("", "no marks "),
+        "x</think> A": ("x</think>", "A"),
+        "<think>a</think>b</think>\nC": ("<think>a</think>b</think>", "C"),
+        "pre<think> t </think>": ("t", ""),
+    }
+    for text, want in cases.items():
+        assert tuple(value(spark, T.thinking(F.col("a")), a=text)) == want
+    assert tuple(many(spark, T.thinking(F.col("a")), [(None, None)])[0]) == (None, None)
+
+
+def test_prefixes_and_percents_are_not_stripped(spark):
+    assert many(spark, T.yes_or_no_prefix(F.col("a")), [(" Yes", None), ("Yes.", None), ("\nno", None), ("Not", None)]) == [None, "yes", None, "no"]
+    assert many(spark, S.relaxed(F.col("a"), F.col("b")), [("5% ", "0.05"), ("5%", "0.05"), (" 5 ", "5.1"), ("a ", "a"), ("3", "0"), ("0", "0")]) == [False, True, True, False, False, True]
+
+
+def test_strings_as_they_stand(spark):
+    cases = [("(A) foo", "A"), ("A . x", "A"), ("Apple", "A"), ("a.", "A"), (" A", "A"), ("A", "A"), (" cat", "cat"), ("cat", "cat"), ("7", "7"), ("75", "7"), ("é!", "é"), ("(b) x", "B"), (None, "A")]
+    assert many(spark, S.exact(F.col("a"), F.col("b")), cases) == [1, 1, 1, 0, 0, 1, 0, 1, 1, 0, 0, 0, None]
+    assert many(spark, S.exact_any_case(F.col("a"), F.col("b")), [("(b) x", "B"), ("CAT", "cat"), ("cat ", "cat")]) == [1, 1, 0]
+    assert many(spark, S.simple_match(F.col("a"), F.col("b")), [("U.S.", "us"), ("a-b\n c\t", "ABC"), ("a b", "ab"), ("B) yes", "b")]) == [1, 1, 0, 1]
+    assert many(spark, S.multi_reference(F.col("a"), F.col("b")), [("U.S.", ["usa", "us"]), ("x", ["y"]), ("x", [])]) == [1, 0, 0]
+    assert many(spark, S.rating(F.col("a")), [("\nCorrect", None), ("It is Correct", None), ("Incorrect, not Correct", None), ("Correct, not Incorrect", None), ("not Incorrect, Correct", None), ("correct", None), ("", None), (None, None)]) == [1, 1, 0, 1, 0, 0, 0, None]
+    assert many(spark, S.short_or_anls(F.col("a"), F.col("b")), [("cat", "cat\n"), ("a\nCAT", "cat"), ("kitten", "sitten"), ("xyz", "cat"), ("a b c d e", "a b c d e"), ("", "")]) == [1, 1, pytest.approx(5 / 6), 0, 0, 1]
+    assert many(spark, S.short_or_anls_any(F.col("a"), F.col("b")), [("a b c d f", ["a b c d e"]), ("kitten", ["sitten"]), ("one two", ["x", "TWO "]), ("x", [])]) == [pytest.approx(8 / 9), 0, 1, 0]
+    assert many(spark, T.whole_word(F.col("a"), F.col("b")), [("a cat.", "cat"), ("concat", "cat"), ("c++ x", "c+"), ("naïve é", "é"), ("ab", None)]) == [True, False, False, True, None]
+
+
+def test_whole_numbers_and_estimates(spark):
+    cases = [("3", "3"), ("3", "4"), ("0", "0"), ("-2", "0"), ("0", "3"), ("x", "3"), ("3.0", "3"), ("007", "7"), (" 1_000 ", "1000"), ("3", ""), ("00", "-1")]
+    assert many(spark, S.positive_int_match(F.col("a"), F.col("b")), cases) == [1, 0, -1, -1, 0, 0, 0, 0, 1, 0, -1]
+    got = many(spark, S.estimation_score(F.col("a"), F.col("b")), [(-90.0, -100.0), (100.0, 100.0), (150.0, 100.0), (1.0, 0.0), (None, 1.0)])
+    assert got == [pytest.approx(0.8), 1.0, 0.0, 0.0, 0.0]
