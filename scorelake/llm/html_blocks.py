@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html import unescape
 from typing import NamedTuple
 
@@ -21,9 +22,19 @@ _HIDDEN = re.compile(r"""(?<![^\s"'])hidden(?=[\s=/]|$)|display\s*:\s*none""", r
 _OTHER = re.compile(r"[^a-z]+")
 
 
+class Path:
+    """An open block: ``tag.attribute=words`` (words are runs of a-z, by spaces), and the block around it, if any. Blocks share
+    what is around them, so a page takes memory in proportion to its length, however deep it is nested."""
+
+    __slots__ = ("above", "depth", "step")
+
+    def __init__(self, step: str, above: Path | None):
+        self.step, self.above, self.depth = step, above, above.depth + 1 if above else 0
+
+
 class Block(NamedTuple):
     text: str  # decoded, white space in runs of one, trimmed; never empty
-    path: str  # ``tag.attribute=words`` of the open blocks, outermost first, by ' > '; words are runs of a-z, by spaces
+    path: Path | None  # the innermost open block
     linked: int  # characters inside links
 
 
@@ -32,7 +43,8 @@ def blocks(html: str | None) -> list[Block]:
     out: list[Block] = []
     if not html:
         return out
-    stack: list[tuple[str, str]] = [("", "")]
+    stack: list[tuple[str, Path | None]] = [("", None)]
+    n_open: Counter[str] = Counter()
     parts: list[str] = []
     link, linked, at, n = 0, 0, 0, len(html)
     open_ended: set[str] = set()
@@ -80,14 +92,15 @@ def blocks(html: str | None) -> list[Block]:
         elif tag in BLOCK:
             flush()
             if close:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] == tag:
-                        del stack[k:]
+                while n_open[tag]:  # down to the innermost block of that tag, if one is open
+                    ended = stack.pop()[0]
+                    n_open[ended] -= 1
+                    if ended == tag:
                         break
             else:
                 closes = CLOSES.get(tag, _P)
                 while stack[-1][0] in closes:
-                    stack.pop()
+                    n_open[stack.pop()[0]] -= 1
                 if tag not in VOID:
                     words = tag
                     if attrs and not attrs.isspace():
@@ -95,6 +108,7 @@ def blocks(html: str | None) -> list[Block]:
                             words += f".{name.lower()}={_OTHER.sub(' ', (a or b or c).lower())}"
                         if _HIDDEN.search(attrs):
                             words += ".hidden=yes"
-                    stack.append((tag, f"{stack[-1][1]} > {words}" if stack[-1][1] else words))
+                    stack.append((tag, Path(words, stack[-1][1])))
+                    n_open[tag] += 1
     flush()
     return out

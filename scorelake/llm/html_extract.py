@@ -12,6 +12,7 @@ the features, so it is left out; pages of any length are read whole; repeated ro
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -21,26 +22,68 @@ from pyspark.sql import DataFrame
 
 from . import html_pages
 from .common import table
-from .html_blocks import Block, blocks
-from .pieces import Memo
+from .html_blocks import Block, Path, blocks
 
 _WORD = re.compile(r"[a-z]+")
 
 
-def path_features(path: str) -> tuple[str, ...]:
+@lru_cache(20_000)
+def step_features(step: str) -> frozenset[str]:
+    """Of one open block: its tag, and the words of its attributes."""
+    tag, *attrs = step.split(".")
+    pairs = (a.partition("=") for a in attrs)
+    return frozenset([f"in={tag}", *(f"{name}={w}" for name, _, value in pairs for w in _WORD.findall(value.lower()))])
+
+
+def _tag(path: Path | None) -> str:
+    return path.step.partition(".")[0] if path else ""
+
+
+def own_features(path: Path | None) -> tuple[str, str]:
+    """Of the innermost two tags."""
+    own = _tag(path)
+    return f"own={own}", f"own2={_tag(path.above)}/{own}" if path and path.above else f"own2={own}"
+
+
+def path_features(path: Path | None) -> tuple[str, ...]:
     """Of the tags above a block: each tag anywhere, words of each attribute anywhere, and the innermost two tags."""
-    found, tags = set(), []
-    for step in path.split(" > "):
-        tag, *attrs = step.split(".")
-        tags.append(tag)
-        found.add(f"in={tag}")
-        for a in attrs:
-            name, _, value = a.partition("=")
-            found |= {f"{name}={w}" for w in _WORD.findall(value.lower())}
-    found |= {f"own={tags[-1]}", f"own2={'/'.join(tags[-2:])}"}
+    found, at = set(own_features(path)) | (set() if path else {"in="}), path
+    while at:
+        found |= step_features(at.step)
+        at = at.above
     return tuple(sorted(found))
 
 
+class _Above:
+    """Score of all that is above a block, kept from block to block: only tags that were opened or closed between are looked at."""
+
+    def __init__(self, weights: dict[str, tuple[float, float]]):
+        self.w, self.open, self.sums, self.seen = weights, [], [(0.0, 0.0)], Counter()
+        self.none = weights.get("in=", (0.0, 0.0))
+
+    def __call__(self, path: Path | None) -> tuple[float, float]:
+        new, at = [], path
+        while at and not (at.depth < len(self.open) and self.open[at.depth] is at):
+            new.append(at)
+            at = at.above
+        while len(self.open) > (at.depth + 1 if at else 0):
+            self.seen.subtract(step_features(self.open.pop().step))
+            self.sums.pop()
+        for node in reversed(new):
+            x, y = self.sums[-1]
+            for f in step_features(node.step):
+                if not self.seen[f] and f in self.w:
+                    x, y = x + self.w[f][0], y + self.w[f][1]
+                self.seen[f] += 1
+            self.open.append(node)
+            self.sums.append((x, y))
+        x, y = self.sums[-1] if path else self.none
+        for f in own_features(path):
+            a, b = self.w.get(f, (0.0, 0.0))
+            x, y = x + a, y + b
+        return x, y
+
+
 def text_features(b: Block) -> tuple[str, ...]:
     t, n = b.text, len(b.text)
     share = min(b.linked / n, 1.0)
@@ -61,14 +104,14 @@ class Crf:
     def decoder(self):
         w = self.weights
         total = lambda fs: tuple(sum(w[f][k] for f in fs if f in w) for k in (0, 1))
-        of_path = Memo(lambda path: total(path_features(path)), 20_000)
         of_text = lru_cache(4096)(total)
         (s00, s01), (s10, s11) = self.between
 
         def decode(page: list[Block]) -> list[int]:
             back, x, y = [], *self.first
+            of_path = _Above(w)
             for k, b in enumerate(page):
-                (p0, p1), (t0, t1) = of_path[b.path], of_text(text_features(b))
+                (p0, p1), (t0, t1) = of_path(b.path), of_text(text_features(b))
                 if k:
                     a0, a1, b0, b1 = x + s00, y + s10, x + s01, y + s11
                     back.append((a1 > a0, b1 > b0))

@@ -256,3 +256,33 @@ def test_ring_law_and_limited_movement():
     where = lambda m: {s: sh for s, _, _, sh, _ in ring.runs(even, m)}
     a, b = where(40), where(41)
     assert sum(a[s] != b[s] for s in even) < 0.5 * len(even)
+
+
+@pytest.mark.parametrize("page", ["<div class=abcdefgh>" * 100_000 + "text", "".join(f"<div class='a{chr(97 + k % 26)}'>w{k} " for k in range(100_000)), "<div>" * 50_000 + "</p>" * 50_000 + "x" + "</div>" * 50_000 + "y"])
+def test_deep_nesting_takes_little(page):
+    import time
+    import tracemalloc
+
+    decode = html_extract.train([f"<article><p>\ue000\ue001One two {k}.</p></article><footer>\ue000x</footer>" for k in range(4)], 5).decoder()
+    began = time.process_time()
+    found = blocks(page)
+    labels = decode(found)
+    assert time.process_time() - began < 5
+    assert len(labels) == len(found) > 0
+    del found
+    tracemalloc.start()
+    decode(blocks(page))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 300e6
+
+
+def test_scores_above_a_block_equal_their_features():
+    r = random.Random(3)
+    model = html_extract.train()
+    for _ in range(30):
+        page = "".join(r.choice(["<div class=nav>", "<article>", "<ul>", "<li>", "</div>", "</ul>", "<p>", "</p>", "<footer id='x ad'>", "</footer>", "text. "]) for _ in range(60))
+        above = html_extract._Above(model.weights)
+        for b in blocks(page):
+            want = [sum(model.weights[f][k] for f in html_extract.path_features(b.path) if f in model.weights) for k in (0, 1)]
+            assert above(b.path) == pytest.approx(want)
