@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import geometry, orders
+from ..functions import geometry, orders, text
 from ..operators import documents, passages, spotting
 from .base import query, t
 
@@ -61,21 +61,28 @@ def _rounded(df, *names):
 _SCORES = ["likeness", "precision", "recall", "f1", "jaccard", "rouge1", "exact_match"]
 
 
+def _sentences(df, *keys):
+    """keys, span (which sentence) and needle of every sentence of a text."""
+    return df.select(*keys, F.posexplode(F.split("text", r"(?<=[.!?])\s+")).alias("span", "needle"))
+
+
 @query()
 def window_matches(spark, sf):
-    """Benchmark items in documents: the window most like the item, among those that hold its rarest token."""
+    """Every sentence of eight words or more of the benchmark's items in documents: the window most like it, among those that
+    hold its rarest token."""
     docs = t(spark, sf, "documents").select("doc_id", "text")
-    items = t(spark, sf, "benchmark").select("item_id", F.col("text").alias("needle"))
-    return _rounded(passages.best_windows(docs, items, "doc_id", "item_id", rarest=1).drop("needle", "best"), *_SCORES)
+    items = _sentences(t(spark, sf, "benchmark"), "item_id").where(F.size(text.words(F.col("needle"))) >= 8).select(F.struct("item_id", "span").alias("of"), "needle")
+    best = passages.best_windows(docs, items, "doc_id", "of", rarest=1)
+    return _rounded(best.select("doc_id", "of.item_id", "of.span", "start", *_SCORES), *_SCORES)
 
 
 @query()
 def restored_spans(spark, sf):
-    """The first line of what was said before, looked for in each answer, as a covered text in a restored one."""
+    """Every sentence of what was said before, looked for in the answer to it, as covered texts are in restored ones."""
     c = t(spark, sf, "conversations")
-    said = c.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("turn").alias("span"), F.substring_index("text", "\n", 1).alias("needle"))
+    said = _sentences(c, "conv_id", (F.col("turn") + 1).alias("turn"))
     answers = c.where("role = 'assistant'").select("conv_id", "turn", F.col("turn").alias("answer"), "text")
-    return _rounded(passages.best_windows(answers, said, "answer", "span", on=["conv_id", "turn"]).drop("needle", "best"), *_SCORES)
+    return _rounded(passages.best_windows(answers, said, "answer", "span", on=["conv_id", "turn"], rarest=1).drop("needle", "best"), *_SCORES)
 
 
 _BOXES = """b AS (SELECT l_orderkey AS image, l_linenumber AS g, l_quantity AS x1, l_linenumber * 10.0 AS y1, l_quantity + 20 AS x2, l_linenumber * 10.0 + 14 AS y2,
