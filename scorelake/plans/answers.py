@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import values
-from .base import query, t
+from ..operators import charts
+from .base import S, query, segments, t  # noqa: F401
 
 
 @query(r"""WITH x AS (SELECT l_returnflag, l_linestatus,
@@ -59,3 +60,55 @@ def table_texts(spark, sf):
     """Whole texts as cells of a table: folded, without notes and final stop."""
     x = t(spark, sf, "documents").select("doc_id", values.table_text(F.col("text")).alias("x"))
     return x.select("doc_id", F.length("x").cast("long").alias("n_chars"), F.md5("x").alias("digest"))
+
+
+@query("""WITH g AS (SELECT l_orderkey, l_returnflag AS text, l_tax AS place, row_number() OVER (PARTITION BY l_orderkey, l_returnflag, l_tax) AS k FROM lineitem),
+p AS (SELECT l_orderkey, CASE WHEN l_linestatus = 'O' THEN 'N' ELSE l_returnflag END AS text, l_discount AS place, row_number() OVER (PARTITION BY l_orderkey, CASE WHEN l_linestatus = 'O' THEN 'N' ELSE l_returnflag END, l_discount) AS k FROM lineitem WHERE l_quantity > 10),
+c AS (SELECT coalesce(g.l_orderkey, p.l_orderkey) AS l_orderkey, count(p.k) AS preds, count(g.k) AS targets, count(*) FILTER (g.k IS NOT NULL AND p.k IS NOT NULL) AS hits
+      FROM g FULL JOIN p ON g.l_orderkey = p.l_orderkey AND g.text = p.text AND g.place = p.place AND g.k = p.k GROUP BY ALL),
+r AS (SELECT *, CASE WHEN preds = 0 THEN 0 ELSE hits / preds END AS precision, CASE WHEN targets = 0 THEN 0 ELSE hits / targets END AS recall FROM c)
+SELECT targets, count(*) AS charts, sum(hits)::BIGINT AS hits, round(avg(precision), 6) AS precision, round(avg(recall), 6) AS recall, round(avg(CASE WHEN precision + recall = 0 THEN 0 ELSE 2 * precision * recall / (precision + recall) END), 6) AS f1 FROM r GROUP BY targets""")
+def drawn_texts(spark, sf):
+    """Marks of an order's line items against others of its items of over ten pieces: each counts as often as both sides have it."""
+    l = t(spark, sf, "lineitem")
+    targets = l.select("l_orderkey", F.col("l_returnflag").alias("text"), F.col("l_tax").alias("place"))
+    preds = l.where("l_quantity > 10").select("l_orderkey", F.when(F.col("l_linestatus") == "O", "N").otherwise(F.col("l_returnflag")).alias("text"), F.col("l_discount").alias("place"))
+    c = charts.consumed(targets, preds, ["l_orderkey"], ["text", "place"])
+    precision, recall, f1 = charts.rates(F.col("hits"), F.col("preds"), F.col("targets"))
+    means = {n: F.round(F.avg(x), 6).alias(n) for n, x in (("precision", precision), ("recall", recall), ("f1", f1))}
+    return c.groupBy("targets").agg(F.count("*").alias("charts"), F.sum("hits").alias("hits"), *means.values())
+
+
+@query("""WITH RECURSIVE o AS (SELECT l_orderkey,
+    list({'text': l_returnflag, 'x': l_quantity, 'y': l_linenumber * 10.0} ORDER BY l_linenumber, l_quantity, l_returnflag) AS ts,
+    list({'text': l_returnflag, 'x': l_quantity + l_discount * 200, 'y': l_linenumber * 10.0 - l_tax * 100} ORDER BY l_linenumber, l_quantity + l_discount * 200, l_returnflag) AS ps FROM lineitem GROUP BY l_orderkey),
+w(l_orderkey, i, used) AS (
+  SELECT l_orderkey, 0, []::BIGINT[] FROM o
+  UNION ALL
+  SELECT l_orderkey, i + 1, CASE WHEN pick IS NULL THEN used ELSE list_append(used, pick) END
+  FROM (SELECT w.l_orderkey, i, used, list_min([k FOR k IN range(1, len(ps) + 1) IF NOT list_contains(used, k) AND ps[k].text = ts[i + 1].text AND abs(ps[k].x - ts[i + 1].x) <= 10 AND abs(ps[k].y - ts[i + 1].y) <= 10]) AS pick
+        FROM w JOIN o ON w.l_orderkey = o.l_orderkey WHERE i < len(ts)))
+SELECT o.l_orderkey, len(ts) AS targets, len(used) AS hits FROM o JOIN w ON o.l_orderkey = w.l_orderkey AND w.i = len(ts)""")
+def placed_texts(spark, sf):
+    """Marks of line items at their places, against the same ones moved."""
+    x, n = F.col("l_quantity"), F.col("l_linenumber")
+    listed = lambda px, py: F.transform(F.sort_array(F.collect_list(F.struct(n.alias("n"), px.alias("x"), F.col("l_returnflag").alias("text"), py.alias("y")))), lambda s: F.struct(s["text"], s["x"], s["y"]))
+    o = t(spark, sf, "lineitem").groupBy("l_orderkey").agg(listed(x, n * 10.0).alias("t"), listed(x + F.col("l_discount") * 200, n * 10.0 - F.col("l_tax") * 100).alias("p"))
+    return o.select("l_orderkey", F.size("t").cast("long").alias("targets"), charts.consumed_near(F.col("t"), F.col("p"), charts.placed_text()).cast("long").alias("hits"))
+
+
+@query()
+def colour_match(spark, sf):
+    """Colours of an order's parts against those of its suppliers, by mark."""
+    l = t(spark, sf, "lineitem")
+    side = lambda c: l.select("l_orderkey", F.col("l_returnflag").alias("kind"), F.concat(F.lit("#"), F.substring(F.md5(F.col(c).cast("string")), 1, 6)).alias("colour"), F.col("l_linenumber").alias("place"))
+    scores = charts.colour_scores(side("l_partkey"), side("l_suppkey"), ["l_orderkey"])
+    return scores.select("l_orderkey", "preds", "targets", *[F.round(c, 6).alias(c) for c in ("total", "precision", "recall", "f1")])
+
+
+@query()
+def cluster_report(spark, sf):
+    """A user's segments of odd events against those of even ones, in clusters by type whose names are not told."""
+    s = segments(spark, sf).withColumnRenamed("event_type", "cluster")
+    c = charts.cluster_scores(s.where("event_id % 2 = 0"), s.where("event_id % 2 = 1"), ["user_id"])
+    return c.select("user_id", "clusters", F.round("score", 6).alias("score"))

@@ -1,8 +1,14 @@
 """Typed table values against golden vectors, colours and charts against published pairs and brute force."""
 
+import itertools
+import math
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
-from scorelake.functions import values as V
+from scorelake.functions import colours as C, values as V
+from scorelake.operators import charts
 
 
 def told(spark, column, vectors):
@@ -43,3 +49,133 @@ AMOUNTS = [("$3,852 million", "3852", (False, True)), ("3852000000 dollars", "$3
 def test_same_amount(spark):
     for v, got in told(spark, V.same_amount(V.amount(F.col("a")), V.amount(F.col("b"))), AMOUNTS):
         assert tuple(got) == v[-1], v
+
+
+# Published pairs of L*a*b* colours and their CIEDE2000 difference.
+PAIRS = [
+    (50, 2.6772, -79.7751, 50, 0, -82.7485, 2.0425), (50, 3.1571, -77.2803, 50, 0, -82.7485, 2.8615), (50, -1.3802, -84.2814, 50, 0, -82.7485, 1.0),
+    (50, 0, 0, 50, -1, 2, 2.3669), (50, 2.49, -0.001, 50, -2.49, 0.0009, 7.1792), (50, 2.49, -0.001, 50, -2.49, 0.0011, 7.2195), (50, -0.001, 2.49, 50, 0.0009, -2.49, 4.8045),
+    (50, -0.001, 2.49, 50, 0.0011, -2.49, 4.7461), (50, 2.5, 0, 50, 0, -2.5, 4.3065), (50, 2.5, 0, 73, 25, -18, 27.1492), (50, 2.5, 0, 61, -5, 29, 22.8977),
+    (50, 2.5, 0, 56, -27, -3, 31.9030), (50, 2.5, 0, 58, 24, 15, 19.4535), (60.2574, -34.0099, 36.2677, 60.4626, -34.1751, 39.4387, 1.2644),
+    (35.0831, -44.1164, 3.7933, 35.0232, -40.0716, 1.5901, 1.8645), (90.8027, -2.0831, 1.4410, 91.1528, -1.6435, 0.0447, 1.4441), (2.0776, 0.0795, -1.1350, 0.9033, -0.0636, -0.5514, 0.9082),
+]
+
+
+def test_colour_difference(spark):
+    df = spark.createDataFrame([tuple(map(float, p)) for p in PAIRS], "l double, a double, b double, m double, c double, d double, want double")
+    p, q = F.struct("l", "a", "b"), F.struct(F.col("m").alias("l"), F.col("c").alias("a"), F.col("d").alias("b"))
+    for r in df.select("want", C.difference(p, q).alias("x"), C.difference(q, p).alias("y")).collect():
+        assert r["x"] == pytest.approx(r["want"], abs=1e-4) and r["y"] == pytest.approx(r["want"], abs=1e-4)
+
+
+def test_colour_texts(spark):
+    red = told(spark, C.lab(F.col("a")), [("#ff0000", None)])[0][1]
+    assert tuple(red) == pytest.approx((53.24, 80.09, 67.20), abs=0.02)
+    for v, got in told(spark, C.likeness(F.col("a"), F.col("b")), [("#fFffff", "#FFFFFF", 1.0), ("#000000", "#ffffff", 0.0), ("viridis", "viridis", 1.0), ("red", "#ff0000", 0.0), ("a", "b", 0.0), ("#zz0000", "#ff0000", 0.0), (None, "a", 0.0)]):
+        assert got == pytest.approx(v[-1], abs=1e-3), v
+
+
+def test_consumed(spark):
+    rng = random.Random(5)
+    sides = [[(k, rng.choice(["a", "b", None])) for k in range(20) for _ in range(rng.randrange(5))] for _ in range(2)]
+    got = {r["k"]: (r["preds"], r["targets"], r["hits"]) for r in charts.consumed(*[spark.createDataFrame(s, "k int, text string") for s in sides], ["k"], ["text"]).collect()}
+    for k in range(20):
+        t, p = ([x for n, x in s if n == k] for s in sides)
+        n = (len(p), len(t))
+        hits = sum(1 for x in t if x in p and not p.remove(x))
+        assert got.get(k, (0, 0, 0)) == (*n, hits)
+
+
+def test_consumed_near(spark):
+    rng = random.Random(6)
+    item = lambda: (rng.choice("ab"), float(rng.randrange(30)), float(rng.randrange(30)))
+    rows = [(i, [item() for _ in range(rng.randrange(7))], [item() for _ in range(rng.randrange(7))]) for i in range(40)]
+    kind = "array<struct<text:string,x:double,y:double>>"
+    df = spark.createDataFrame(rows, f"i int, t {kind}, p {kind}")
+    got = {r["i"]: r["n"] for r in df.select("i", charts.consumed_near(F.col("t"), F.col("p"), charts.placed_text()).alias("n")).collect()}
+    for i, t, p in rows:
+        hits = 0
+        for a in t:
+            near = [b for b in p if a[0] == b[0] and abs(a[1] - b[1]) <= 10 and abs(a[2] - b[2]) <= 10]
+            if near:
+                p.remove(near[0])
+                hits += 1
+        assert got[i] == hits
+
+
+def permuted(score, a, b):
+    """Largest sum of scores of one-to-one pairs, by trying all."""
+    if len(a) > len(b):
+        return permuted(lambda x, y: score(y, x), b, a)
+    return max(sum(score(x, y) for x, y in zip(a, own, strict=True)) for own in itertools.permutations(b, len(a))) if a else 0.0
+
+
+def test_colour_scores(spark):
+    rng = random.Random(7)
+    made = lambda k, most: [(k, rng.choice(["bar", "line"]), rng.choice(["#%06x" % rng.randrange(1 << 24), "named"]), i) for i in range(rng.randrange(most))]
+    sides = [[x for k in range(12) for x in made(k, 5)] + [(50, "bar", f"#{v:02x}0000", v) for v in range(0, 240, 20)] for _ in range(2)]
+    frames = [spark.createDataFrame(s, "k int, kind string, colour string, place int") for s in sides]
+    got = {r["k"]: r for r in charts.colour_scores(*frames, ["k"]).collect()}
+    texts = sorted({x[2] for s in sides for x in s})
+    near = {v[:2]: x for v, x in told(spark, C.likeness(F.col("a"), F.col("b")), [(a, b, None) for a in texts for b in texts])}
+    for k in {x[0] for s in sides for x in s}:
+        own = []
+        for s in sides:
+            first = list(dict.fromkeys(x[1:3] for x in s if x[0] == k))
+            kept = []
+            for x in first:
+                if len(first) <= 10 or all(near[x[1], y[1]] <= 0.7 for y in kept):
+                    kept.append(x)
+            own.append(kept)
+        total = sum(permuted(lambda x, y: near[x, y], *[[c for t, c in o if t == kind] for o in own]) for kind in ("bar", "line"))
+        assert got[k]["total"] == pytest.approx(total) and (got[k]["targets"], got[k]["preds"]) == tuple(map(len, own))
+        assert got[k]["precision"] == pytest.approx(total / len(own[1]) if own[1] else 0.0)
+    assert got[50]["targets"] < 12
+
+
+def test_cluster_scores(spark):
+    rng = random.Random(8)
+    made = lambda: [(k, rng.choice(["a", "b", "c", None]), float(s := rng.randrange(20)), float(s + rng.randrange(8))) for k in range(10) for _ in range(rng.randrange(8))]
+    sides = [made(), made()]
+    got = {r["k"]: (r["clusters"], r["score"]) for r in charts.cluster_scores(*[spark.createDataFrame(s, "k int, cluster string, start double, end double") for s in sides], ["k"]).collect()}
+
+    def overlap(a, b):
+        hull = max(a[1], b[1]) - min(a[0], b[0])
+        return max(0.0, min(a[1], b[1]) - max(a[0], b[0])) / hull if hull > 0 else 0.0
+
+    def score(g, p):
+        return math.sqrt(sum(max(overlap(a, b) for b in p) for a in g) / len(g) * max(0.0, 1 - abs(len(p) - len(g)) / len(g)))
+
+    for k in range(10):
+        g, p = ([[x[2:] for x in s if x[0] == k and x[1] == c] for c in ("a", "b", "c", None) if any(x[:2] == (k, c) for x in s)] for s in sides)
+        assert got.get(k) == ((len(g), pytest.approx(permuted(score, g, p) / len(g))) if g else None)
+
+
+def test_box_clusters(spark):
+    rng = random.Random(9)
+    box = lambda: tuple(float(rng.randrange(12)) for _ in range(4))
+    made = lambda: [(k, rng.choice("ab"), rng.randrange(3), *box()) for k in range(8) for _ in range(rng.randrange(10))]
+    sides = [made(), made()]
+    got = {r["k"]: r["score"] for r in charts.cluster_scores(*[spark.createDataFrame(s, "k int, cluster string, f int, x1 double, y1 double, x2 double, y2 double") for s in sides], ["k"], frame="f").collect()}
+
+    def overlap(a, b):
+        a, b = ((min(v[0], v[2]), min(v[1], v[3]), max(v[0], v[2]), max(v[1], v[3])) for v in (a, b))
+        both = max(0.0, min(a[2], b[2]) - max(a[0], b[0])) * max(0.0, min(a[3], b[3]) - max(a[1], b[1]))
+        union = (a[2] - a[0]) * (a[3] - a[1]) + (b[2] - b[0]) * (b[3] - b[1]) - both
+        return both / union if union > 0 else 0.0
+
+    def score(g, p):
+        frames, total = {x[0] for x in g} | {x[0] for x in p}, 0.0
+        for f in frames:
+            a, b = (sorted(x[1:] for x in s if x[0] == f) for s in (g, p))
+            n, found, m = len(a), 0.0, len(b)
+            while a and b:
+                s, i, j = max(((overlap(x, y), -i, -j) for i, x in enumerate(a) for j, y in enumerate(b)))
+                found += s
+                del a[-i], b[-j]
+            total += math.sqrt(found / n * max(0.0, 1 - abs(m - n) / n)) if n else 0.0
+        return total / len(frames)
+
+    for k in range(8):
+        g, p = ([[x[2:] for x in s if x[:2] == (k, c)] for c in "ab" if any(x[:2] == (k, c) for x in s)] for s in sides)
+        assert got.get(k) == (pytest.approx(permuted(score, g, p) / len(g)) if g else None)
