@@ -67,19 +67,20 @@ def difference(p: Column, q: Column) -> Column:
         r = -2 * F.sqrt(F.pow(m["c"], F.lit(7.0)) / (F.pow(m["c"], F.lit(7.0)) + far)) * F.sin(F.radians(60 * F.exp(-bend * bend)))
         return F.sqrt(l * l + c * c + h * h + r * c * h)
 
-    first = F.struct(p["l"].alias("l1"), q["l"].alias("l2"), p["b"].alias("b1"), q["b"].alias("b2"), p["a"].alias("a1"), q["a"].alias("a2"))
-    return _let(_let(_let(first, chroma), hues), total)
+    first = lambda s: F.struct(*[s[side][axis].alias(axis + n) for axis in "lab" for side, n in (("p", "1"), ("q", "2"))])
+    return _let(_let(_let(_let(F.struct(p.alias("p"), q.alias("q")), first), chroma), hues), total)
 
 
-def likeness(a: Column, b: Column) -> Column:
+def likeness(a: Column, b: Column, lab_a: Column | None = None, lab_b: Column | None = None) -> Column:
     """Of two texts #rrggbb, 1 - difference / 100, at least 0; of two other texts, 1 if they are equal; 0 for one of each, for
-    nulls and for what begins with # but is no colour."""
+    nulls and for what begins with # but is no colour. lab_a, lab_b: their ``lab``, where it is at hand."""
     coded = lambda c: c.startswith("#")
-    near = F.greatest(F.lit(0.0), 1 - difference(lab(a), lab(b)) / 100)
-    return F.coalesce(F.when(coded(a) & coded(b), near).when(~coded(a) & ~coded(b), (a == b).cast("double")), F.lit(0.0))
+    own = [lab(c) if known is None else known for c, known in ((a, lab_a), (b, lab_b))]
+    near = F.greatest(F.lit(0.0), 1 - difference(*own) / 100)
+    return F.coalesce(F.when(coded(a) & coded(b), F.when(a == b, F.when(own[0].isNotNull(), 1.0)).otherwise(near)).when(~coded(a) & ~coded(b), (a == b).cast("double")), F.lit(0.0))
 
 
-def unlike(items: Column, near: float = 0.7, colour=lambda x: x) -> Column:
-    """Items of an array whose colour is not near that of one kept before; the first of it is kept."""
-    seen = lambda kept, x: F.exists(kept, lambda y: likeness(colour(x), colour(y)) > near)
+def unlike(items: Column, near: float = 0.7, colour: str = "c", lab: str = "lab") -> Column:
+    """Items (structs with a colour's text and its ``lab``) whose colour is not near that of one kept before; the first is kept."""
+    seen = lambda kept, x: F.exists(kept, lambda y: likeness(x[colour], y[colour], x[lab], y[lab]) > near)
     return F.aggregate(items, F.slice(items, 1, 0), lambda kept, x: F.when(seen(kept, x), kept).otherwise(F.concat(kept, F.array(x))))

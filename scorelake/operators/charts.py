@@ -6,11 +6,11 @@ A chart is named by ``keys``. Scores of pairs are Column expressions over joined
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions import colours
 from ..functions.geometry import _let, iou, time_iou
@@ -53,17 +53,24 @@ def placed_text(reach: float = 10.0):
 def best_total(pairs: DataFrame, keys: Sequence[str], left: str = "i", right: str = "j", score: str = "score") -> DataFrame:
     """keys and total: the largest sum of scores of one-to-one pairs. pairs: keys, two ids, score; pairs that are not there
     score 0, repeated ones the most of theirs. A group is one matrix of its own ids."""
-    schema = ", ".join(f"`{k}` {pairs.schema[k].dataType.simpleString()}" for k in keys)
+    keys = list(keys)
 
-    def matched(names: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        r, rows = pd.factorize(pdf[left])
-        c, columns = pd.factorize(pdf[right])
+    def most(i, j, scores) -> float:
+        r, rows = pd.factorize(np.asarray(i))
+        c, columns = pd.factorize(np.asarray(j))
         m = np.zeros((len(rows), len(columns)))
-        np.maximum.at(m, (r, c), pdf[score].to_numpy(float))
-        return pd.DataFrame([(*names, float(sum(m[a, b] for a, b in assignment(-m))))], columns=[*keys, "total"])
+        np.maximum.at(m, (r, c), np.asarray(scores, float))
+        return float(m.max() if 1 in m.shape else sum(m[a, b] for a, b in assignment(-m)))
+
+    def matched(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            totals = [most(*lists) for lists in zip(b["_i"], b["_j"], b["_s"], strict=True)]
+            yield b[keys].assign(total=np.array(totals, float))
 
-    some = pairs.where(F.col(left).isNotNull() & F.col(right).isNotNull() & (F.col(score) > 0)).select(*keys, left, right, score)
-    return some.groupBy(*keys).applyInPandas(matched, f"{schema}, total double")
+    some = pairs.where(F.col(left).isNotNull() & F.col(right).isNotNull() & (F.col(score) > 0)).groupBy(*keys).agg(F.collect_list(F.struct(left, right, score)).alias("_all"))
+    lists = some.select(*keys, *[F.col("_all")[n].alias(c) for n, c in ((left, "_i"), (right, "_j"), (score, "_s"))])
+    schema = T.StructType([*[lists.schema[k] for k in keys], T.StructField("total", T.DoubleType())])
+    return lists.mapInPandas(matched, schema)
 
 
 def colour_scores(targets: DataFrame, preds: DataFrame, keys: Sequence[str], kind: str = "kind", colour: str = "colour", order: str = "place", most: int = 10) -> DataFrame:
@@ -75,16 +82,16 @@ def colour_scores(targets: DataFrame, preds: DataFrame, keys: Sequence[str], kin
     keys = list(keys)
 
     def side(df: DataFrame) -> DataFrame:
-        some = df.where(F.col(kind).isNotNull() & F.col(colour).isNotNull()).groupBy(*keys, kind, colour).agg(F.min(order).alias("o"))
-        listed = some.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("o", F.col(kind).alias("k"), F.col(colour).alias("c")))).alias("all"))
-        fewer = colours.unlike(F.col("all"), colour=lambda x: x["c"])
+        some = df.where(F.col(kind).isNotNull() & F.col(colour).isNotNull()).groupBy(*keys, kind, colour).agg(F.min(order).alias("o")).withColumn("_lab", colours.lab(F.col(colour)))
+        listed = some.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("o", F.col(kind).alias("k"), F.col(colour).alias("c"), F.col("_lab").alias("lab")))).alias("all"))
+        fewer = colours.unlike(F.col("all"))
         return listed.select(*keys, F.when(F.size("all") > most, fewer).otherwise(F.col("all")).alias("own"))
 
     g, p = (side(df).select(*keys, F.col("own").alias(n)) for df, n in ((targets, "g"), (preds, "p")))
     both = g.join(p, keys, "full")
     count = both.select(*keys, *[F.greatest(F.coalesce(F.size(n), F.lit(0)), F.lit(0)).alias(m) for n, m in (("p", "preds"), ("g", "targets"))])
     one = both.select(*keys, "p", F.posexplode("g").alias("i", "gc")).select(*keys, "i", "gc", F.posexplode("p").alias("j", "pc")).where("gc.k = pc.k")
-    pairs = one.select(*keys, F.col("gc.k").alias("_kind"), "i", "j", colours.likeness(F.col("gc.c"), F.col("pc.c")).alias("score"))
+    pairs = one.select(*keys, F.col("gc.k").alias("_kind"), "i", "j", colours.likeness(F.col("gc.c"), F.col("pc.c"), F.col("gc.lab"), F.col("pc.lab")).alias("score"))
     total = best_total(pairs, [*keys, "_kind"]).groupBy(*keys).agg(F.sum("total").alias("total"))
     out = count.join(total, keys, "left").withColumn("total", F.coalesce("total", F.lit(0.0)))
     precision, recall, f1 = rates(F.col("total"), F.col("preds"), F.col("targets"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import values
 from ..operators import charts
-from .base import S, query, segments, t  # noqa: F401
+from .base import query, segments, t
 
 
 @query(r"""WITH x AS (SELECT l_returnflag, l_linestatus,
@@ -108,7 +108,9 @@ def colour_match(spark, sf):
 
 @query()
 def cluster_report(spark, sf):
-    """A user's segments of odd events against those of even ones, in clusters by type whose names are not told."""
+    """A user's segments of larger values, moved by some seconds, against all of them, in clusters by type whose names are not told."""
     s = segments(spark, sf).withColumnRenamed("event_type", "cluster")
-    c = charts.cluster_scores(s.where("event_id % 2 = 0"), s.where("event_id % 2 = 1"), ["user_id"])
+    late = (F.col("value") % 40).cast("long")
+    moved = s.where("value > 20").select("user_id", "cluster", (F.col("start") + late).alias("start"), (F.col("end") + late).alias("end"))
+    c = charts.cluster_scores(s, moved, ["user_id"])
     return c.select("user_id", "clusters", F.round("score", 6).alias("score"))
