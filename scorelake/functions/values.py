@@ -14,14 +14,14 @@ from functools import lru_cache
 from pyspark.sql import Column, functions as F
 
 from .geometry import _let
-from .text import SPACE, number, strip, tsv_plain
+from .text import SPACE, number, single_spaced, strip, tsv_plain
 
 # Units that an amount is written with, and what multiplies it.
 UNITS = ["dollar", "gallons", "square feet", "shares", "mbtu", "mbpd", "mbbls", "mmbtu", "unit", "gwh", "year", "mmcf", "mile", "mboe"]
 POWERS = {r" ?\bthousand\b": "e3", r" ?\bmillion\b": "e6", r" ?\bbillion\b": "e9", r" ?%": "e-2"}
-#: Marks that may stand behind a value, each any number of times: notes in brackets, signs of footnotes.
-_NOTES = r"(?:(?<!^)\[[^\]]*\]|\[\d+\]|[•♦†‡*#+])*+\z"
-_DETAILS = r"(?<!^)(?: \([^)]*\))*+\z"
+#: What may stand behind a value, any number of times and in any order, in a text read from its end: notes in brackets, signs of
+#: footnotes, details in parentheses, white space. A note that is the whole text goes only if it is a number.
+_BEHIND = rf"^(?:\][^\]]*\[(?!\z)|\]\d+\[|[•♦†‡*#+]|\)[^)]*\( (?!\z)|{SPACE})*+"
 
 
 #: Quotes and dashes, and what stands for them.
@@ -53,7 +53,8 @@ def fold(c: Column) -> Column:
     single, plain, several, each = _folded()
     one = F.from_json(F.lit(each), "map<string,string>")
     less = lambda x: F.translate(x, several, "") != x  # noqa: E731  (a look-up for each letter, where a class would be a search)
-    spelt = F.array_join(F.transform(F.split(c, ""), lambda x: F.when(less(x), F.element_at(one, x)).otherwise(x)), "")
+    letters = F.filter(F.array_distinct(F.split(F.regexp_replace(c, r"[\x00-\x7f]+", ""), "")), less)
+    spelt = F.aggregate(letters, c, lambda acc, x: F.replace(acc, x, F.element_at(one, x)))
     wide = F.translate(F.when(less(c), spelt).otherwise(c), single, plain)
     return F.regexp_replace(wide, r"\p{Mn}+", "")
 
@@ -61,17 +62,14 @@ def fold(c: Column) -> Column:
 def table_text(c: Column) -> Column:
     """Folded, with plain quotes and dashes; without notes, details in parentheses and outer quotation marks, in whatever order
     they stand; without one full stop at the end; in lower case, with single spaces."""
-    plain = F.translate(_let(c, lambda x: F.when(x.rlike(r"[^\x00-\x7f]"), F.translate(fold(x), *_MARKS)).otherwise(x)), "`", "'")
-
-    def bare(x: Column) -> Column:
-        x = F.regexp_replace(strip(F.regexp_replace(strip(x), _NOTES, "")), _DETAILS, "")
-        return F.regexp_replace(strip(x), r'^"([^"]*)"\z', "$1")
-
-    # a round takes something away or is the last one: there are no more of them than marks to take
-    rounds = lambda x: F.sequence(F.lit(0), F.length(F.regexp_replace(x, r'[^\])"•♦†‡*#+]', "")))
-    ends = rf'[\])"•♦†‡*#+]{SPACE}*\z'
-    inner = _let(plain, lambda x: F.when(x.rlike(ends), F.aggregate(rounds(x), x, lambda acc, _: bare(acc))).otherwise(x))
-    return F.lower(strip(F.regexp_replace(F.regexp_replace(strip(inner), r"\.\z", ""), f"{SPACE}+", " ")))
+    plain = F.replace(_let(c, lambda x: F.when(x.rlike(r"[^\x00-\x7f]"), F.translate(fold(x), *_MARKS)).otherwise(x)), F.lit("`"), F.lit("'"))
+
+    # quotation marks go once at most, as none may stand inside; each pass from the end takes all that stands behind
+    bare = lambda x: F.reverse(F.regexp_replace(F.reverse(strip(x)), _BEHIND, ""))
+    last = lambda x: F.substring(x, -1, 1)
+    inner = _let(strip(plain), lambda x: F.when(last(x).isin(*'])"•♦†‡*#+'), strip(bare(F.regexp_replace(bare(x), r'^"([^"]*)"\z', "$1")))).otherwise(x))
+    stopped = _let(inner, lambda x: F.when(last(x) == ".", F.left(x, F.length(x) - 1)).otherwise(x))
+    return F.lower(strip(single_spaced(stopped)))
 
 
 def _date(c: Column) -> Column:

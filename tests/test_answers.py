@@ -3,6 +3,7 @@
 import itertools
 import math
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -27,6 +28,33 @@ def test_table_text(spark):
         assert got == v[-1], v
 
 
+def bare(x):
+    """What stands behind a text, and quotation marks around it, taken off round by round."""
+    import re
+
+    while True:
+        before, x = x, x.strip(" ")
+        x = re.sub(r"(?:(?<!^)\[[^\]]*\]|\[\d+\]|[*#])*+\Z", "", x, count=1).strip(" ")
+        x = re.sub(r"(?<!^)(?: \([^)]*\))*+\Z", "", x, count=1).strip(" ")
+        x = re.sub(r'^"([^"]*)"\Z', r"\1", x)
+        if x == before:
+            return x
+
+
+def test_table_text_by_rounds(spark):
+    rng = random.Random(3)
+    texts = ["".join(rng.choice('a1[]()" *#') for _ in range(rng.randint(1, 14))) for _ in range(4000)]
+    for v, got in told(spark, V.table_text(F.col("a")), [(x, " ".join(bare(x).split())) for x in texts]):
+        assert got == v[-1], v
+
+
+def test_table_text_of_many_marks(spark):
+    began = time.perf_counter()
+    (_, got), (_, notes) = told(spark, V.table_text(F.col("a")), [("ab*** " * 8000, None), ("a" + " (b) [c]" * 8000, None)])
+    assert got == "ab*** " * 7999 + "ab" and notes == "a"
+    assert time.perf_counter() - began < 20
+
+
 VALUES = [("3.0000001", ("number", 3.0, None)), ("2.9999999", ("number", 2.0, None)), ("-0.0", ("number", 0.0, None)), ("\n1_000 ", ("number", 1000.0, None)), ("1997-3-xx", ("date", None, [1997, 3, -1])), ("XX-12-31", ("date", None, [-1, 12, 31])), ("1997-xx-xx", ("number", 1997.0, None)), ("xx-xx-xx", ("text", None, None)), ("1997-13-1", ("text", None, None)), ("1997-1-32", ("text", None, None)), ("1-2", ("text", None, None)), ("1e400", ("text", None, None)), ("nan", ("text", None, None)), ("", ("text", None, None)), (None, None)]
 
 
