@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import math
+import re
+from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, functions as F
 
 from .geometry import _let
@@ -80,7 +83,53 @@ def likeness(a: Column, b: Column, lab_a: Column | None = None, lab_b: Column |
     return F.coalesce(F.when(coded(a) & coded(b), F.when(a == b, F.when(own[0].isNotNull(), 1.0)).otherwise(near)).when(~coded(a) & ~coded(b), (a == b).cast("double")), F.lit(0.0))
 
 
-def unlike(items: Column, near: float = 0.7, colour: str = "c", lab: str = "lab") -> Column:
-    """Items (structs with a colour's text and its ``lab``) whose colour is not near that of one kept before; the first is kept."""
-    seen = lambda kept, x: F.exists(kept, lambda y: likeness(x[colour], y[colour], x[lab], y[lab]) > near)
-    return F.aggregate(items, F.slice(items, 1, 0), lambda kept, x: F.when(seen(kept, x), kept).otherwise(F.concat(kept, F.array(x))))
+def labs(texts: Sequence[str]) -> np.ndarray:
+    """``lab`` of many texts: three columns, nan where a text is no colour."""
+    codes = [int(x[1:7], 16) if re.match("#[0-9A-Fa-f]{6}", x) else -1 for x in texts]
+    n = np.array(codes, np.int64)
+    v = np.stack([n >> 16, n >> 8 & 255, n & 255], axis=1) / 255
+    xyz = np.where(v <= 0.04045, v / 12.92, ((v + 0.055) / 1.055) ** 2.4) @ np.array(_XYZ).T / np.array(_WHITE)
+    x, y, z = np.where(xyz > _DARK, np.abs(xyz) ** (1 / 3), _SLOPE * xyz + 16 / 116).T
+    out = np.stack([116 * y - 16, 500 * (x - y), 200 * (y - z)], axis=1)
+    out[n < 0] = np.nan
+    return out
+
+
+def differences(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """``difference`` of many pairs of ``labs``."""
+    (l1, a1, b1), (l2, a2, b2) = p.T, q.T
+    far = 25.0**7
+    mean = ((np.hypot(a1, b1) + np.hypot(a2, b2)) / 2) ** 7
+    wide = 1.5 - 0.5 * np.sqrt(mean / (mean + far))
+    a1, a2 = a1 * wide, a2 * wide
+    c1, c2 = np.hypot(a1, b1), np.hypot(a2, b2)
+    h1, h2 = (np.where((a == 0) & (b == 0), 0.0, np.arctan2(b, a) % (2 * np.pi)) for a, b in ((a1, b1), (a2, b2)))
+    grey, turn, both = c1 * c2 == 0, h2 - h1, h1 + h2
+    around = np.where(turn > np.pi, turn - 2 * np.pi, np.where(turn < -np.pi, turn + 2 * np.pi, turn))
+    h = np.where(grey, both, np.where(np.abs(turn) <= np.pi, both / 2, np.where(both < 2 * np.pi, both / 2 + np.pi, both / 2 - np.pi)))
+    c, light = (c1 + c2) / 2, ((l1 + l2) / 2 - 50) ** 2
+    dh = np.where(grey, 0.0, 2 * np.sqrt(c1 * c2) * np.sin(around / 2))
+    t = 1 - 0.17 * np.cos(h - np.radians(30)) + 0.24 * np.cos(2 * h) + 0.32 * np.cos(3 * h + np.radians(6)) - 0.20 * np.cos(4 * h - np.radians(63))
+    dl, dc, dh = (l2 - l1) / (1 + 0.015 * light / np.sqrt(20 + light)), (c2 - c1) / (1 + 0.045 * c), dh / (1 + 0.015 * c * t)
+    bend = (np.degrees(h) - 275) / 25
+    r = -2 * np.sqrt(c**7 / (c**7 + far)) * np.sin(np.radians(60 * np.exp(-bend * bend)))
+    return np.sqrt(dl * dl + dc * dc + dh * dh + r * dc * dh)
+
+
+def likenesses(a: np.ndarray, b: np.ndarray, lab: np.ndarray, coded: np.ndarray) -> np.ndarray:
+    """``likeness`` of many pairs of texts, given by their places in ``lab`` and ``coded`` (whether a text begins with #)."""
+    out = ((a == b) & ~coded[a] & ~coded[b]).astype(float)
+    near = np.flatnonzero(coded[a] & coded[b])
+    x, y = a[near], b[near]
+    some = np.where(x == y, np.where(np.isnan(lab[x, 0]), 0.0, 1.0), np.fmax(0.0, 1 - differences(lab[x], lab[y]) / 100))
+    out[near] = some
+    return out
+
+
+def unlike(own: np.ndarray, lab: np.ndarray, coded: np.ndarray, near: float = 0.7) -> np.ndarray:
+    """Which of some texts (places, as for ``likenesses``) are not near one kept before; the first is kept."""
+    kept: list[int] = []
+    for at, x in enumerate(own):
+        if not (likenesses(np.full(len(kept), x), own[kept], lab, coded) > near).any():
+            kept.append(at)
+    return np.array(kept, int)

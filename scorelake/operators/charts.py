@@ -6,10 +6,13 @@ A chart is named by ``keys``. Scores of pairs are Column expressions over joined
 
 from __future__ import annotations
 
+import itertools
+import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions import colours
@@ -50,27 +53,66 @@ def placed_text(reach: float = 10.0):
     return lambda t, p: (t["text"] == p["text"]) & (F.abs(t["x"] - p["x"]) <= reach) & (F.abs(t["y"] - p["y"]) <= reach)
 
 
+#: Matrices with at most so many ways to match them are matched by trying all ways, those of one shape at once.
+WAYS = 120
+
+
+def _within(group: np.ndarray, values: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Place of each value among those of its group, and how many a group has."""
+    codes, known = pd.factorize(values, use_na_sentinel=False)
+    each, at = np.unique(group * max(len(known), 1) + codes, return_inverse=True)
+    own = each // max(len(known), 1)
+    return (np.arange(len(each)) - np.searchsorted(own, own))[at], np.bincount(own, minlength=n)
+
+
+def _totals(group: np.ndarray, i: np.ndarray, j: np.ndarray, score: np.ndarray, n: int) -> np.ndarray:
+    """Largest sum of scores of one-to-one pairs in each of n groups; pairs that are not there score 0."""
+    (r, rows), (c, columns) = _within(group, i, n), _within(group, j, n)
+    turned = (rows > columns)[group]
+    r, c = np.where(turned, c, r), np.where(turned, r, c)
+    few, many = np.minimum(rows, columns), np.maximum(rows, columns)
+    shape, out = few * (many.max(initial=0) + 1) + many, np.zeros(n)
+    order = np.argsort(shape[group], kind="stable")
+    parts = np.split(order, np.flatnonzero(np.diff(shape[group][order])) + 1) if len(order) else []
+    for part in parts:
+        own, at = np.unique(group[part], return_inverse=True)
+        a, b = int(few[own[0]]), int(many[own[0]])
+        m = np.zeros((len(own), a, b))
+        np.maximum.at(m, (at, r[part], c[part]), score[part])
+        if math.perm(b, a) > WAYS:
+            out[own] = [sum(x[k, l] for k, l in assignment(-x)) for x in m]
+        elif a == 1:
+            out[own] = m[:, 0].max(axis=1)
+        else:
+            for way in itertools.permutations(range(b), a):
+                out[own] = np.maximum(out[own], m[:, np.arange(a), way].sum(axis=1))
+    return out
+
+
+def _matched(lists: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """keys and total of rows with keys and arrays _b, _i, _j, _s: pairs (i, j) with a score above 0, matched in each block b."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            b, i, j, s = (batch[c].flatten().to_numpy(zero_copy_only=False) for c in ("_b", "_i", "_j", "_s"))
+            row = np.repeat(np.arange(len(batch)), np.diff(batch["_b"].offsets.to_numpy()))
+            codes, known = pd.factorize(b, use_na_sentinel=False)
+            each, group = np.unique(row * max(len(known), 1) + codes, return_inverse=True)
+            totals = _totals(group, i, j, np.asarray(s, float), len(each))
+            total = np.bincount(each // max(len(known), 1), totals, minlength=len(batch))
+            yield pa.RecordBatch.from_arrays([*[batch[k] for k in keys], pa.array(total, pa.float64())], names=[*keys, "total"])
+
+    schema = T.StructType([*[lists.schema[k] for k in keys], T.StructField("total", T.DoubleType())])
+    return lists.select(*keys, "_b", "_i", "_j", "_s").mapInArrow(run, schema)
+
+
 def best_total(pairs: DataFrame, keys: Sequence[str], left: str = "i", right: str = "j", score: str = "score") -> DataFrame:
     """keys and total: the largest sum of scores of one-to-one pairs. pairs: keys, two ids, score; pairs that are not there
     score 0, repeated ones the most of theirs. A group is one matrix of its own ids."""
     keys = list(keys)
-
-    def most(i, j, scores) -> float:
-        r, rows = pd.factorize(np.asarray(i))
-        c, columns = pd.factorize(np.asarray(j))
-        m = np.zeros((len(rows), len(columns)))
-        np.maximum.at(m, (r, c), np.asarray(scores, float))
-        return float(m.max() if 1 in m.shape else sum(m[a, b] for a, b in assignment(-m)))
-
-    def matched(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            totals = [most(*lists) for lists in zip(b["_i"], b["_j"], b["_s"], strict=True)]
-            yield b[keys].assign(total=np.array(totals, float))
-
     some = pairs.where(F.col(left).isNotNull() & F.col(right).isNotNull() & (F.col(score) > 0)).groupBy(*keys).agg(F.collect_list(F.struct(left, right, score)).alias("_all"))
-    lists = some.select(*keys, *[F.col("_all")[n].alias(c) for n, c in ((left, "_i"), (right, "_j"), (score, "_s"))])
-    schema = T.StructType([*[lists.schema[k] for k in keys], T.StructField("total", T.DoubleType())])
-    return lists.mapInPandas(matched, schema)
+    lists = some.select(*keys, F.transform("_all", lambda _: F.lit(0)).alias("_b"), *[F.col("_all")[n].alias(c) for n, c in ((left, "_i"), (right, "_j"), (score, "_s"))])
+    return _matched(lists, keys)
 
 
 def colour_scores(targets: DataFrame, preds: DataFrame, keys: Sequence[str], kind: str = "kind", colour: str = "colour", order: str = "place", most: int = 10) -> DataFrame:
@@ -78,24 +120,72 @@ def colour_scores(targets: DataFrame, preds: DataFrame, keys: Sequence[str], kin
 
     A side's colours count once a kind; of more than ``most`` of them, those like an earlier one (whatever its kind) go. Colours of a kind are matched
     at most total likeness. Null kinds and colours are none; a chart on one side only has zeros.
+
+    A chart's rows meet once, sorted, and go in Arrow batches cut between charts.
     """
     keys = list(keys)
-
-    def side(df: DataFrame) -> DataFrame:
-        some = df.where(F.col(kind).isNotNull() & F.col(colour).isNotNull()).groupBy(*keys, kind, colour).agg(F.min(order).alias("o")).withColumn("_lab", colours.lab(F.col(colour)))
-        listed = some.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("o", F.col(kind).alias("k"), F.col(colour).alias("c"), F.col("_lab").alias("lab")))).alias("all"))
-        fewer = colours.unlike(F.col("all"))
-        return listed.select(*keys, F.when(F.size("all") > most, fewer).otherwise(F.col("all")).alias("own"))
-
-    g, p = (side(df).select(*keys, F.col("own").alias(n)) for df, n in ((targets, "g"), (preds, "p")))
-    both = g.join(p, keys, "full")
-    count = both.select(*keys, *[F.greatest(F.coalesce(F.size(n), F.lit(0)), F.lit(0)).alias(m) for n, m in (("p", "preds"), ("g", "targets"))])
-    one = both.select(*keys, "p", F.posexplode("g").alias("i", "gc")).select(*keys, "i", "gc", F.posexplode("p").alias("j", "pc")).where("gc.k = pc.k")
-    pairs = one.select(*keys, F.col("gc.k").alias("_kind"), "i", "j", colours.likeness(F.col("gc.c"), F.col("pc.c"), F.col("gc.lab"), F.col("pc.lab")).alias("score"))
-    total = best_total(pairs, [*keys, "_kind"]).groupBy(*keys).agg(F.sum("total").alias("total"))
-    out = count.join(total, keys, "left").withColumn("total", F.coalesce("total", F.lit(0.0)))
+    side = lambda df, n: df.select(*keys, F.lit(n).alias("_side"), F.col(order).alias("_o"), F.col(kind).alias("_k"), F.col(colour).alias("_c"))
+    some = side(targets, 0).unionByName(side(preds, 1)).where("_k IS NOT NULL AND _c IS NOT NULL")
+    rows = some.repartition(*keys).sortWithinPartitions(*keys, "_o", "_k", "_c").drop("_o")
+
+    def coded(column: pa.ChunkedArray) -> tuple[np.ndarray, pa.Array]:
+        d = column.combine_chunks().dictionary_encode(null_encoding="encode")
+        d = d.combine_chunks() if isinstance(d, pa.ChunkedArray) else d
+        return d.indices.to_numpy(zero_copy_only=False).astype(np.int64), d.dictionary
+
+    def begins(t: pa.Table) -> np.ndarray:
+        new = np.zeros(len(t), bool)
+        for k in keys:
+            codes, _ = coded(t[k])
+            new[1:] |= codes[1:] != codes[:-1]
+        return new
+
+    def told(t: pa.Table) -> pa.RecordBatch:
+        new = begins(t)
+        chart = np.cumsum(new)
+        (k, kinds), (c, texts) = coded(t["_k"]), coded(t["_c"])
+        names = texts.to_pylist()
+        lab, sharp = colours.labs(names), np.array([x.startswith("#") for x in names], bool)
+        own = chart * 2 + t["_side"].to_numpy()
+        _, first = np.unique((own * len(kinds) + k) * len(names) + c, return_index=True)
+        first = np.sort(first)  # a side's colours by their least place
+        first = first[np.argsort(own[first], kind="stable")]
+        n = np.bincount(own[first], minlength=2 * chart[-1] + 2)
+        ends = np.cumsum(n)
+        keep = np.ones(len(first), bool)
+        for at in np.flatnonzero(n > most):
+            here = np.arange(ends[at] - n[at], ends[at])
+            keep[here] = np.isin(np.arange(len(here)), colours.unlike(c[first[here]], lab, sharp))
+        first = first[keep]
+        n = np.bincount(own[first], minlength=2 * chart[-1] + 2)
+        block, wanted = chart[first] * len(kinds) + k[first], own[first] % 2 == 0
+        g, p = first[wanted], first[~wanted]
+        p = p[np.argsort(block[~wanted], kind="stable")]
+        blocks = chart[p] * len(kinds) + k[p]
+        low, high = (np.searchsorted(blocks, block[wanted], s) for s in ("left", "right"))
+        i = np.repeat(np.arange(len(g)), high - low)
+        j = np.arange(len(i)) - np.repeat(np.cumsum(high - low) - (high - low), high - low) + np.repeat(low, high - low)
+        each, group = np.unique(block[wanted][i], return_inverse=True)
+        totals = _totals(group, i, j, colours.likenesses(c[g[i]], c[p[j]], lab, sharp), len(each))
+        total = np.bincount(each // len(kinds), totals, minlength=chart[-1] + 1)
+        heads = t.select(keys).take(np.flatnonzero(new | (np.arange(len(t)) == 0))).combine_chunks()
+        return pa.RecordBatch.from_arrays([*[heads[k].combine_chunks() for k in keys], pa.array(n[1::2], pa.int32()), pa.array(n[::2], pa.int32()), pa.array(total, pa.float64())], names=[*keys, "preds", "targets", "total"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
+        for batch in batches:
+            t = pa.Table.from_batches([batch])
+            if len(cuts := np.flatnonzero(begins(t))):
+                yield told(pa.concat_tables([*held, t.slice(0, cuts[-1])]))
+                held = [t.slice(cuts[-1])]
+            elif len(t):
+                held.append(t)
+        if held:
+            yield told(pa.concat_tables(held))
+
+    schema = T.StructType([*[rows.schema[k] for k in keys], T.StructField("preds", T.IntegerType()), T.StructField("targets", T.IntegerType()), T.StructField("total", T.DoubleType())])
     precision, recall, f1 = rates(F.col("total"), F.col("preds"), F.col("targets"))
-    return out.select(*keys, "preds", "targets", "total", precision.alias("precision"), recall.alias("recall"), f1.alias("f1"))
+    return rows.mapInArrow(run, schema).select(*keys, "preds", "targets", "total", precision.alias("precision"), recall.alias("recall"), f1.alias("f1"))
 
 
 def penalised(found: Column, targets: Column, preds: Column) -> Column:

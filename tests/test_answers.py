@@ -5,6 +5,7 @@ import math
 import random
 import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -207,3 +208,24 @@ def test_box_clusters(spark):
     for k in range(8):
         g, p = ([[x[2:] for x in s if x[:2] == (k, c)] for c in "ab" if any(x[:2] == (k, c) for x in s)] for s in sides)
         assert got.get(k) == (pytest.approx(permuted(score, g, p) / len(g)) if g else None)
+
+
+def test_colour_scores_of_many_charts(spark):
+    """One shuffle; charts longer than a batch and keys that are null; the numbers of whole columns are those of the expressions."""
+    rng = random.Random(8)
+    rows = [(None if k % 7 == 0 else k, "ab"[rng.randrange(2)], f"#{rng.randrange(1 << 24):06x}", n) for k in range(60) for n in range(3)] + [(99, "a", f"#0000{n % 4:02x}", n) for n in range(60)]
+    df = spark.createDataFrame(rows, "k int, kind string, colour string, place int")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        out = charts.colour_scores(df, df, ["k"])
+        got = {r["k"]: r for r in out.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange") == 1
+    assert set(got) == {k for k, *_ in rows} and all(r["f1"] == pytest.approx(1) for r in got.values())
+    texts = [*{c for _, _, c, _ in rows[:40]}, "#zz0000", "red"]
+    pairs = [(a, b) for a in texts for b in texts]
+    at = {x: n for n, x in enumerate(texts)}
+    near = C.likenesses(*(np.array([at[x] for x in side]) for side in zip(*pairs, strict=True)), C.labs(texts), np.array([x.startswith("#") for x in texts]))
+    for (v, want), x in zip(told(spark, C.likeness(F.col("a"), F.col("b")), [(a, b, None) for a, b in pairs]), near, strict=True):
+        assert x == pytest.approx(want, abs=1e-9), v
