@@ -269,3 +269,19 @@ def test_spotting(spark):
 
     for k, same in frame.select("k", spotting.same_text(F.col("t"), F.col("s"))).collect():
         assert same == plain(*cases[k]), cases[k]
+
+
+def test_patterns_side_by_side(spark, sf_dir, monkeypatch):
+    from scorelake.functions import algorithms
+    from scorelake.plans.documents import quick_match
+
+    r = random.Random(11)
+    make_text = lambda most: "".join(r.choice("ab é") for _ in range(r.randint(0, most)))
+    for pack in (1, 64, algorithms.PACK):
+        monkeypatch.setattr(algorithms, "PACK", pack)
+        for _ in range(40):
+            patterns, text = [make_text(80) for _ in range(r.randint(0, 6))], make_text(120)
+            assert algorithms.distances_from(patterns)(text) == [levenshtein(p, text) for p in patterns]
+    assert documents.costs([], ["a"]).shape == (0, 1) and documents.costs(["a"], []).shape == (1, 0)
+    assert documents.costs(["", "ab", "ab"], ["", "a"]).tolist() == [[0, 1], [1, 0.5], [1, 0.5]]
+    assert quick_match(spark, sf_dir).rdd.getNumPartitions() > 4  # a table of one file is no single task
