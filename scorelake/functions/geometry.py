@@ -99,6 +99,13 @@ def _let(value: Column, f) -> Column:
     return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
+def upright(p: Column) -> Column:
+    """Is the polygon a box whose sides run along x and y?"""
+    at = lambda c, i, j: F.get(p, F.lit(i))[c] == F.get(p, F.lit(j))[c]
+    turned = [at(c, 0, 1) & at(c, 2, 3) & at(d, 1, 2) & at(d, 3, 0) for c, d in ("xy", "yx")]
+    return F.coalesce((F.size(p) == 4) & (turned[0] | turned[1]), F.lit(False))
+
+
 def signed_area(p: Column) -> Column:
     """Above 0 if the corners go from x to y; 0 for fewer than three."""
 
@@ -111,7 +118,9 @@ def signed_area(p: Column) -> Column:
 
 
 def polygon_area(p: Column) -> Column:
-    return F.abs(signed_area(p))
+    """Area of any simple polygon; a box's without a walk along its corners."""
+    across = lambda c: F.abs(F.get(p, F.lit(2))[c] - F.get(p, F.lit(0))[c])
+    return F.when(upright(p), across("x") * across("y")).otherwise(F.abs(signed_area(p)))
 
 
 def clip(subject: Column, window: Column) -> Column:
@@ -148,8 +157,10 @@ def clip(subject: Column, window: Column) -> Column:
 
 
 def shared_area(a: Column, b: Column) -> Column:
-    """Area that a polygon and a convex one have in common."""
-    return polygon_area(clip(a, b))
+    """Area that a polygon and a convex one have in common; of two boxes that of a box, anything else is clipped."""
+    ends = lambda p, c: [F.get(p, F.lit(i))[c] for i in (0, 2)]
+    side = lambda c: F.greatest(F.least(F.greatest(*ends(a, c)), F.greatest(*ends(b, c))) - F.greatest(F.least(*ends(a, c)), F.least(*ends(b, c))), F.lit(0.0))
+    return F.when(upright(a) & upright(b), side("x") * side("y")).otherwise(F.abs(signed_area(clip(a, b))))
 
 
 def bounds(p: Column) -> Column:

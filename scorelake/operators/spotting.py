@@ -31,21 +31,43 @@ def overlapping(a: DataFrame, b: DataFrame, keys: Sequence[str], left: str, righ
     return pairs.where(here & touch).drop("__x", "__y", "__a", "__b")
 
 
+#: Groups of so many pairs at most are gone through pair by pair.
+FEW = 64
+
+
 def first_come(pairs: DataFrame, keys: Sequence[str], left: str, right: str) -> DataFrame:
     """One-to-one pairs as if they were taken in the order of left, then right, each if both its sides are still free.
 
-    A round takes every pair that is the first for its left and for its right, and drops all others of those; after as
-    many rounds as the longest chain of pairs that wait for each other, none is left.
+    The sorted pairs of a small group are gone through as one array. Larger groups go in rounds: a round takes every pair
+    that is the first for its left and for its right, and drops all others of those; after as many rounds as the longest
+    chain of pairs that wait for each other, none is left.
     """
-    order = F.struct(left, right)
-    rest, found = written(pairs), []
+    rest = written(pairs)
+    large = written(rest.groupBy(*keys).agg(F.count("*").alias("__n")).where(F.col("__n") > FEW).select(*keys))
+    out = _one_by_one(rest.join(large, [*keys], "left_anti"), keys, left, right)
+    return out if large.isEmpty() else out.unionByName(_in_rounds(written(rest.join(large, [*keys], "left_semi")), keys, left, right))
+
+
+def _one_by_one(pairs: DataFrame, keys: Sequence[str], left: str, right: str) -> DataFrame:
+    others = [c for c in pairs.columns if c not in (*keys, left, right)]
+    listed = pairs.where(F.col(left).isNotNull() & F.col(right).isNotNull()).groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(left, right, *others))).alias("__all"))
+    taken = F.filter("__all", lambda _: F.lit(False))
+
+    def step(own: Column, p: Column) -> Column:
+        return F.when(F.exists(own, lambda q: (q[left] == p[left]) | (q[right] == p[right])), own).otherwise(F.array_append(own, p))
+
+    return listed.select(*keys, F.inline(F.aggregate("__all", taken, step))).select(*pairs.columns)
+
+
+def _in_rounds(rest: DataFrame, keys: Sequence[str], left: str, right: str) -> DataFrame:
+    order, columns, found = F.struct(left, right), rest.columns, []
     while not rest.isEmpty():
         one = rest.groupBy(*keys, left).agg(F.min(order).alias("__one"))
         two = rest.groupBy(*keys, right).agg(F.min(order).alias("__two"))
-        taken = written(rest.join(one, [*keys, left]).join(two, [*keys, right]).where((F.col("__one") == order) & (F.col("__two") == order)).select(*pairs.columns))
+        taken = written(rest.join(one, [*keys, left]).join(two, [*keys, right]).where((F.col("__one") == order) & (F.col("__two") == order)).select(*columns))
         free = rest.join(taken.select(*keys, left), [*keys, left], "left_anti").join(taken.select(*keys, right), [*keys, right], "left_anti")
         found.append(taken)
-        rest, last = written(free.select(*pairs.columns)), rest
+        rest, last = written(free.select(*columns)), rest
         discard(last)
     out = rest
     for taken in found:
@@ -70,23 +92,26 @@ def spotting(targets: DataFrame, spotted: DataFrame, keys: Sequence[str], least:
     count, nor does what lies by more than half inside one. A target and a spotted polygon match if the area they share is more
     than ``least`` of what both cover, first come, first served; a match is correct if the texts are the same.
     """
-    t = targets.select(*keys, "g", F.col("polygon").alias("one"), F.col("text").alias("target"))
-    s = spotted.select(*keys, "d", F.col("polygon").alias("two"), F.col("text").alias("read"))
+    area = geometry.polygon_area(F.col("polygon"))  # once a polygon, not once a pair
+    t = targets.select(*keys, "g", F.col("polygon").alias("one"), F.col("text").alias("target"), area.alias("own"))
+    s = spotted.select(*keys, "d", F.col("polygon").alias("two"), F.col("text").alias("read"), area.alias("other"))
     ignored = F.coalesce(F.col("target") == IGNORED, F.lit(False))
     shared = geometry.shared_area(F.col("two"), F.col("one"))
-    own, other = geometry.polygon_area(F.col("one")), geometry.polygon_area(F.col("two"))
-    pairs = written(overlapping(t, s, keys, "one", "two", cell).select(*keys, "g", "d", "target", "read", ignored.alias("ignored"), shared.alias("shared"), own.alias("own"), other.alias("other")))
+    pairs = written(overlapping(t, s, keys, "one", "two", cell).select(*keys, "g", "d", "target", "read", ignored.alias("ignored"), shared.alias("shared"), "own", "other"))
     share = lambda of: F.round(F.try_divide(F.col("shared"), F.col(of)), 9)  # noqa: E731  (rounded, so that an exact half is one whichever way it was worked out)
     inside = pairs.where(F.col("ignored") & (share("other") > 0.5)).select(*keys, "d").distinct()
     near = pairs.where(~F.col("ignored") & (F.round(F.try_divide(F.col("shared"), F.col("own") + F.col("other") - F.col("shared")), 9) > least))
     near = near.join(inside, [*keys, "d"], "left_anti").select(*keys, "g", "d", F.coalesce(same_text(F.col("target"), F.col("read")), F.lit(False)).alias("right"))
     match = first_come(near, keys, "g", "d")
-    n = lambda df, name: df.groupBy(*keys).agg(F.count("*").alias(name))
-    counts = n(t.where(~ignored), "targets").join(n(s.join(inside, [*keys, "d"], "left_anti"), "spotted"), [*keys], "full")
-    images = targets.select(*keys).unionByName(spotted.select(*keys)).distinct()
-    hits = match.groupBy(*keys).agg(F.count("*").alias("matched"), F.count_if("right").alias("correct"))
-    out = images.join(counts, [*keys], "left").join(hits, [*keys], "left")
-    return out.select(*keys, *[F.coalesce(c, F.lit(0)).alias(c) for c in ("targets", "spotted", "matched", "correct")])
+    known = F.lit(True)
+    for k in keys:  # a null key names no image: one row, and nothing counts
+        known = known & F.col(k).isNotNull()
+    names = ("targets", "spotted", "matched", "correct")
+    count = lambda df, *on: df.select(*keys, *[(known & c).cast("long").alias(c_) for c, c_ in zip(on, names, strict=True)])
+    no, yes = F.lit(False), F.lit(True)
+    counted = s.join(inside.withColumn("__in", yes), [*keys, "d"], "left")
+    rows = count(t, ~ignored, no, no, no).unionByName(count(counted, no, F.col("__in").isNull(), no, no)).unionByName(count(match, no, no, yes, F.col("right")))
+    return rows.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in names])
 
 
 def rates(targets: Column, spotted: Column, correct: Column) -> tuple[Column, Column, Column]:

@@ -285,3 +285,24 @@ def test_patterns_side_by_side(spark, sf_dir, monkeypatch):
     assert documents.costs([], ["a"]).shape == (0, 1) and documents.costs(["a"], []).shape == (1, 0)
     assert documents.costs(["", "ab", "ab"], ["", "a"]).tolist() == [[0, 1], [1, 0.5], [1, 0.5]]
     assert quick_match(spark, sf_dir).rdd.getNumPartitions() > 4  # a table of one file is no single task
+
+
+def test_small_groups_take_no_rounds(spark, monkeypatch):
+    r = random.Random(8)
+    chain = [(0, i, j) for i in range(9) for j in (i, i + 1)]  # each pair waits for the one before it
+    many = sorted({(1, r.randint(0, 40), r.randint(0, 40)) for _ in range(200)})
+    want, used = set(), set()
+    for k, g, d in chain + many:
+        if not {(k, "g", g), (k, "d", d)} & used:
+            used |= {(k, "g", g), (k, "d", d)}
+            want.add((k, g, d))
+    df = spark.createDataFrame(chain + many, "k int, g int, d int")
+    assert {tuple(x) for x in spotting.first_come(df, ["k"], "g", "d").collect()} == want  # one group of each kind
+    tables, own = [], spotting.written
+    monkeypatch.setattr(spotting, "written", lambda t: tables.append(t) or own(t))
+    assert {tuple(x) for x in spotting.first_come(df.where("k = 0"), ["k"], "g", "d").collect()} == {x for x in want if x[0] == 0}
+    assert len(tables) == 2
+    box = geometry.rectangle(F.lit(0.1), F.lit(0.2), F.lit(7.3), F.lit(3.3))
+    turned = F.reverse(geometry.rectangle(F.lit(0.7), F.lit(-1.0), F.lit(9.0), F.lit(3.1)))
+    got = spark.range(1).select(geometry.shared_area(box, turned), geometry.shared_area(turned, box), geometry.polygon_area(box)).first()
+    assert tuple(got) == ((7.3 - 0.7) * (3.1 - 0.2), (7.3 - 0.7) * (3.1 - 0.2), (7.3 - 0.1) * (3.3 - 0.2))
