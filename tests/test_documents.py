@@ -306,3 +306,14 @@ def test_small_groups_take_no_rounds(spark, monkeypatch):
     turned = F.reverse(geometry.rectangle(F.lit(0.7), F.lit(-1.0), F.lit(9.0), F.lit(3.1)))
     got = spark.range(1).select(geometry.shared_area(box, turned), geometry.shared_area(turned, box), geometry.polygon_area(box)).first()
     assert tuple(got) == ((7.3 - 0.7) * (3.1 - 0.2), (7.3 - 0.7) * (3.1 - 0.2), (7.3 - 0.1) * (3.3 - 0.2))
+
+
+def test_windows_deal_no_needle_and_no_hay_by_its_words(spark):
+    text = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    h = spark.createDataFrame([(1, k % 7, f"word{k % 5} of text {k % 3}.") for k in range(40)], "key int, h int, text string")
+    n = spark.createDataFrame([(1, k, f"word{k} of") for k in range(4)] * 2, "key int, id int, needle string")
+    found = lambda df: sorted((x["h"], x["id"], x["likeness"], x["start"]) for x in df.collect())
+    for on in ([], ["key"]):
+        got = passages.best_windows(h, n, "h", "id", on=on, rarest=1)
+        assert "words#" not in "".join(x for x in text(got).splitlines() if "Aggregate [" in x)  # rows that repeat are told by id and digest
+        assert found(got) == found(passages.best_windows(h.union(h), n.union(n), "h", "id", on=on, rarest=1)) != []
