@@ -317,3 +317,53 @@ def test_windows_deal_no_needle_and_no_hay_by_its_words(spark):
         got = passages.best_windows(h, n, "h", "id", on=on, rarest=1)
         assert "words#" not in "".join(x for x in text(got).splitlines() if "Aggregate [" in x)  # rows that repeat are told by id and digest
         assert found(got) == found(passages.best_windows(h.union(h), n.union(n), "h", "id", on=on, rarest=1)) != []
+
+
+def test_windows_by_rarest_tokens_with_a_key(spark, monkeypatch):
+    r = random.Random(12)
+    text = lambda n: " ".join(f"w{min(r.randint(0, 30), r.randint(0, 30))}" for _ in range(n))
+    hay = [(k % 4, k // 2 if k < 8 else k, text(r.randint(5, 30))) for k in range(16)]  # some ids have two texts
+    hay += [(1, None, text(20)), (None, 60, text(20)), (2, 61, None), (2, 62, "")]
+    needles = [(k % 5, k, text(r.randint(1, 5))) for k in range(20)] + [(1, None, "w1 w2"), (2, 80, None), (2, 81, "w99"), (None, 82, "w1"), (3, 0, "w0 w1")]
+    h, n = spark.createDataFrame(hay, "key int, h int, text string"), spark.createDataFrame(needles, "key int, id int, needle string")
+    held = Counter(t for x in set(hay) for t in set((x[2] or "").split()))
+    told = []
+    for rarest in (1, 2):
+        want = Counter()
+        for key, nid, needle in needles:
+            asked = (needle or "").split()
+            allowed = {t for _, t in sorted((held[t], t) for t in set(asked) if held[t])[:rarest]}
+            for hkey, hid in {(a, b) for a, b, _ in hay}:
+                if key is None or key != hkey:
+                    continue
+                some = [plain_window((t or "").split(), needle or "", asked, allowed) for a, b, t in hay if (a, b) == (hkey, hid)]
+                some = [(v, s) for v, s in some if s >= 0 and None not in (nid, hid)] or [(0.0, None)]
+                want.update((key, hid, nid, needle, v, s) for v, s in some)
+        for frequent in (0, 5, passages.FREQUENT):
+            monkeypatch.setattr(passages, "FREQUENT", frequent)
+            got = passages.best_windows(h.union(h), n.union(n), "h", "id", on=["key"], rarest=rarest).collect()
+            assert Counter((x["key"], x["h"], x["id"], x["needle"], x["likeness"], x["start"]) for x in got) == want
+            told.append(sum(x["likeness"] > 0 for x in got))
+        monkeypatch.undo()
+    assert min(told) > 10
+
+
+def test_windows_with_a_key_deal_no_tokens_of_hays_or_needles(spark):
+    r = random.Random(13)
+    text = lambda n: " ".join(f"w{r.randint(0, 40)}" for _ in range(n))
+    h = spark.createDataFrame([(k, k, text(300)) for k in range(60)], "key int, h int, text string")
+    n = spark.createDataFrame([(k % 300, k, text(20)) for k in range(1500)], "key int, id int, needle string")  # most keys have no hay
+    sc = spark.sparkContext
+
+    def dealt():
+        sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        found = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+        return {found.apply(k).stageId(): found.apply(k).shuffleWriteRecords() for k in range(found.size())}
+
+    old, before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold"), dealt()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with tables beyond the size of a broadcast
+    try:
+        assert passages.best_windows(h, n, "h", "id", on=["key"], rarest=1).count() == 300
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert sum(v for k, v in dealt().items() if k not in before) < 60 * 300 / 2  # half the hays' words; the needles have 30,000
