@@ -122,6 +122,14 @@ def same_denotation(pred: Column, target: Column) -> Column:
     return F.coalesce((F.size(pred) == F.size(target)) & every, F.lit(False))
 
 
+def apart(pred: Column, target: Column) -> Column:
+    """Do both texts list one value, the same text, that no way to write a number or date can be equal to? Not so if in doubt."""
+    odd = lambda x: number(x).isNotNull() | _date(x).isNotNull() | x.rlike(r"(?i)^[+-]?(inf|infinity|nan)\z")
+    told = lambda v: (v["p"] == v["t"]) & ~odd(v["t"]) & ~odd(pred) & ~odd(target)
+    same = _let(F.struct(table_text(pred).alias("p"), table_text(target).alias("t")), told)
+    return F.coalesce(~F.concat(pred, target).rlike(r"[|\\]") & same, F.lit(False))
+
+
 def amount(c: Column) -> Column:
     """struct<exact, plain>, each struct<number, text>: what a text with units says, with its power of ten or per cent worked in
     and without it. Both are texts if either is no number."""

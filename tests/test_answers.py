@@ -253,3 +253,46 @@ def test_marks_that_the_order_leaves_open_stand_as_the_rows_do(spark, tmp_path):
     c = duckdb.connect(config={"threads": 1})
     c.sql(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
     assert got == set(c.execute(ORACLE_SQL["placed_texts"]).fetchall()) == {(0, 3, 2), (1, 3, 1), (2, 3, 1)}
+
+
+def shuffled(spark):
+    """Records that stages have shuffled so far."""
+    gate = spark.sparkContext._gateway
+    empty = gate.jvm.java.util.ArrayList
+    stages = spark._jsc.sc().statusStore().stageList(empty(), False, False, gate.new_array(gate.jvm.double, 0), empty())
+    return sum(stages.apply(n).shuffleWriteRecords() for n in range(stages.size()))
+
+
+def test_names_and_dates_that_match_alike_are_counted_as_one(spark, tmp_path):
+    """3,000 lines of as many names and dates, and names that say what other fields may say, or nothing, against each line read by itself."""
+    import datetime
+
+    from scorelake.registry import QUERIES
+
+    said = ["17", "0.05", "0.05 [1]", "17 (a) [2]", "1999-1-2", "1999-01-02", "2000-1-1", "a|b", "x|17", "Café", "a (b)", "name", "", None]
+    names = [f"part {chr(97 + n // 676 % 26)}{chr(97 + n // 26 % 26)}{chr(97 + n % 26)}" for n in range(3000)] + said
+    begin = datetime.datetime(1990, 1, 1)
+    line = lambda k, n, q=17.0, d=0.05, tax=0.02, flag="N": (k, q, d, tax, flag, "O", begin + datetime.timedelta(days=n))
+    odd = range(3000, len(names))
+    rows = [line(k, k, 17.0 + k % 2, flag="NR"[k % 2]) for k in range(3000)]
+    rows += [line(k, n, q, d, tax, flag) for k in odd for n in (3288, 3652, 3653) for q, d, tax in ((17.0, 0.05, 0.02), (5.0, 0.05, 0.05), (2.0, 0.1, 0.0)) for flag in "NR"]
+    rows += [line(0, n, q, d, tax, flag) for n, (q, d, tax) in enumerate(((None, 0.05, 0.02), (17.0, None, 0.02), (17.0, 0.05, None))) for flag in "NR"]
+    spark.createDataFrame(rows, "l_partkey long, l_quantity double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp").coalesce(1).write.parquet(str(tmp_path / "lineitem.parquet"))
+    spark.createDataFrame(list(enumerate(names)), "p_partkey long, p_name string").coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    before = shuffled(spark)
+    got = {tuple(r) for r in QUERIES["denotation_match"](spark, str(tmp_path)).collect()}
+    assert shuffled(spark) - before < len(rows) - 2900
+    x = spark.createDataFrame([(*r, names[r[0]]) for r in rows], "k long, q double, d double, tax double, flag string, status string, day timestamp, name string")
+    target = "concat(bigint(q), '|', d, '|', tax, '|', date_format(day, 'yyyy-MM-dd'), '|', name)"
+    pred = """concat('"', upper(name), '" (part)[1]||', date_format(day, 'yyyy-M-d'), format_string('||%.2f||%.3f', q, tax), if(flag = 'R', '', format_string('||%.3f', d)))"""
+    sets = x.select("flag", "status", V.denotation(F.expr(target)).alias("t"), V.denotation(F.expr(pred)).alias("p"))
+    want = sets.groupBy("flag", "status").agg(F.count("*"), F.sum(F.size("t")), F.sum(V.same_denotation(F.col("p"), F.col("t")).cast("long")))
+    assert got == {tuple(r) for r in want.collect()}
+
+
+APART = [("a bc", "A BC [1]", True), ('"A" (part)[1]', "a", True), ("a", "b", False), ("17 [1]", "17 [2]", False), ("①", "1.", False), ("1997-3-1.", "1997-3-1.", False), ("NaN", "nan", False), ("a|b", "a|b", False), ("a\\pb", "a\\pb", False), ("xx-xx-xx", "xx-xx-xx", True), ("", "", True), (None, "a", False)]
+
+
+def test_apart(spark):
+    for v, got in told(spark, V.apart(F.col("a"), F.col("b")), APART):
+        assert got is v[-1], v
